@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressloom.llm.words import U64, Hashes, flat_words, mix, owners, shingle_hashes
+from pressloom.llm.words import U64, flat_words, member_of, mix, owners, per_text, shingle_hashes, text_counts
 from pressloom.operators.components import components
 from pressloom.schemas import fields
 from pressloom.session import spool
@@ -65,25 +65,14 @@ def _heavy(counts: DataFrame, share: float, floor: int) -> np.ndarray:
 
 
 def _document_counts(items: np.ndarray, owner: np.ndarray, rows: int) -> pa.RecordBatch:
-    """In how many texts of a batch each item is."""
-    order = np.lexsort((owner, items))
-    w, o = items[order], owner[order]
-    first = np.ones(len(w), bool)
-    first[1:] = (w[1:] != w[:-1]) | (o[1:] != o[:-1])
-    item, n = np.unique(w[first], return_counts=True)
+    """In how many texts of a batch each item is; the last row counts the texts."""
+    item, n = text_counts(items, owner)
     return pa.RecordBatch.from_arrays(
         [pa.array(np.append(item.view(np.int64), 0)), pa.array(np.append(n, rows)), pa.array(np.append(np.zeros(len(item), bool), True))],
         names=["item", "n", "rows"],
     )
 
 
-def member_of(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    """Which of ``values`` are in the sorted array ``ordered``."""
-    if not len(ordered):
-        return np.zeros(len(values), bool)
-    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
-
-
 COUNTS = fields("item long, n long, rows boolean")
 
 
@@ -96,9 +85,8 @@ def frequent_words(texts: DataFrame, share: float, floor: int) -> np.ndarray:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for batch in batches:
-            flat, offsets = flat_words(batch.column(0).to_pylist(), hashes)
+            flat, offsets = flat_words(batch.column(0).to_pylist())
             yield _document_counts(flat, owners(offsets), batch.num_rows)
 
     return _heavy(texts.mapInArrow(count, COUNTS), share, floor)
@@ -112,10 +100,9 @@ def frequent_shingles(texts: DataFrame, size: int, common: np.ndarray, share: fl
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for batch in batches:
-            flat, offsets = flat_words(batch.column(0).to_pylist(), hashes)
-            usual = member_of(flat, common)
+            flat, offsets = flat_words(batch.column(0).to_pylist())
+            usual = member_of(flat >> U64(32), common)
             sh, at = shingle_hashes(flat, offsets, size)
             whole = np.ones(len(at), bool)
             for i in range(size):
@@ -130,20 +117,14 @@ def features(df: DataFrame, id_col: str, text: str, usual: np.ndarray, size: int
     t = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for batch in batches:
             n = batch.num_rows
             ids = batch.column(0)
-            flat, offsets = flat_words(batch.column(1).to_pylist(), hashes)
+            flat, offsets = flat_words(batch.column(1).to_pylist())
             sh, at = shingle_hashes(flat, offsets, size)
             own = owners(offsets)[at] if len(at) else np.zeros(0, np.int64)
+            sh, own = per_text(sh, own)
             telling = ~member_of(sh, usual)
-            order = np.argsort((own.astype(U64) << U64(32)) | (sh >> U64(32)), kind="stable")
-            sh, own, telling = sh[order], own[order], telling[order]
-            short = (sh >> U64(32)).astype(np.uint32)
-            first = np.ones(len(sh), bool)
-            first[1:] = (own[1:] != own[:-1]) | (short[1:] != short[:-1])
-            sh, own, telling, short = sh[first], own[first], telling[first], short[first]
             size_of = np.bincount(own, minlength=n)
             told = np.bincount(own, weights=telling, minlength=n)
             part = sketches(sh[telling], own[telling], n, t)
@@ -166,7 +147,7 @@ def features(df: DataFrame, id_col: str, text: str, usual: np.ndarray, size: int
             same = mix(same + size_of.astype(U64), 6)
             keep = pa.array(size_of > 0)
             out = pa.RecordBatch.from_arrays(
-                [ids, pa.array(same.view(np.int64)), pa.ListArray.from_arrays(pa.array(sh_off), pa.array(short.view(np.int32))), pa.ListArray.from_arrays(pa.array(key_off), pa.array(lists[mask]))],
+                [ids, pa.array(same.view(np.int64)), pa.ListArray.from_arrays(pa.array(sh_off), pa.array(sh.astype(np.uint32).view(np.int32))), pa.ListArray.from_arrays(pa.array(key_off), pa.array(lists[mask]))],
                 names=["id", "same", "shingles", "keys"],
             )
             yield out.filter(keep)
@@ -188,7 +169,7 @@ def similar(
     threshold: float = 0.8,
     bands: int = 24,
     rows: int = 2,
-    common_share: float = 0.01,
+    common_share: float = 0.002,
     common_floor: int = 20,
     whole_below: float = 0.34,
 ) -> tuple[DataFrame, DataFrame]:
