@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressloom.llm import neardup
+from pressloom.llm import boilerplate, caps, history, neardup, truncation
+from pressloom.session import shared_dir
 from pressloom.sources.tables import table
 
 
@@ -25,5 +28,103 @@ def p7_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.groups(article_text(spark, d), "id", "text")
 
 
-QUERIES = {"p7_found": p7_found, "p7_groups": p7_groups}
-ORACLES: dict[str, str] = {}
+def _ranked_articles(spark: SparkSession, d: str) -> DataFrame:
+    quality = table(spark, d, "article_quality", "article_id", "quality")
+    return table(spark, d, "articles", "id", "run_no", "source_id", "author").join(quality.withColumnRenamed("article_id", "id"), "id", "left")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """The articles over the share of their outlet in their run."""
+    rows = _ranked_articles(spark, d).select("id", "run_no", "source_id", "quality")
+    out = caps.within_caps(rows, "id", "quality", [caps.Level(("run_no", "source_id"), share=0.05, scope=("run_no",))])
+    return out.where("not kept").select(F.col("id").alias("article_id"))
+
+
+def p2_nested_caps(spark: SparkSession, d: str) -> DataFrame:
+    """Nested limits of a run: three articles an author and outlet, a twentieth an outlet, a tenth an owner."""
+    owners = table(spark, d, "sources", "id", "ownership").select(F.col("id").alias("source_id"), F.when(F.trim("ownership") != "", F.col("ownership")).alias("owner"))
+    rows = _ranked_articles(spark, d).join(owners, "source_id", "left")
+    levels = [
+        caps.Level(("run_no", "source_id", "author"), most=3, free="author"),
+        caps.Level(("run_no", "source_id"), share=0.05, scope=("run_no",)),
+        caps.Level(("run_no", "owner"), share=0.1, scope=("run_no",), free="owner"),
+    ]
+    out = caps.within_caps(rows, "id", "quality", levels)
+    return out.select(F.col("id").alias("article_id"), "kept", "level")
+
+
+def _cuts(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(table(spark, d, "articles", "id", "source_id", "title", "summary", "content"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _cuts(spark, d).where("is_cut").select("article_id", "field_name")
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source cuts summaries and contents."""
+    return truncation.rates(_cuts(spark, d))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return history.repeats(table(spark, d, "articles", "id", "run_no", "canonical_url", "content_hash", "title"))
+
+
+def p4_last_run(spark: SparkSession, d: str) -> DataFrame:
+    """The newest run against a stored index of all earlier runs."""
+    path = f"{shared_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    return history.last_run_against_history(table(spark, d, "articles", "id", "run_no", "canonical_url", "content_hash", "title"), path)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "articles", "id", "source_id", "content")
+    out = boilerplate.repeated_lines(rows, "id", "source_id", "content", least=5, exact=True)
+    return out.select(F.col("id").alias("article_id"), "line_no")
+
+
+def p5_clean(spark: SparkSession, d: str) -> DataFrame:
+    """All articles with the lines of frequent near-duplicate clusters removed."""
+    rows = table(spark, d, "articles", "id", "source_id", "content")
+    return boilerplate.without_repeated_lines(rows, "id", "source_id", "content").withColumnRenamed("id", "article_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_nested_caps, p3_found, p3_rates, p4_found, p4_last_run, p5_found, p5_clean, p7_found, p7_groups)}
+
+_TITLE_WORDS = "list_distinct(list_filter(regexp_extract_all(lower(coalesce(title, '')), '[\\p{L}\\p{N}]+'), lambda x: x <> ''))"
+
+ORACLES: dict[str, str] = {
+    "p2_found": """
+        SELECT id AS article_id FROM (
+            SELECT a.id, row_number() OVER (PARTITION BY a.run_no, a.source_id ORDER BY q.quality DESC NULLS LAST, a.id) AS place,
+                   count(*) OVER (PARTITION BY a.run_no) AS size
+            FROM articles a LEFT JOIN article_quality q ON q.article_id = a.id)
+        WHERE place > ceil(size * 0.05 - 1e-9)
+    """,
+    "p4_found": f"""
+        WITH t AS (SELECT id, run_no, canonical_url, content_hash, {_TITLE_WORDS} AS w FROM articles),
+        e AS (SELECT id, run_no, len(w) AS n, unnest(w) AS word FROM t),
+        near AS (
+            SELECT x.id AS earlier_id, y.id AS later_id FROM e x JOIN e y ON x.word = y.word AND x.run_no < y.run_no
+            GROUP BY x.id, y.id, x.n, y.n HAVING count(*) / (x.n + y.n - count(*)) >= 0.6)
+        SELECT earlier_id, later_id FROM near
+        UNION SELECT x.id, y.id FROM t x JOIN t y ON trim(x.canonical_url) <> '' AND x.canonical_url = y.canonical_url AND x.run_no < y.run_no
+        UNION SELECT x.id, y.id FROM t x JOIN t y ON trim(x.content_hash) <> '' AND x.content_hash = y.content_hash AND x.run_no < y.run_no
+    """,
+    "p5_found": r"""
+        WITH l AS (
+            SELECT id, source_id, unnest(string_split(content, chr(10))) AS line, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line_no
+            FROM articles WHERE source_id IS NOT NULL AND content IS NOT NULL),
+        k AS (
+            SELECT id, source_id, CAST(line_no AS INTEGER) AS line_no, regexp_replace(trim(regexp_replace(lower(line), '[\s\p{Z}]+', ' ', 'g')), '\p{Nd}+', '0', 'g') AS line FROM l),
+        f AS (SELECT source_id, line FROM k WHERE line <> '' GROUP BY ALL HAVING count(DISTINCT id) >= 5)
+        SELECT k.id AS article_id, k.line_no FROM k JOIN f USING (source_id, line)
+    """,
+    "p7_found": r"""
+        WITH t AS (
+            SELECT id, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(summary, '') || ' ' || coalesce(content, '')), '[\p{L}\p{N}]+') AS w FROM articles),
+        s AS (SELECT id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM t WHERE len(w) >= 3),
+        e AS (SELECT id, len(s) AS n, unnest(s) AS g FROM s)
+        SELECT x.id AS id_a, y.id AS id_b FROM e x JOIN e y ON x.g = y.g AND x.id < y.id
+        GROUP BY x.id, y.id, x.n, y.n HAVING count(*) / (x.n + y.n - count(*)) >= 0.5
+    """,
+}
