@@ -186,11 +186,10 @@ def similar(
     usual = frequent_shingles(df.select(text), size, common, common_share, common_floor)
     feats = spool(features(df, id_col, text, usual, size, bands, rows, whole_below), "sketches")
     members = feats.groupBy("same").agg(F.min("id").alias("class_id")).join(feats.select("id", "same"), "same").select("id", "class_id")
-    heads = feats.join(members.where("id = class_id").select("id"), "id", "left_semi")
-    keyed = heads.select("id", F.explode("keys").alias("key"))
+    keyed = feats.select("id", "keys").join(members.where("id = class_id").select("id"), "id", "left_semi").select("id", F.explode("keys").alias("key"))
     left, right = keyed.select(F.col("id").alias("a"), "key"), keyed.select(F.col("id").alias("b"), "key")
     pairs = left.join(right, "key").where("a < b").select("a", "b").distinct()
-    sets = heads.select("id", "shingles")
+    sets = feats.select("id", "shingles")
     checked = (
         pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
