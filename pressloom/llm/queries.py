@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressloom.llm import boilerplate, caps, history, neardup, truncation
+from pressloom.llm import boilerplate, caps, encoding, history, neardup, truncation
 from pressloom.session import shared_dir
 from pressloom.sources.tables import table
 
@@ -18,6 +18,19 @@ def article_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "articles").select("id", F.concat_ws(" ", *parts).alias("text"))
 
 
+def _garbled(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.garbled(table(spark, d, "articles", "id", "title", "content"), "id", ["title", "content"])
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _garbled(spark, d).select(F.col("id").alias("article_id"), "field_name")
+
+
+def p6_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The garbled fields with their restored text, the mapping that was undone, and whether characters are lost."""
+    return _garbled(spark, d).withColumnRenamed("id", "article_id")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     members, links = neardup.similar(article_text(spark, d), "id", "text", size=3, threshold=0.5)
     return neardup.all_pairs(members, links)
@@ -88,7 +101,7 @@ def p5_clean(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.without_repeated_lines(rows, "id", "source_id", "content").withColumnRenamed("id", "article_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_nested_caps, p3_found, p3_rates, p4_found, p4_last_run, p5_found, p5_clean, p7_found, p7_groups)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_nested_caps, p3_found, p3_rates, p4_found, p4_last_run, p5_found, p5_clean, p6_found, p6_restored, p7_found, p7_groups)}
 
 _TITLE_WORDS = "list_distinct(list_filter(regexp_extract_all(lower(coalesce(title, '')), '[\\p{L}\\p{N}]+'), lambda x: x <> ''))"
 
