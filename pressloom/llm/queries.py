@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressloom.llm import boilerplate, caps, encoding, history, neardup, truncation
+from pressloom.llm import boilerplate, caps, encoding, history, leakage, neardup, pii, truncation
 from pressloom.session import shared_dir
 from pressloom.sources.tables import table
 
@@ -101,7 +101,36 @@ def p5_clean(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.without_repeated_lines(rows, "id", "source_id", "content").withColumnRenamed("id", "article_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_nested_caps, p3_found, p3_rates, p4_found, p4_last_run, p5_found, p5_clean, p6_found, p6_restored, p7_found, p7_groups)}
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "eval_items", "item_id", "item_text")
+    return leakage.leaks(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", items, "item_id", "item_text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Twelve words in a row of an item: the windows that the search found at distance 0."""
+    return _leaks(spark, d).where("distance = 0").select("doc_id", "item_id")
+
+
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """All leaks within one word edit."""
+    return _leaks(spark, d)
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """Which items leaked, into how many documents."""
+    return leakage.report(_leaks(spark, d))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.occurrences(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text").select("doc_id", "pii_kind", "start_pos")
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """All documents with typed placeholders."""
+    return pii.redacted(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_nested_caps, p3_found, p3_rates, p4_found, p4_last_run, p5_found, p5_clean, p6_found, p6_restored, p7_found, p7_groups, p8_found, p8_leaks, p8_report, p10_found, p10_redacted)}
 
 _TITLE_WORDS = "list_distinct(list_filter(regexp_extract_all(lower(coalesce(title, '')), '[\\p{L}\\p{N}]+'), lambda x: x <> ''))"
 
@@ -140,4 +169,11 @@ ORACLES: dict[str, str] = {
         SELECT x.id AS id_a, y.id AS id_b FROM e x JOIN e y ON x.g = y.g AND x.id < y.id
         GROUP BY x.id, y.id, x.n, y.n HAVING count(*) / (x.n + y.n - count(*)) >= 0.5
     """,
+    "p8_found": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+        i AS (SELECT item_id, regexp_extract_all(lower(item_text), '[\p{L}\p{N}]+') AS w FROM eval_items),
+        dw AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k : k + 11], ' '))) AS g FROM d WHERE len(w) >= 12),
+        iw AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k : k + 11], ' '))) AS g FROM i WHERE len(w) >= 12)
+        SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g)
+    """,
 }
