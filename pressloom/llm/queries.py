@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressloom.llm import boilerplate, caps, encoding, history, leakage, neardup, pii, truncation
+from pressloom.llm import boilerplate, caps, encoding, history, leakage, mixture, neardup, pii, truncation
 from pressloom.session import shared_dir
 from pressloom.sources.tables import table
 
@@ -121,6 +121,20 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return leakage.report(_leaks(spark, d))
 
 
+def _mixed(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mixture(table(spark, d, "documents", "doc_id", "source", "lang", "text"), table(spark, d, "mix_targets"))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """How often each document of the target sources is used."""
+    return _mixed(spark, d)
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of each source."""
+    return mixture.report(_mixed(spark, d), table(spark, d, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return pii.occurrences(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text").select("doc_id", "pii_kind", "start_pos")
 
@@ -130,7 +144,7 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redacted(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_nested_caps, p3_found, p3_rates, p4_found, p4_last_run, p5_found, p5_clean, p6_found, p6_restored, p7_found, p7_groups, p8_found, p8_leaks, p8_report, p10_found, p10_redacted)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_nested_caps, p3_found, p3_rates, p4_found, p4_last_run, p5_found, p5_clean, p6_found, p6_restored, p7_found, p7_groups, p8_found, p8_leaks, p8_report, p9_mixture, p9_report, p10_found, p10_redacted)}
 
 _TITLE_WORDS = "list_distinct(list_filter(regexp_extract_all(lower(coalesce(title, '')), '[\\p{L}\\p{N}]+'), lambda x: x <> ''))"
 
