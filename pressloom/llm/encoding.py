@@ -248,8 +248,8 @@ def gained(before: tuple[float, int], after: tuple[float, int]) -> float:
 LOST_INSIDE = re.compile(r"[^\W\d_]\?[^\W\d_]")
 
 
-def restore(text: str, model: PairModel, maps: list, level: float, rounds: int = 3) -> tuple[str, str | None]:
-    """(text with its garbled runs restored, names of the mappings used or None)."""
+def restore(text: str, model: PairModel, fit: list, maps: list, level: float, rounds: int = 3) -> tuple[str, str | None]:
+    """(text with its garbled runs restored, names of the mappings used or None). ``fit`` are the mappings to try first, ``maps`` those for what a first one leaves."""
     used = []
     for _ in range(rounds):
         runs = runs_of(text, model, level)
@@ -265,7 +265,7 @@ def restore(text: str, model: PairModel, maps: list, level: float, rounds: int =
         old = [text[a:b] for a, b in wide]
         base = [model.text(x) for x in old]
         best = (0.0, None, None)
-        for m in maps:
+        for m in maps if used else fit:
             gain, new, changed, pairs = 0.0, [], [], 0
             for x, before in zip(old, base):
                 y = m(x)
@@ -294,12 +294,12 @@ def restore(text: str, model: PairModel, maps: list, level: float, rounds: int =
 FOUND = fields("id long, field_name string, restored string, mapping string, lost boolean")
 
 
-def garbled(rows: DataFrame, id_col: str, columns: list[str], level: float = -7.0, rare: float = -9.0) -> DataFrame:
+def garbled(rows: DataFrame, id_col: str, columns: list[str], level: float = -7.0, rare: float = -13.0) -> DataFrame:
     """(id, field_name, restored, mapping, lost) of every field of ``columns`` that is garbled in all or part.
 
-    ``level`` is the weight below which a pair is improbable. Fields with a pair
-    below ``rare``, or with a possible UTF-8 sequence of any encoding, are looked
-    into. ``lost`` marks fields with
+    ``level`` is the weight below which a pair is improbable. One-byte
+    mappings are tried on fields with a pair below ``rare``, UTF-8 mappings on
+    fields with a possible sequence in their encoding. ``lost`` marks fields with
     replacement characters or question marks inside words; their restored text
     still has them. Null and empty fields are never garbled. The pair counts
     cover all fields of all rows.
@@ -311,6 +311,7 @@ def garbled(rows: DataFrame, id_col: str, columns: list[str], level: float = -7.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, maps = PairModel(*shared.value), readers()
+        by_sequence, by_byte = ([m for m in maps if isinstance(m, kind)] for kind in (Utf8Reader, ByteReader))
         for batch in batches:
             ids, names, texts = (batch.column(i).to_pylist() for i in range(3))
             out: list[tuple] = []
@@ -319,10 +320,13 @@ def garbled(rows: DataFrame, id_col: str, columns: list[str], level: float = -7.
                 at = special_pairs(codes)
                 weak = known.of((classes(codes[at]) << 21) | classes(codes[at + 1])) < rare
                 lost = codes[at] == 0xFFFD
-                look = [at[weak | lost], *(m.possible(codes) for m in maps if isinstance(m, Utf8Reader))]
-                for k in np.unique(owner[np.concatenate(look)]).tolist():
+                look = dict.fromkeys(np.unique(owner[at[weak | lost]]).tolist(), by_byte)
+                for m in by_sequence:
+                    for k in np.unique(owner[m.possible(codes)]).tolist():
+                        look[k] = [*look.get(k, []), m]
+                for k, fit in look.items():
                     text = texts[i + k]
-                    fixed, mapping = restore(text, known, maps, level)
+                    fixed, mapping = restore(text, known, fit, maps, level)
                     gone = "�" in text or (bool(LOST_INSIDE.search(text)) and not re.search(r"\S+[/=]\S*\?", text))
                     if mapping or gone:
                         out.append((ids[i + k], names[i + k], fixed, mapping, gone))
