@@ -185,7 +185,7 @@ def sample(texts: DataFrame, most: int) -> list[str]:
     """At most ``most`` texts, those of least hash: a bounded sample that doesn't depend on the order of rows."""
     fit = texts.where(F.length("text").between(1, 20000)).withColumn("mark", F.xxhash64("id", "field_name"))
     share = min(1.0, 1.5 * most / max(1, fit.count()) + 1e-6)  # first cut by hash, so that no task sends more than its part
-    low = -(1 << 63) + int(share * ((1 << 64) - 1))
+    low = min(-(1 << 63) + int(share * (1 << 64)), (1 << 63) - 1)
     rows = fit.where(F.col("mark") <= low).orderBy("mark", "id").limit(most).select("text").collect()
     return [r["text"] for r in rows]
 
