@@ -96,7 +96,11 @@ class PairModel:
         return np.where(self.pairs[at] == keys, self.weights[at], self.unseen)
 
     def text(self, text: str) -> tuple[float, int]:
-        """Sum of the weights of the pairs that matter in a short text, and their number."""
+        """Sum of the weights of the pairs that matter, and their number."""
+        if len(text) > 48:
+            codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            at = special_pairs(codes)
+            return float(self.of((classes(codes[at]) << 21) | classes(codes[at + 1])).sum()), len(at)
         get, total, n = self.table.get, 0.0, 0
         before, special = -1, False
         for c in text:
@@ -248,7 +252,32 @@ def gained(before: tuple[float, int], after: tuple[float, int]) -> float:
 LOST_INSIDE = re.compile(r"[^\W\d_]\?[^\W\d_]")
 
 
-def restore(text: str, model: PairModel, fit: list, maps: list, level: float, rounds: int = 3) -> tuple[str, str | None]:
+class Effects:
+    """What each mapping makes of a short run, remembered: the same runs come up again and again."""
+
+    def __init__(self, model: PairModel, limit: int = 200_000):
+        self.model, self.limit, self.seen, self.base = model, limit, {}, {}
+
+    def __call__(self, m, run: str) -> tuple[str, float, int] | None:
+        """(result, bits won, pairs of the run), or None where the mapping changes or wins nothing."""
+        key = (m.name, run)
+        if key in self.seen:
+            return self.seen[key]
+        if len(self.seen) >= self.limit:
+            self.seen.clear()
+            self.base.clear()
+        out = m(run)
+        won = None
+        if out != run:
+            if (before := self.base.get(run)) is None:
+                before = self.base[run] = self.model.text(run)
+            if (more := m.worth(before, self.model.text(out), run, out)) > 0:
+                won = (out, more, before[1])
+        self.seen[key] = won
+        return won
+
+
+def restore(text: str, model: PairModel, effects: Effects, fit: list, maps: list, level: float, rounds: int = 3) -> tuple[str, str | None]:
     """(text with its garbled runs restored, names of the mappings used or None). ``fit`` are the mappings to try first, ``maps`` those for what a first one leaves."""
     used = []
     for _ in range(rounds):
@@ -263,19 +292,17 @@ def restore(text: str, model: PairModel, fit: list, maps: list, level: float, ro
             else:
                 wide.append([x, y])
         old = [text[a:b] for a, b in wide]
-        base = [model.text(x) for x in old]
         best = (0.0, None, None)
         for m in maps if used else fit:
             gain, new, changed, pairs = 0.0, [], [], 0
-            for x, before in zip(old, base):
-                y = m(x)
-                if y != x and (more := m.worth(before, model.text(y), x, y)) > 0:
-                    gain += more
-                    pairs += before[1]
-                    new.append(y)
-                    changed += [p for p, q in zip(x, y) if p != q] if len(x) == len(y) else [x]
-                else:
+            for x in old:
+                if (won := effects(m, x)) is None:
                     new.append(x)
+                    continue
+                y, more, n = won
+                gain, pairs = gain + more, pairs + n
+                new.append(y)
+                changed += [p for p, q in zip(x, y) if p != q] if len(x) == len(y) else [x]
             if gain > best[0] and m.enough(gain, changed, pairs):
                 best = (gain, new, m.name)
         if best[1] is None:
@@ -311,6 +338,7 @@ def garbled(rows: DataFrame, id_col: str, columns: list[str], level: float = -7.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, maps = PairModel(*shared.value), readers()
+        effects = Effects(known)
         by_sequence, by_byte = ([m for m in maps if isinstance(m, kind)] for kind in (Utf8Reader, ByteReader))
         for batch in batches:
             ids, names, texts = (batch.column(i).to_pylist() for i in range(3))
@@ -326,7 +354,7 @@ def garbled(rows: DataFrame, id_col: str, columns: list[str], level: float = -7.
                         look[k] = [*look.get(k, []), m]
                 for k, fit in look.items():
                     text = texts[i + k]
-                    fixed, mapping = restore(text, known, fit, maps, level)
+                    fixed, mapping = restore(text, known, effects, fit, maps, level)
                     gone = "�" in text or (bool(LOST_INSIDE.search(text)) and not re.search(r"\S+[/=]\S*\?", text))
                     if mapping or gone:
                         out.append((ids[i + k], names[i + k], fixed, mapping, gone))
