@@ -1,3 +1,186 @@
-"""The SQL that the core queries are compared with."""
+"""The SQL that the core queries are compared with: written for DuckDB, from the definitions and not from the plans."""
 
-ORACLES: dict[str, str] = {}
+from pressloom.functions.text import STOPWORDS
+from pressloom.operators.framing import LEFT, LEFT_ACTORS, LOADED, OPINION, RIGHT, RIGHT_ACTORS
+from pressloom.operators.topics import lexicon
+
+
+def _list(words: list[str]) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in dict.fromkeys(words)) + "]"
+
+
+def fold(x: str) -> str:
+    return f"strip_accents(lower({x}))"
+
+
+def toks(x: str, stop: bool = False) -> str:
+    found = f"list_transform(regexp_extract_all({fold(x)}, '[a-z0-9][a-z0-9''’+.#-]*'), lambda w: trim(w, '''’.-'))"
+    keep = "len(w) >= 2" + (f" AND NOT list_contains({_list(STOPWORDS)}, w)" if stop else "")
+    return f"list_filter({found}, lambda w: {keep})"
+
+
+SPACES = r"trim(regexp_replace({}, '[\s\p{{Z}}]+', ' ', 'g'))"
+BODY = "CASE WHEN len(coalesce(content, '')) > len(coalesce(summary, '')) THEN coalesce(content, '') ELSE coalesce(summary, '') END"
+BLOB = f"coalesce(title, '') || '. ' || {BODY}"
+KEY = r"""
+    regexp_extract({u}, '^[a-zA-Z]+://([^/?#]+)', 1) AS h, regexp_extract({u}, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1) AS p, regexp_extract({u}, '\?([^#]*)', 1) AS q
+"""
+TRACK = r"^(utm_\w+|fbclid|gclid|gbraid|wbraid|msclkid|mc_[ce]id|igshid|ref|ref_src|referrer|source|cmpid|ncid|smid|partner|at_medium|at_campaign|guccounter|guce_\w+|__twitter_impression|amp|spm|share|sh)$"
+
+
+def keyed(src: str, url: str, cols: str, where: str = "true") -> str:
+    """A subquery of ``src`` with ``key``, the canonical address of an http(s) ``url``."""
+    return rf"""(
+        SELECT {cols}, 'https://' || regexp_replace(regexp_replace(lower(h), '^www\.', ''), ':(80|443)$', '')
+            || CASE WHEN p2 = '' THEN '/' WHEN len(p2) > 1 THEN regexp_replace(p2, '/+$', '') ELSE p2 END
+            || CASE WHEN len(qs) > 0 THEN '?' || array_to_string(qs, '&') ELSE '' END AS key
+        FROM (SELECT *, regexp_replace(regexp_replace(p, ';[^/]*$', ''), '(?i)/amp/?$|\.amp$|/amp\.html$', '') AS p2,
+                list_transform(list_sort(list_transform(list_filter(string_split(q, '&'), lambda x: regexp_matches(x, '^[^=]+=.+') AND NOT regexp_matches(string_split(x, '=')[1], '(?i){TRACK}')),
+                    lambda x: {{'k': string_split(x, '=')[1], 'v': substr(x, len(string_split(x, '=')[1]) + 2)}})), lambda r: r.k || '=' || r.v) AS qs
+            FROM (SELECT *, {KEY.format(u=f"trim({url})")} FROM {src} WHERE {where})))"""
+
+
+def _hits(words: list[str]) -> str:
+    return f"CAST(len(list_filter({_list(words)}, lambda t: list_contains(w, t))) AS BIGINT)"
+
+
+def _topic_rows() -> str:
+    rows = []
+    for topic, terms in lexicon().items():
+        single = [t for t in terms if " " not in t and "." not in t]
+        parts = [f"len(list_filter({_list(single)}, lambda t: list_contains(w, t))) * 1.0"]
+        parts += [f"CASE WHEN regexp_matches(f, '(^|[^a-z0-9]){t}(es|s)?($|[^a-z0-9])') THEN 1.6 ELSE 0.0 END" for t in terms if t not in single]
+        rows.append(f"SELECT id, '{topic}' AS topic, round(CAST({' + '.join(parts)} AS DOUBLE), 6) AS points FROM t")
+    return " UNION ALL ".join(rows)
+
+
+_TOPIC_CTE = f"""t AS (SELECT id, {toks("x")} AS w, {fold("x")} AS f FROM (SELECT id, coalesce(title, '') || '. ' || coalesce(summary, '') || ' ' || substr(coalesce(content, ''), 1, 2000) AS x FROM articles)),
+    pts AS (SELECT * FROM ({_topic_rows()}) WHERE points > 0)"""
+_EMPTY = "CAST([] AS VARCHAR[])"
+_SPLIT = r"""regexp_replace({}, '([.!?])\s+(["''“(\[]?[A-Z0-9])', '\1' || chr(30) || '\2', 'g')"""
+_FEEDS = "(SELECT DISTINCT source_id, fetched_at, status FROM raw_feeds)"
+
+ORACLES: dict[str, str] = {
+    "bm25_top20": r"""
+        WITH w AS (SELECT id, unnest([{'c': 8.0, 'x': title}, {'c': 3.0, 'x': summary}, {'c': 1.0, 'x': content}]) AS u FROM articles),
+        l AS (SELECT id, u.c AS c, regexp_extract_all(strip_accents(lower(coalesce(u.x, ''))), '[\p{L}\p{N}]+') AS ws FROM w),
+        r AS (SELECT id, sum(len(ws)) AS len, """
+    + ", ".join(f"sum(c * len(list_filter(ws, lambda x: x = '{t}'))) AS t{i}" for i, t in enumerate(("satellite", "planetarium", "budget")))
+    + """ FROM l GROUP BY id),
+        f AS (SELECT count(*) AS n, avg(len) AS a, count(*) FILTER (t0 > 0) AS n0, count(*) FILTER (t1 > 0) AS n1, count(*) FILTER (t2 > 0) AS n2 FROM r)
+        SELECT id, round(CAST("""
+    + " + ".join(f"(CASE WHEN ln((n - n{i} + 0.5) / (n{i} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - n{i} + 0.5) / (n{i} + 0.5)) END) * t{i} * 2.2 / (t{i} + 1.2 * (0.25 + 0.75 * len / a))" for i in range(3))
+    + """ AS DOUBLE), 9) AS bm25 FROM r, f WHERE t0 + t1 + t2 > 0 ORDER BY bm25 DESC, id LIMIT 20
+    """,
+    "token_stats": f"SELECT doc_id, len(w) AS n_tokens, len(list_distinct(w)) AS n_distinct FROM (SELECT doc_id, {toks('text')} AS w FROM documents)",
+    "token_document_frequency": f"SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct({toks('title')})) AS token FROM articles) GROUP BY token",
+    "distinctive_words": f"SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct({toks('title')})) AS token FROM articles) WHERE len(token) >= 4 AND NOT regexp_matches(token, '^[0-9]+$') GROUP BY token HAVING count(*) <= 6",
+    "sentence_counts": f"SELECT doc_id, len(s) AS n_sentences, s[1] AS first_sentence FROM (SELECT doc_id, string_split({_SPLIT.format(SPACES.format('text'))}, chr(30)) AS s FROM documents)",
+    "truncated_titles": r"""
+        SELECT id, CASE WHEN len(title) <= 40 THEN title ELSE regexp_replace(CASE WHEN contains(substr(title, 1, 40), ' ') THEN regexp_replace(substr(title, 1, 40), ' [^ ]*$', '') ELSE substr(title, 1, 40) END, '[ ,;:.-]+$', '') || '…' END AS short_title
+        FROM articles
+    """,
+    "content_hashes": f"SELECT id, sha256({fold(SPACES.format('title'))} || chr(31) || {fold(SPACES.format('canonical_url'))} || chr(31)) AS digest FROM articles",
+    "title_simhash": f"""
+        WITH c AS (SELECT id, list_transform({toks('title')}, lambda t: ('0x' || substr(md5(t), 1, 15))::BIGINT) AS h FROM articles),
+        b AS (SELECT id, h, unnest(range(0, 60)) AS i FROM c)
+        SELECT id, CAST(sum(CASE WHEN 2 * len(list_filter(h, lambda x: (x >> i) & 1 = 1)) > len(h) THEN 1::BIGINT << i ELSE 0 END) AS BIGINT) AS hash FROM b GROUP BY id
+    """,
+    "canonical_urls": f"SELECT id, key FROM {keyed('articles', 'url', 'id')}",
+    "newest_per_source": "SELECT id, source_id FROM articles QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY retrieved_at DESC NULLS LAST, id) <= 40",
+    "richest_copy": f"""
+        WITH k AS (SELECT * FROM {keyed('articles', 'url', 'id, content, summary, published_at')})
+        SELECT key, id, n_copies FROM (SELECT key, id, count(*) OVER (PARTITION BY key) AS n_copies,
+            row_number() OVER (PARTITION BY key ORDER BY len(coalesce(content, '')) DESC, len(coalesce(summary, '')) DESC, coalesce(published_at, '') <> '' DESC, id) AS n FROM k) WHERE n = 1
+    """,
+    "content_hash_copies": "SELECT content_hash, count(*) AS n_copies FROM articles WHERE content_hash <> '' GROUP BY content_hash HAVING count(*) > 1",
+    "story_pairs": f"""
+        WITH r AS (SELECT id, list_distinct({toks('title', True)}) AS s, list_distinct(list_transform(coalesce(entities, {_EMPTY}), lambda e: lower(e))) AS e, retrieved_at AS t FROM articles WHERE retrieved_at IS NOT NULL),
+        w AS (SELECT id, unnest(s) AS w FROM r), cool AS (SELECT w FROM w GROUP BY w HAVING count(*) BETWEEN 2 AND 60), p AS (SELECT id, w FROM w JOIN cool USING (w)),
+        c AS (SELECT DISTINCT x.id AS a, y.id AS b FROM p x JOIN p y ON x.w = y.w AND x.id < y.id),
+        m AS (SELECT a, b, len(list_intersect(x.s, y.s)) / least(len(x.s), len(y.s)) AS k,
+                CASE WHEN len(x.e) = 0 OR len(y.e) = 0 THEN 0 ELSE len(list_intersect(x.e, y.e)) / len(list_distinct(list_concat(x.e, y.e))) END AS j, abs(epoch_us(x.t) - epoch_us(y.t)) AS gap
+            FROM c JOIN r x ON x.id = a JOIN r y ON y.id = b)
+        SELECT a, b FROM m WHERE gap <= 48 * 3600000000 AND (k >= 0.62 OR (k >= 0.42 AND j >= 0.34))
+    """,
+    "enabled_sources": "SELECT id, lower(name) AS name FROM sources WHERE enabled",
+    "enriched_articles": "SELECT a.id, s.lean AS outlet_lean, s.source_type, s.country FROM articles a LEFT JOIN sources s ON s.id = a.source_id",
+    "ingest_stats": """
+        SELECT count(*) AS n_articles, count(DISTINCT source_id) AS n_sources, strftime(max(retrieved_at) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS newest,
+            count(*) FILTER (retrieved_at >= (SELECT max(retrieved_at) FROM articles) - INTERVAL 24 HOUR) AS n_last_day FROM articles
+    """,
+    "recent_articles": "SELECT id FROM articles ORDER BY retrieved_at DESC, id LIMIT 100",
+    "retention": "SELECT id FROM articles WHERE retrieved_at IS NULL OR retrieved_at >= TIMESTAMPTZ '2024-06-01 00:00:00+00' - INTERVAL (180 * 24) HOUR",
+    "feed_streaks": f"""
+        WITH f AS {_FEEDS}, i AS (SELECT *, sum(CASE WHEN status = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY source_id ORDER BY fetched_at, status ROWS UNBOUNDED PRECEDING) AS g FROM f),
+        s AS (SELECT source_id, g, count(*) FILTER (status = 'error') AS n FROM i GROUP BY source_id, g)
+        SELECT source_id, max(n) AS worst, (SELECT count(*) FROM f WHERE f.source_id = s.source_id) AS n_fetches FROM s GROUP BY source_id
+    """,
+    "feed_states": f"""
+        WITH f AS {_FEEDS}, g AS (SELECT source_id, max({{'a': fetched_at, 'b': status}}) FILTER (status <> 'error') AS good FROM f GROUP BY source_id)
+        SELECT f.source_id, strftime(max(fetched_at) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS last_fetch, strftime(max(fetched_at) FILTER (status <> 'error') AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS last_success,
+            max_by(status, {{'a': fetched_at, 'b': status}}) AS last_status, count(*) FILTER (good IS NULL OR {{'a': fetched_at, 'b': status}} > good) AS failures
+        FROM f JOIN g USING (source_id) GROUP BY f.source_id
+    """,
+    "due_feeds": f"""
+        WITH f AS {_FEEDS}, g AS (SELECT source_id, max({{'a': fetched_at, 'b': status}}) FILTER (status <> 'error') AS good FROM f GROUP BY source_id),
+        n AS (SELECT f.source_id, count(*) FILTER (good IS NULL OR {{'a': fetched_at, 'b': status}} > good) AS failures FROM f JOIN g USING (source_id) GROUP BY f.source_id)
+        SELECT s.id, coalesce(n.failures, 0) AS failures FROM sources s LEFT JOIN n ON n.source_id = s.id WHERE s.enabled AND coalesce(n.failures, 0) < 2
+    """,
+    "new_entries": f"SELECT DISTINCT key AS canonical_url FROM {keyed('raw_entries', 'link', 'entry_id', 'link IS NOT NULL')} k WHERE NOT EXISTS (SELECT 1 FROM articles a WHERE a.canonical_url = k.key)",
+    "known_entries": f"SELECT DISTINCT key AS canonical_url FROM {keyed('raw_entries', 'link', 'entry_id', 'link IS NOT NULL')} k WHERE EXISTS (SELECT 1 FROM articles a WHERE a.canonical_url = k.key)",
+    "upserted_articles": """
+        WITH m AS (SELECT (min(run_no) + max(run_no)) / 2 AS m FROM articles WHERE canonical_url IS NOT NULL),
+        r AS (SELECT a.*, run_no > m AS late FROM articles a, m WHERE canonical_url IS NOT NULL QUALIFY row_number() OVER (PARTITION BY canonical_url, run_no > m ORDER BY id DESC) = 1),
+        o AS (SELECT * FROM r WHERE NOT late), n AS (SELECT * FROM r WHERE late)
+        SELECT coalesce(o.canonical_url, n.canonical_url) AS canonical_url, coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NOT NULL THEN n.title ELSE o.title END AS title,
+            greatest(len(coalesce(o.summary, '')), len(coalesce(n.summary, ''))) AS n_summary, greatest(len(coalesce(o.content, '')), len(coalesce(n.content, ''))) AS n_content,
+            coalesce(o.published_at, n.published_at) AS published_at, CASE WHEN o.id IS NULL THEN 'inserted' WHEN n.id IS NULL THEN 'kept' ELSE 'updated' END AS change
+        FROM o FULL OUTER JOIN n ON o.canonical_url = n.canonical_url
+    """,
+    "newest_fetches": f"SELECT source_id, strftime(fetched_at AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS fetched, status FROM {_FEEDS} QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY fetched_at DESC, status) <= 3",
+    "unused_sources": "SELECT id FROM sources s WHERE NOT EXISTS (SELECT 1 FROM articles a WHERE a.source_id = s.id)",
+    "event_props": "SELECT event_type, count(*) AS n_events, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS sum_k, max(CAST(json_extract(props, '$.k') AS BIGINT)) AS max_k FROM events GROUP BY event_type",
+    "lean_shares": "SELECT coalesce(bias.lean, 'unknown') AS lean, count(*) AS n, round(count(*) / (SELECT count(*) FROM articles), 6) AS share FROM articles GROUP BY 1",
+    "topic_points": f"WITH {_TOPIC_CTE} SELECT id, topic, points FROM pts",
+    "article_topics": f"""
+        WITH {_TOPIC_CTE}, g AS (SELECT *, topic IN ('technology', 'world', 'business', 'science') AS generic FROM pts),
+        s AS (SELECT id, topic, CASE WHEN generic AND bool_or(NOT generic AND points >= 2.0) OVER (PARTITION BY id) THEN points * 0.45 ELSE points END AS v FROM g),
+        r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY v DESC, topic) AS n, max(v) OVER (PARTITION BY id) AS best FROM s),
+        k AS (SELECT id, string_agg(topic, ',' ORDER BY n) AS topics FROM r WHERE n <= 3 AND best >= 1.5 AND v >= greatest(1.5, best * 0.45) GROUP BY id)
+        SELECT a.id, coalesce(k.topics, 'general') AS topics FROM articles a LEFT JOIN k USING (id)
+    """,
+    "framing_measures": f"""
+        SELECT id, {_hits(LOADED)} AS n_loaded, {_hits(OPINION)} AS n_opinion, {_hits(LEFT)} AS n_left, {_hits(RIGHT)} AS n_right, {_hits(LEFT_ACTORS)} AS n_left_actors, {_hits(RIGHT_ACTORS)} AS n_right_actors
+        FROM (SELECT id, {toks(BLOB)} AS w FROM articles)
+    """,
+    "lean_badges": """
+        SELECT id, CASE WHEN bias IS NULL THEN 'unknown' WHEN coalesce(bias.lean, 'unknown') <> 'unknown' THEN bias.lean WHEN coalesce(bias.source_lean, 'unknown') NOT IN ('unknown', 'not-applicable') THEN bias.source_lean ELSE 'unknown' END AS shown_lean,
+            CASE WHEN bias IS NULL THEN 'none' WHEN coalesce(bias.lean, 'unknown') <> 'unknown' THEN 'article' WHEN coalesce(bias.source_lean, 'unknown') NOT IN ('unknown', 'not-applicable') THEN 'source' ELSE 'none' END AS basis
+        FROM articles
+    """,
+    "story_coverage": """
+        WITH a AS (SELECT cluster_id, source_id, coalesce(bias.lean_score, 0.0) AS s, coalesce(bias.is_opinion, false) AS o, coalesce(bias.lean, 'unknown') IN ('left', 'center-left', 'center', 'center-right', 'right') AS p FROM articles WHERE cluster_id <> '')
+        SELECT cluster_id, count(*) AS n_articles, count(DISTINCT source_id) AS n_sources, count(*) FILTER (o) AS n_opinion,
+            round(CASE WHEN count(*) FILTER (p) >= 2 THEN max(s) FILTER (p) - min(s) FILTER (p) ELSE 0.0 END, 3) AS lean_spread FROM a GROUP BY cluster_id
+    """,
+    "story_headline_terms": f"""
+        WITH a AS (SELECT cluster_id, title, coalesce(bias.lean_score, 0.0) AS s, coalesce(bias.lean, 'unknown') IN ('left', 'center-left', 'center', 'center-right', 'right') AS p FROM articles WHERE cluster_id <> ''),
+        d AS (SELECT *, CASE WHEN p AND s < -0.15 THEN 'l' WHEN p AND s > 0.15 THEN 'r' END AS side FROM a),
+        g AS (SELECT cluster_id, bool_or(side = 'l') AS hl, bool_or(side = 'r') AS hr FROM d GROUP BY cluster_id),
+        w AS (SELECT cluster_id, w, bool_or(side = 'l') AS l, bool_or(side = 'r') AS r FROM (SELECT cluster_id, side, unnest({toks('title', True)}) AS w FROM d WHERE side IS NOT NULL) GROUP BY cluster_id, w)
+        SELECT g.cluster_id, CASE WHEN hr THEN coalesce((SELECT list(w ORDER BY w)[1:12] FROM w WHERE w.cluster_id = g.cluster_id AND l AND NOT r), {_EMPTY}) ELSE {_EMPTY} END AS left_terms,
+            CASE WHEN hl THEN coalesce((SELECT list(w ORDER BY w)[1:12] FROM w WHERE w.cluster_id = g.cluster_id AND r AND NOT l), {_EMPTY}) ELSE {_EMPTY} END AS right_terms FROM g
+    """,
+    "citation_check": r"SELECT doc_id, [1, 3] AS valid, ['[7]'] AS invalid, len(trim(regexp_replace(regexp_replace(substr(text, 1, 200) || ' [1] [3].', '[ \t]{2,}', ' ', 'g'), ' +([.,;:!?])', '\1', 'g'))) AS n_clean FROM documents",
+    "sentence_ranks": f"""
+        WITH p AS (SELECT doc_id, unnest(string_split({_SPLIT.format(SPACES.format('text'))}, chr(30))) AS s, unnest(range(len(string_split({_SPLIT.format(SPACES.format('text'))}, chr(30))))) AS k FROM documents),
+        h AS (SELECT *, sum(CASE WHEN len(s) < 25 AND k > 0 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) - 1 AS pos FROM p WHERE s <> ''),
+        s AS (SELECT doc_id, CAST(pos AS BIGINT) AS pos, string_agg(s, ' ' ORDER BY k) AS s FROM h GROUP BY doc_id, pos),
+        t AS (SELECT doc_id, pos, {toks('s', True)} AS w FROM s), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        e AS (SELECT doc_id, pos, unnest(list_distinct(w)) AS x FROM t), f AS (SELECT doc_id, x, count(*) AS df FROM e GROUP BY doc_id, x),
+        c AS (SELECT doc_id, pos, sum(ln(1 + n / (1 + df)) * df) / sqrt(count(*)) AS c FROM e JOIN f USING (doc_id, x) JOIN n USING (doc_id) GROUP BY doc_id, pos)
+        SELECT doc_id, pos, round(coalesce(c / (1 + 0.35 * pos) * CASE WHEN len(w) BETWEEN 8 AND 45 THEN 1.0 WHEN len(w) < 8 THEN 0.55 ELSE 0.8 END, 0.0), 6) AS score FROM t LEFT JOIN c USING (doc_id, pos)
+    """,
+    "stream_daily_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+}
