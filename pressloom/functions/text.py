@@ -79,9 +79,8 @@ def tokens(text: Column, drop_stopwords: bool = True) -> Column:
     """Folded tokens of at least two characters, in order; null has none."""
     found = F.regexp_extract_all(F.coalesce(fold(text), F.lit("")), F.lit(f"({TOKEN})"), F.lit(1))
     found = F.transform(found, lambda x: F.regexp_replace(x, f"^[{EDGES}]+|[{EDGES}]+$", ""))
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
     if drop_stopwords:
-        return F.filter(found, lambda x: (F.length(x) >= 2) & ~F.array_contains(stop, x))
+        return F.filter(found, lambda x: (F.length(x) >= 2) & ~x.isin(STOPWORDS))
     return F.filter(found, lambda x: F.length(x) >= 2)
 
 
@@ -108,7 +107,8 @@ def truncate(text: Column, limit: int, suffix: str = "…") -> Column:
 def contains_term(folded: Column, term: str) -> Column:
     """Whether a folded text has a word or phrase, also in its plural."""
     quoted = "\\Q" + term.replace("\\E", "") + "\\E"
-    return F.coalesce(folded.rlike(rf"(?<![a-z0-9]){quoted}(?:es|s)?(?![a-z0-9])"), F.lit(False))
+    whole = folded.rlike(rf"(?<![a-z0-9]){quoted}(?:es|s)?(?![a-z0-9])")
+    return F.coalesce(F.contains(folded, F.lit(term)) & whole, F.lit(False))  # the plain search is cheap and mostly fails
 
 
 def entities(text: Column, most: int = 12) -> Column:
@@ -117,8 +117,7 @@ def entities(text: Column, most: int = 12) -> Column:
     acronyms = F.filter(F.regexp_extract_all(text, F.lit(r"\b([A-Z][A-Za-z0-9]*(?:[A-Z][A-Za-z0-9]*)+)\b"), F.lit(1)), lambda x: F.length(x).between(2, 24))
     bodies = F.transform(sentences(text, 1), lambda s: F.when(F.contains(s, F.lit(" ")), F.regexp_replace(s, r"^[^ ]* ", "")).otherwise(""))
     proper = F.flatten(F.transform(bodies, lambda b: F.regexp_extract_all(b, F.lit(r"\b([A-Z][a-z]{2,}(?:\s+[A-Z][a-z]{2,}){0,3})\b"), F.lit(1))))
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    proper = F.filter(proper, lambda x: ~F.array_contains(stop, F.lower(x)))
+    proper = F.filter(proper, lambda x: ~F.lower(x).isin(STOPWORDS))
     every = F.concat(acronyms, proper)
     count = lambda a, x: F.size(F.filter(a, lambda y: y == x))
     ranked = F.transform(F.array_distinct(every), lambda x: F.struct((-2 * count(acronyms, x) - count(proper, x)).alias("w"), x.alias("t")))

@@ -10,6 +10,7 @@ from pressloom.functions import text as X
 from pressloom.operators.interests import MATCH, Interest, with_interests
 from pressloom.operators.summarize import best_text
 from pressloom.schemas import fields
+from pressloom.session import spool
 
 SECTIONS, PER_SECTION, TOTAL, LOOKBACK, DISTINCTIVE = 8, 5, 30, 36.0, 6
 
@@ -17,7 +18,9 @@ SECTIONS, PER_SECTION, TOTAL, LOOKBACK, DISTINCTIVE = 8, 5, 30, 36.0, 6
 def ranked(df: DataFrame, interests: list[Interest], now: Column, time: Column, lookback: float = LOOKBACK) -> DataFrame:
     """Articles of the last ``lookback`` hours with ``rank_score``; with interests only those that match one."""
     recent = df.where(time >= F.timestamp_micros(F.unix_micros(now) - int(lookback * 3.6e9)))
-    df = with_interests(recent, interests)
+    shown = [c for c in df.columns if c not in ("content", "summary")]
+    df = with_interests(recent.withColumn("_size", F.length(best_text())), interests).select(*shown, "_size", "matched", "interest", "labels")
+    df = spool(df, "ranked")  # scored once: the filter below would otherwise score again
     if interests:
         df = df.where(F.col("interest") >= MATCH)
     age = F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros(time)) / 3.6e9)
@@ -25,7 +28,7 @@ def ranked(df: DataFrame, interests: list[Interest], now: Column, time: Column,
     opinion = F.when(F.coalesce("is_opinion", F.lit(False)), 0.12).otherwise(0.0)
     promo = F.when(F.array_contains(F.coalesce("framing", F.array().cast("array<string>")), "first-party"), 0.08).otherwise(0.0)
     dated = F.when(time.isNotNull(), 1.0).otherwise(0.4)
-    return df.withColumn("rank_score", 0.50 * F.col("interest") + 0.28 * fresh + 0.12 * F.least(F.lit(1.0), F.length(best_text()) / 900.0) + 0.10 * dated - opinion - promo)
+    return df.withColumn("rank_score", 0.50 * F.col("interest") + 0.28 * fresh + 0.12 * F.least(F.lit(1.0), F.col("_size") / 900.0) + 0.10 * dated - opinion - promo).drop("_size")
 
 
 def grouped(df: DataFrame, id_col: str = "id") -> DataFrame:

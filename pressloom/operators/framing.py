@@ -75,7 +75,7 @@ def assess(df: DataFrame) -> DataFrame:
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     body = F.when(F.length(text("content")) > F.length(text("summary")), text("content")).otherwise(text("summary"))
     blob = F.concat(text("title"), F.lit(". "), body)
-    df = df.withColumns({"_blob": blob, "_words": X.tokens(blob, drop_stopwords=False), "_title": F.array_distinct(X.tokens(F.col("title"), drop_stopwords=False))})
+    df = df.withColumn("_blob", blob).withColumns({"_words": X.tokens(F.col("_blob"), drop_stopwords=False), "_title": F.array_distinct(X.tokens(F.col("title"), drop_stopwords=False))})
     df = df.withColumns(
         {
             "n_tokens": F.greatest(F.lit(1), F.size("_words")),

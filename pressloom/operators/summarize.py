@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from pressloom.functions import text as X
+from pressloom.schemas import fields
+from pressloom.search.terms import token_list
 
 
 def best_text(content: str = "content", summary: str = "summary") -> Column:
@@ -15,40 +24,61 @@ def best_text(content: str = "content", summary: str = "summary") -> Column:
     return F.when(F.length(c) > F.length(s), c).otherwise(s)
 
 
-def sentence_scores(texts: DataFrame, id_col: str, parts: Column) -> DataFrame:
-    """(id, pos, sentence, words, score) of each sentence in the array ``parts`` of each row.
+def scored_sentences(parts: list[str]) -> list[tuple[str, list[str], float]]:
+    """(sentence, distinct words, score) of the sentences of one text.
 
     A sentence counts the inverse sentence frequency of its words times their
     number of sentences, over the root of its words; earlier ones and those of 8
-    to 45 words count more. The frequencies are of one text, so everything is one
-    aggregation by (id, word) and one by (id, sentence).
+    to 45 words count more.
     """
-    s = texts.select(F.col(id_col).alias("id"), F.posexplode(parts).alias("pos", "sentence")).withColumn("tokens", X.tokens(F.col("sentence")))
-    n = s.groupBy("id").agg(F.count("*").alias("n"))
-    word = s.select("id", "pos", F.explode(F.array_distinct("tokens")).alias("w"))
-    freq = word.groupBy("id", "w").agg(F.count("*").alias("df"))
-    central = (
-        word.join(freq, ["id", "w"]).join(n, "id")
-        .groupBy("id", "pos").agg((F.sum(F.log(1 + F.col("n") / (1 + F.col("df"))) * F.col("df")) / F.sqrt(F.count("*"))).alias("central"))
-    )
-    size = F.size("tokens")
-    prior = F.when(size.between(8, 45), 1.0).when(size < 8, 0.55).otherwise(0.8)
-    out = s.join(central, ["id", "pos"], "left")
-    return out.select("id", "pos", "sentence", F.array_distinct("tokens").alias("words"), F.coalesce(F.col("central") / (1 + 0.35 * F.col("pos")) * prior, F.lit(0.0)).alias("score"))
+    tokens = [token_list(s) for s in parts]
+    freq = Counter(w for t in tokens for w in set(t))
+    weight = {w: math.log(1 + len(parts) / (1 + n)) * n for w, n in freq.items()}
+    out = []
+    for i, (s, t) in enumerate(zip(parts, tokens)):
+        own = list(dict.fromkeys(t))
+        central = math.fsum(weight[w] for w in own) / math.sqrt(len(own)) if own else 0.0
+        out.append((s, own, central / (1 + 0.35 * i) * (1.0 if 8 <= len(t) <= 45 else 0.55 if len(t) < 8 else 0.8)))
+    return out
 
 
-def summaries(df: DataFrame, id_col: str, most: int = 2, limit: int = 400) -> DataFrame:
-    """(id, brief) of each article: its best ``most`` sentences in their order; the whole text when it has no more; summary or title when it has none.
+SCORED = fields("id string, pos int, sentence string, words string[], score double")
+
+
+def sentence_scores(texts: DataFrame, id_col: str, parts: Column) -> DataFrame:
+    """(id, pos, sentence, words, score) of each sentence in the array ``parts`` of each row.
 
-    The best sentences of a text are taken inside its own row array, which a text bounds.
+    The figures are those of one text, so a text is scored where it lies and
+    nothing is shuffled.
     """
-    parts = X.sentences(best_text())
-    rows = sentence_scores(df, id_col, parts)
-    pick = F.slice(F.array_sort(F.collect_list(F.struct((-F.round("score", 9)).alias("s"), "pos", "sentence"))), 1, most)
-    chosen = rows.groupBy("id").agg(F.array_sort(F.transform(pick, lambda x: F.struct(x["pos"].alias("p"), x["sentence"].alias("t")))).alias("c"))
-    text = X.truncate(F.array_join(F.transform("c", lambda x: x["t"]), " "), limit)
+    kind = texts.select(id_col).schema[0].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, k, *x) for i, ps in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for k, x in enumerate(scored_sentences(ps or []))]
+            cols = list(zip(*rows)) if rows else [[] for _ in SCORED.names]
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=SCORED.names)
+
+    out = texts.select(F.col(id_col).cast("string").alias("id"), parts.alias("parts")).mapInArrow(run, SCORED)
+    return out.withColumn("id", F.col("id").cast(kind))
+
+
+def summaries(df: DataFrame, id_col: str, most: int = 2, limit: int = 400) -> DataFrame:
+    """(id, brief) of each article: its best ``most`` sentences in their order; summary or title when it has none. No shuffle."""
+
+    def best(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(pick)
+
+    def pick(parts) -> str | None:
+        rows = scored_sentences(list(parts)) if parts is not None else []
+        chosen = sorted(sorted(range(len(rows)), key=lambda i: (-round(rows[i][2], 9), i))[:most])
+        return " ".join(rows[i][0] for i in chosen) or None
+
+    text = X.truncate(F.pandas_udf(best, T.StringType())(X.sentences(best_text())), limit)
     rest = X.truncate(F.coalesce(F.nullif(F.col("summary"), F.lit("")), F.col("title"), F.lit("")), limit)
-    return df.withColumnRenamed(id_col, "id").join(chosen, "id", "left").select("id", F.coalesce(text, rest).alias("brief"))
+    return df.select(F.col(id_col).alias("id"), F.coalesce(text, rest).alias("brief"))
 
 
 def group_summaries(df: DataFrame, group: str, id_col: str, most: int = 3, limit: int = 600, members: int = 6, per_member: int = 6, alike: float = 0.6) -> DataFrame:

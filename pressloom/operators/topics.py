@@ -45,9 +45,11 @@ def load_lexicon(path: str) -> dict[str, list[str]]:
     return json.loads(Path(path).read_text())
 
 
-def topic_scores(text: Column, lex: dict[str, list[str]]) -> Column:
-    """Map topic -> score: one a distinct word, 1.6 a phrase; topics without a hit are absent. Tokens keep stopwords."""
-    folded, words = F.coalesce(X.fold(text), F.lit("")), X.tokens(text, drop_stopwords=False)
+def topic_scores(folded: Column, words: Column, lex: dict[str, list[str]]) -> Column:
+    """Map topic -> score of a folded text and its tokens (stopwords kept): one a distinct word, 1.6 a phrase; topics without a hit are absent.
+
+    Both should be columns and not expressions: every topic looks at them.
+    """
 
     def entry(topic: str, terms: list[str]) -> Column:
         single = [t for t in terms if " " not in t and "." not in t]
@@ -76,7 +78,14 @@ def article_text(title: str = "title", summary: str = "summary", content: str =
     return F.concat(part(title), F.lit(". "), part(summary), F.lit(" "), F.substring(part(content), 1, 2000))
 
 
+def scored(df: DataFrame, lex: dict[str, list[str]] | None = None) -> DataFrame:
+    """``df`` with ``topic_scores``; the text is folded and cut into words once, for all topics."""
+    lex = lex or lexicon()
+    every = sorted({t for ws in lex.values() for t in ws if " " not in t and "." not in t})
+    df = df.withColumn("_text", article_text()).withColumns({"_folded": F.coalesce(X.fold(F.col("_text")), F.lit("")), "_words": F.filter(X.tokens(F.col("_text"), drop_stopwords=False), lambda w: w.isin(every))})
+    return df.withColumn("topic_scores", topic_scores(F.col("_folded"), F.col("_words"), lex)).drop("_text", "_folded", "_words")
+
+
 def with_topics(df: DataFrame, lex: dict[str, list[str]] | None = None) -> DataFrame:
     """``df`` with ``topic_scores`` and ``topics``."""
-    lex = lex or lexicon()
-    return df.withColumn("topic_scores", topic_scores(article_text(), lex)).withColumn("topics", classify(F.col("topic_scores")))
+    return scored(df, lex).withColumn("topics", classify(F.col("topic_scores")))

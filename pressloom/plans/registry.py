@@ -236,8 +236,7 @@ def _with_sources(spark: SparkSession, d: str) -> DataFrame:
 
 def topic_points(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "articles", "id", "title", "summary", "content")
-    scores = topics.topic_scores(topics.article_text(), topics.lexicon())
-    return rows.select("id", F.explode(scores).alias("topic", "points")).select("id", "topic", F.round("points", 6).alias("points"))
+    return topics.scored(rows).select("id", F.explode("topic_scores").alias("topic", "points")).select("id", "topic", F.round("points", 6).alias("points"))
 
 
 def article_topics(spark: SparkSession, d: str) -> DataFrame:
@@ -301,17 +300,17 @@ def question_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 def ranked_answers(spark: SparkSession, d: str) -> DataFrame:
     q = _asked()
-    return ranking.retrieve(_search_rows(spark, d), q, now(), F.col("retrieved_at"), widest=24 * 3650).select("id", F.round("score", 9).alias("score"), "reasons")
+    return ranking.retrieve(_search_rows(spark, d), q, now(), "retrieved_at", widest=24 * 3650).select("id", F.round("score", 9).alias("score"), "reasons")
 
 
 def diversified_answers(spark: SparkSession, d: str) -> DataFrame:
-    ranked = ranking.retrieve(_search_rows(spark, d), _asked(), now(), F.col("retrieved_at"), widest=24 * 3650)
+    ranked = ranking.retrieve(_search_rows(spark, d), _asked(), now(), "retrieved_at", widest=24 * 3650)
     return ranking.diversified(ranked, 8)
 
 
 def grounded_answer(spark: SparkSession, d: str) -> DataFrame:
     rows = _search_rows(spark, d)
-    top = ranking.diversified(ranking.retrieve(rows, _asked(), now(), F.col("retrieved_at"), widest=24 * 3650), 8)
+    top = ranking.diversified(ranking.retrieve(rows, _asked(), now(), "retrieved_at", widest=24 * 3650), 8)
     picked = rows.join(F.broadcast(top), "id")  # at most eight rows
     briefs = summarize.summaries(picked, "id")
     stories = picked.join(briefs, "id").select((F.col("place") + 1).alias("place"), "title", "source_name", "brief", F.array().cast("array<string>").alias("outlets"))

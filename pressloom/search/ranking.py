@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 from pressloom.functions import text as X
 from pressloom.search.question import Question
 from pressloom.search.terms import fold_text
+from pressloom.session import cut, spool
 
 # Column weights, BM25 constants, parts of the blend and gates.
 WEIGHTS = {"title": 8.0, "summary": 3.0, "content": 1.0, "entities": 5.0, "topics": 4.0}
@@ -73,28 +74,34 @@ def occurrences(words: Column, p: Phrase) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0))), F.lit(0), lambda n, i: n + F.coalesce(at(i), F.lit(False)).cast("int"))
 
 
-def bm25(df: DataFrame, phrases: list[Phrase], columns: dict[str, float], keep: Column | None = None) -> DataFrame:
-    """``df`` with ``bm25``, only rows with a phrase (and ``keep``); corpus figures are those of all rows.
-
-    Rows of no words count to the number of rows. Without phrases the result is empty.
-    """
-    if not phrases:
-        return df.where(F.lit(False)).withColumn("bm25", F.lit(0.0))
-    wide = df.withColumns({f"_w_{c}": index_words(F.array_join(F.col(c), " ") if dict(df.dtypes)[c].startswith("array") else F.col(c)) for c in columns})
-    tf = {f"_tf_{i}": reduce(lambda a, b: a + b, [occurrences(F.col(f"_w_{c}"), p) * w for c, w in columns.items()]) for i, p in enumerate(phrases)}
+def match_table(df: DataFrame, phrases: list[Phrase], columns: dict[str, float], keep: list[str]) -> DataFrame:
+    """(keep..., _len, _tf_0...): words of a row and weighted occurrences of each phrase, by one scan, stored: a few numbers a row."""
+    wide = df.select(*keep, *[index_words(F.array_join(F.col(c), " ") if dict(df.dtypes)[c].startswith("array") else F.col(c)).alias(f"_w_{c}") for c in columns])
+    tf = [reduce(lambda a, b: a + b, [occurrences(F.col(f"_w_{c}"), p) * w for c, w in columns.items()]).alias(f"_tf_{i}") for i, p in enumerate(phrases)]
     length = reduce(lambda a, b: a + b, [F.size(f"_w_{c}") for c in columns])
-    wide = wide.withColumns(tf | {"_len": length}).drop(*[f"_w_{c}" for c in columns])
-    figures = wide.agg(F.count("*").alias("_rows"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(t) > 0).alias(f"_n{t}") for t in tf])
-    wide = wide.join(F.broadcast(figures))  # one row
+    return spool(wide.select(*keep, length.alias("_len"), *tf), "matches")
+
+
+def bm25_of(table: DataFrame, which: list[int], keep: Column | None = None) -> DataFrame:
+    """``table`` (of :func:`match_table`) with ``bm25`` over the phrases ``which``; only rows with one of them and ``keep``. The corpus figures are those of all rows."""
+    tf = [f"_tf_{i}" for i in which]
+    figures = table.agg(F.count("*").alias("_rows"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(t) > 0).alias(f"_n{t}") for t in tf])
+    wide = table.join(F.broadcast(figures))  # one row
     score = F.lit(0.0)
     for t in tf:
         raw = F.log((F.col("_rows") - F.col(f"_n{t}") + 0.5) / (F.col(f"_n{t}") + 0.5))
         idf = F.when(raw <= 0, FLOOR).otherwise(raw)
         score = score + idf * F.col(t) * (K1 + 1) / (F.col(t) + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
     found = reduce(lambda a, b: a | b, [F.col(t) > 0 for t in tf])
-    if keep is not None:
-        found = found & keep
-    return wide.where(found).withColumn("bm25", score).drop(*tf, *[f"_n{t}" for t in tf], "_rows", "_avg", "_len")
+    wide = wide.where(found & keep if keep is not None else found)
+    return wide.withColumn("bm25", score).drop(*[f"_n{t}" for t in tf], "_rows", "_avg")
+
+
+def bm25(df: DataFrame, phrases: list[Phrase], columns: dict[str, float], id_col: str = "id") -> DataFrame:
+    """(id, bm25) of the rows with a phrase. Without phrases the result is empty; rows without words count to the number of rows."""
+    if not phrases:
+        return df.select(id_col).where(F.lit(False)).withColumn("bm25", F.lit(0.0))
+    return bm25_of(match_table(df, phrases, columns, [id_col]), list(range(len(phrases)))).select(id_col, "bm25")
 
 
 def postings(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
@@ -139,14 +146,8 @@ def topic_score(q: Question) -> Column:
     return F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), 0.6 * n / len(q.topics) + lead))
 
 
-def candidates(df: DataFrame, q: Question, broad: bool, keep: Column | None, id_col: str, most: int = CANDIDATES) -> DataFrame:
-    """The ``most`` best rows by BM25 with ``lexical``, their score over the best one's."""
-    top = bm25(df, phrases_of(q, broad), {c: w for c, w in WEIGHTS.items() if c in df.columns}, keep).orderBy(F.desc("bm25"), id_col).limit(most)
-    return top.withColumn("lexical", F.least(F.lit(1.0), F.col("bm25") / F.max("bm25").over(Window.partitionBy(F.lit(1)))))  # at most ``most`` rows
-
-
 def blended(hits: DataFrame, q: Question, now: Column, time: Column, id_col: str, interest: Column | None = None) -> DataFrame:
-    """Gates and blend over at most :data:`CANDIDATES` rows: ``score`` best first."""
+    """Gates and blend over the at most :data:`CANDIDATES` rows of one search: ``score`` best first."""
     cover, ent, key = term_coverage(q)
     df = hits.withColumns({"coverage": cover, "_e": ent, "_k": key}).where(F.col("_e") | (F.col("coverage") >= LEAST_COVERAGE))
     whole = Window.partitionBy(F.lit(1))
@@ -158,18 +159,29 @@ def blended(hits: DataFrame, q: Question, now: Column, time: Column, id_col: str
     return df.withColumns({"score": score, "reasons": reasons}).where(F.col("score") >= LEAST_SCORE).drop("_e", "_k", "_both", "_best").orderBy(F.desc("score"), F.desc("lexical"), id_col)
 
 
-def retrieve(df: DataFrame, q: Question, now: Column, time: Column, id_col: str = "id", widest: int = 1440, **options) -> DataFrame:
-    """The first of four searches with a result: names in the window, names at any time, all terms in the window, all terms at any time."""
+def retrieve(df: DataFrame, q: Question, now: Column, time: str, id_col: str = "id", widest: int = 1440, most: int = CANDIDATES, **options) -> DataFrame:
+    """The first of four searches with a result: names in the window, names at any time, all terms in the window, all terms at any time.
+
+    The articles are scanned once for all four; each works on the small table of
+    matches and fetches its ``most`` best rows by id.
+    """
+    every, anchored = phrases_of(q, True), phrases_of(q)
     last = None
-    for broad in (False, True):
-        if not phrases_of(q, broad):
-            continue
-        for hours in dict.fromkeys([q.hours, max(q.hours, widest)]):
-            keep = time >= F.timestamp_micros(F.unix_micros(now) - int(hours * 3.6e9))
-            last = blended(candidates(df, q, broad, keep, id_col), q, now, time, id_col, **options)
-            if not last.isEmpty():
-                return last
-    return last if last is not None else df.where(F.lit(False)).withColumn("score", F.lit(0.0))
+    if every:
+        table = match_table(df, every, {c: w for c, w in WEIGHTS.items() if c in df.columns}, [id_col, time])
+        for wanted in dict.fromkeys([tuple(every.index(p) for p in anchored), tuple(range(len(every)))]):
+            for hours in dict.fromkeys([q.hours, max(q.hours, widest)]):
+                keep = F.col(time) >= F.timestamp_micros(F.unix_micros(now) - int(hours * 3.6e9))
+                top = bm25_of(table, list(wanted), keep).select(id_col, "bm25").orderBy(F.desc("bm25"), id_col).limit(most)
+                top = top.withColumn("lexical", F.least(F.lit(1.0), F.col("bm25") / F.max("bm25").over(Window.partitionBy(F.lit(1)))))  # at most ``most`` rows
+                top = cut(top)
+                if top.isEmpty():
+                    continue
+                last = blended(df.join(F.broadcast(top), id_col), q, now, F.col(time), id_col, **options)  # at most ``most`` rows
+                last = cut(last)
+                if not last.isEmpty():
+                    return last
+    return last if last is not None else df.where(F.lit(False)).withColumns({"score": F.lit(0.0), "lexical": F.lit(0.0), "reasons": F.array().cast("array<string>")})
 
 
 def diversified(ranked: DataFrame, limit: int, id_col: str = "id") -> DataFrame:
