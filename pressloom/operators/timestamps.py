@@ -47,7 +47,7 @@ def _mixture(rounds: int, stated: float):
         sets = [({a, b} - {None}, n) for a, b, n in zip(pdf["first"], pdf["second"], pdf["n"])]
         layouts = sorted({x for names, _ in sets for x in names})
         hint = pdf["day_first"].dropna()
-        prior = dict.fromkeys(layouts, 1.0)
+        prior = dict.fromkeys(layouts, 0.5)
         if len(hint):
             told, other = ("slash_day_first", "slash_month_first")[:: 1 if bool(hint.iloc[0]) else -1]
             prior |= {x: v for x, v in ((told, stated), (other, 0.0)) if x in prior}
