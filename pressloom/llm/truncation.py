@@ -134,9 +134,11 @@ def learn_ends(texts: list[str], titles: list[str], seed: int = 7, rounds: int =
             for j, part in enumerate(parts):
                 end = i == len(x) - 1 and j == len(parts) - 1
                 learn(part, not end or bool(TERMINATED.search(part)) and not OMISSION.search(part) or last[plain(line)] >= 3)
-    x, y = np.array(rows, dtype=np.int64).reshape(len(rows), -1), np.array(labels, dtype=np.float32)
+    if not rows:
+        return model
+    x, y = np.array(rows, dtype=np.int64), np.array(labels, dtype=np.float32)
     w, g2 = model.weights, np.full(DIM, 1e-6, np.float32)
-    for _ in range(rounds if len(y) else 0):
+    for _ in range(rounds):
         for batch in np.array_split(rng.permutation(len(y)), max(1, len(y) // 512)):
             p = 1 / (1 + np.exp(-w[x[batch]].sum(axis=1)))
             g = np.repeat((p - y[batch])[:, None], x.shape[1], 1).reshape(-1)
