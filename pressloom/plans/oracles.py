@@ -183,4 +183,31 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, pos, round(coalesce(c / (1 + 0.35 * pos) * CASE WHEN len(w) BETWEEN 8 AND 45 THEN 1.0 WHEN len(w) < 8 THEN 0.55 ELSE 0.8 END, 0.0), 6) AS score FROM t LEFT JOIN c USING (doc_id, pos)
     """,
     "stream_daily_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    "question_coverage": f"""
+        WITH t AS (SELECT id, {fold("concat_ws(' ', coalesce(title, ''), coalesce(summary, ''), substr(coalesce(content, ''), 1, 1500), array_to_string(coalesce(entities, CAST([] AS VARCHAR[])), ' '), array_to_string(coalesce(topics, CAST([] AS VARCHAR[])), ' '))")} AS f FROM articles)
+        SELECT id, round(len(list_filter(['satellite', 'budget', 'planetarium', 'approved'], lambda x: regexp_matches(f, '(^|[^a-z0-9])' || x || '(es|s)?($|[^a-z0-9])'))) / 4, 6) AS coverage FROM t
+    """,
+    "turn_intents": r"""
+        SELECT id, CASE WHEN regexp_matches(title, '(?i)\b(different sources|other sources|how (?:are|is|do|does)\s+\w*\s*(?:sources?|outlets?|media|publications?|papers?)\b|compare (?:the )?coverage|coverage compare|both sides|left and right|bias(?:ed)?|spin|framing|how .{0,30}covering|who(?:''s| is) reporting)\b') THEN 'compare_coverage'
+                WHEN regexp_matches(title, '(?i)\b(summar(?:ise|ize|y)|tl;?dr|recap|catch me up|what did i miss|brief me)\b') THEN 'summarize' ELSE 'search' END AS intent,
+            CASE WHEN regexp_matches(title, '(?i)\b(right now|breaking|last hour|past hour)\b') THEN 6 WHEN regexp_matches(title, '(?i)\b(today|todays|today''s|so far today|this morning|tonight)\b') THEN 24 WHEN regexp_matches(title, '(?i)\byesterday\b') THEN 48
+                WHEN regexp_matches(title, '(?i)\b(last|past|this)\s+(?:24|48)\s*hours?\b') THEN 48 WHEN regexp_matches(title, '(?i)\b(this week|past week|last week|last 7 days|recently)\b') THEN 168 WHEN regexp_matches(title, '(?i)\b(this month|past month|last month|last 30 days)\b') THEN 720 ELSE 96 END AS hours
+        FROM articles
+    """,
+    "story_members": f"""
+        WITH RECURSIVE r AS (SELECT id, list_distinct({toks('title', True)}) AS s, list_distinct(list_transform(coalesce(entities, {_EMPTY}), lambda e: lower(e))) AS e, retrieved_at AS t FROM articles WHERE retrieved_at IS NOT NULL),
+        w AS (SELECT id, unnest(s) AS w FROM r), cool AS (SELECT w FROM w GROUP BY w HAVING count(*) BETWEEN 2 AND 60), p AS (SELECT id, w FROM w JOIN cool USING (w)),
+        c AS (SELECT DISTINCT x.id AS a, y.id AS b FROM p x JOIN p y ON x.w = y.w AND x.id < y.id),
+        m AS (SELECT a, b, len(list_intersect(x.s, y.s)) / least(len(x.s), len(y.s)) AS k,
+                CASE WHEN len(x.e) = 0 OR len(y.e) = 0 THEN 0 ELSE len(list_intersect(x.e, y.e)) / len(list_distinct(list_concat(x.e, y.e))) END AS j, abs(epoch_us(x.t) - epoch_us(y.t)) AS gap
+            FROM c JOIN r x ON x.id = a JOIN r y ON y.id = b),
+        g AS MATERIALIZED (SELECT a, b FROM m WHERE gap <= 48 * 3600000000 AND (k >= 0.62 OR (k >= 0.42 AND j >= 0.34))),
+        u AS (SELECT a, b FROM g UNION ALL SELECT b, a FROM g),
+        reach(id, s) AS (SELECT id, id FROM articles UNION SELECT u.b, reach.s FROM reach JOIN u ON u.a = reach.id)
+        SELECT id, min(s) AS story FROM reach GROUP BY id
+    """,
+    "html_text": r"""
+        SELECT entry_id, regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(coalesce(summary, ''), '(?i)<br\s*/?>|</p>|</div>|</li>', chr(10), 'g'), '<[^>]+>', ' ', 'g'),
+            '&#8217;', '’'), '&quot;', '"'), chr(160), ' '), '[ \t]+', ' ', 'g'), '\s*\n\s*', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM raw_entries
+    """,
 }
