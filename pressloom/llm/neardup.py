@@ -113,7 +113,7 @@ def frequent_shingles(texts: DataFrame, size: int, common: np.ndarray, share: fl
 
 
 def features(df: DataFrame, id_col: str, text: str, usual: np.ndarray, size: int, bands: int, rows: int, whole_below: float) -> DataFrame:
-    """(id, same: hash of the shingle set, shingles: sorted 32-bit hashes, keys: band keys) of each text with shingles."""
+    """(id, same: hash of the shingle set, n: its size, shingles: sorted 32-bit hashes, keys: band keys) of each text with shingles."""
     t = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,12 +147,12 @@ def features(df: DataFrame, id_col: str, text: str, usual: np.ndarray, size: int
             same = mix(same + size_of.astype(U64), 6)
             keep = pa.array(size_of > 0)
             out = pa.RecordBatch.from_arrays(
-                [ids, pa.array(same.view(np.int64)), pa.ListArray.from_arrays(pa.array(sh_off), pa.array(sh.astype(np.uint32).view(np.int32))), pa.ListArray.from_arrays(pa.array(key_off), pa.array(lists[mask]))],
-                names=["id", "same", "shingles", "keys"],
+                [ids, pa.array(same.view(np.int64)), pa.array(size_of.astype(np.int32)), pa.ListArray.from_arrays(pa.array(sh_off), pa.array(sh.astype(np.uint32).view(np.int32))), pa.ListArray.from_arrays(pa.array(key_off), pa.array(lists[mask]))],
+                names=["id", "same", "n", "shingles", "keys"],
             )
             yield out.filter(keep)
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text)).mapInArrow(run, fields("id long, same long, shingles int[], keys long[]"))
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text)).mapInArrow(run, fields("id long, same long, n int, shingles int[], keys long[]"))
 
 
 def overlap_of(left: str, right: str):
@@ -186,9 +186,10 @@ def similar(
     usual = frequent_shingles(df.select(text), size, common, common_share, common_floor)
     feats = spool(features(df, id_col, text, usual, size, bands, rows, whole_below), "sketches")
     members = feats.groupBy("same").agg(F.min("id").alias("class_id")).join(feats.select("id", "same"), "same").select("id", "class_id")
-    keyed = feats.select("id", "keys").join(members.where("id = class_id").select("id"), "id", "left_semi").select("id", F.explode("keys").alias("key"))
-    left, right = keyed.select(F.col("id").alias("a"), "key"), keyed.select(F.col("id").alias("b"), "key")
-    pairs = left.join(right, "key").where("a < b").select("a", "b").distinct()
+    keyed = feats.select("id", "n", "keys").join(members.where("id = class_id").select("id"), "id", "left_semi").select("id", "n", F.explode("keys").alias("key"))
+    left, right = keyed.select(F.col("id").alias("a"), F.col("n").alias("na"), "key"), keyed.select(F.col("id").alias("b"), F.col("n").alias("nb"), "key")
+    sized = (F.col("na") >= F.col("nb") * threshold) & (F.col("nb") >= F.col("na") * threshold)  # no overlap can be larger than the ratio of the sizes
+    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & sized).select("a", "b").distinct()
     sets = feats.select("id", "shingles")
     checked = (
         pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
