@@ -55,15 +55,22 @@ DISGUISE = re.compile(
     """,
     re.X | re.I,
 )
-TRIGGER = re.compile(rf"[­​-‍⁠﻿]|@\s|\s@|[\[({{<]\s*(?:at|dot|arroba|arobase|punkt|punto|point)\s*[\])}}>]|\sdot\s|\b(?:{_DIGIT})[\s,.-]+(?:{_DIGIT})\b", re.I)
+TRIGGER = re.compile(r"[­​-‍⁠﻿]|@\s|\s@|[\[({<]\s*(?:at|dot|arroba|arobase|punkt|punto|point)\s*[\])}>]|\sdot\s", re.I)
+ODD = re.compile("[" + "".join(map(chr, SIGNS)) + "！-～]")
+
+
+def spoken_digits(text: str) -> bool:
+    """Whether a text has words for digits in such a number that six of them may stand together."""
+    low = text.lower()
+    return sum(low.count(w) for w in DIGITS) >= 6
 
 
 def shadow(text: str) -> tuple[str, list[int] | None]:
     """(plain shadow, source position of each shadow character and of the end; None when they are the same)."""
-    plain = text if text.isascii() else text.translate(SIGNS)
-    if not text.isascii() and WIDE.search(plain):
-        plain = WIDE.sub(lambda m: unicodedata.normalize("NFKC", m[0]), plain)
-    if not TRIGGER.search(plain):
+    plain = text
+    if not text.isascii() and ODD.search(text):
+        plain = WIDE.sub(lambda m: unicodedata.normalize("NFKC", m[0]), text.translate(SIGNS))
+    if not TRIGGER.search(plain) and not spoken_digits(plain):
         return plain, None
     out, source, end = [], [], 0
     for m in DISGUISE.finditer(plain):
@@ -71,7 +78,11 @@ def shadow(text: str) -> tuple[str, list[int] | None]:
         source.extend(range(end, m.start()))
         kind = m.lastgroup
         if kind == "spell":
-            for w in re.finditer(_DIGIT, m[0], re.I):
+            spoken = list(re.finditer(_DIGIT, m[0], re.I))
+            for k, w in enumerate(spoken):
+                if len(spoken) == 10 and k in (3, 6):  # as a number of ten digits is written
+                    out.append("-")
+                    source.append(m.start() + w.start() - 1)
                 out.append(DIGITS[w[0].lower()])
                 source.append(m.start() + w.start())
         elif kind != "hidden":
@@ -83,6 +94,7 @@ def shadow(text: str) -> tuple[str, list[int] | None]:
     return "".join(out), source
 
 
+DIGIT_RUN = re.compile(r"\d")
 EMAIL = re.compile(r"(?<![\w.+%-])[\w][\w.%+-]*@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}", re.U)
 PHONE = re.compile(
     r"""(?<![\w.,/@+-])(?:
@@ -143,7 +155,7 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
         return []
     plain, source = shadow(text)
     found = []
-    digits = re.search(r"\d", plain)
+    digits = DIGIT_RUN.search(plain)
     for rank, (kind, pattern) in enumerate((("email", EMAIL), ("address", ADDRESS), ("id_number", ID_NUMBER), ("phone", PHONE))):
         if kind == "email" and "@" not in plain or kind != "email" and not digits:
             continue
