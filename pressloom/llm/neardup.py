@@ -64,13 +64,25 @@ def _heavy(counts: DataFrame, share: float, floor: int) -> np.ndarray:
     return np.sort(np.array([r["item"] for r in often.select("item").collect()], dtype=np.int64).view(U64))
 
 
-def _document_counts(items: np.ndarray, owner: np.ndarray, rows: int) -> pa.RecordBatch:
-    """In how many texts of a batch each item is; the last row counts the texts."""
-    item, n = text_counts(items, owner)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.append(item.view(np.int64), 0)), pa.array(np.append(n, rows)), pa.array(np.append(np.zeros(len(item), bool), True))],
-        names=["item", "n", "rows"],
-    )
+def _document_counts(parts: Iterator[tuple[np.ndarray, np.ndarray, int]], most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Rows (item, n texts that have it), and one that counts the texts, of the (items, owners, texts) of several batches, summed as far as ``most`` rows go."""
+
+    def batch(held: list, rows: int) -> pa.RecordBatch:
+        item, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate([c for _, c in held]), minlength=len(item)).astype(np.int64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.append(item.view(np.int64), 0)), pa.array(np.append(n, rows)), pa.array(np.append(np.zeros(len(item), bool), True))],
+            names=["item", "n", "rows"],
+        )
+
+    held, size, rows = [(np.zeros(0, U64), np.zeros(0))], 0, 0
+    for items, owner, texts in parts:
+        held.append(text_counts(items, owner))
+        size, rows = size + len(held[-1][0]), rows + texts
+        if size > most:
+            yield batch(held, rows)
+            held, size, rows = [(np.zeros(0, U64), np.zeros(0))], 0, 0
+    yield batch(held, rows)
 
 
 COUNTS = fields("item long, n long, rows boolean")
@@ -84,12 +96,12 @@ def frequent_words(texts: DataFrame, share: float, floor: int) -> np.ndarray:
     however many texts there are.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
         for batch in batches:
             flat, offsets = flat_words(batch.column(0).to_pylist())
-            yield _document_counts(flat, owners(offsets), batch.num_rows)
+            yield flat, owners(offsets), batch.num_rows
 
-    return _heavy(texts.mapInArrow(count, COUNTS), share, floor)
+    return _heavy(texts.mapInArrow(lambda batches: _document_counts(items(batches)), COUNTS), share, floor)
 
 
 def frequent_shingles(texts: DataFrame, size: int, common: np.ndarray, share: float, floor: int) -> np.ndarray:
@@ -99,7 +111,7 @@ def frequent_shingles(texts: DataFrame, size: int, common: np.ndarray, share: fl
     its words, so with ``common`` from the same share none is missed.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
         for batch in batches:
             flat, offsets = flat_words(batch.column(0).to_pylist())
             usual = member_of(flat >> U64(32), common)
@@ -107,9 +119,9 @@ def frequent_shingles(texts: DataFrame, size: int, common: np.ndarray, share: fl
             whole = np.ones(len(at), bool)
             for i in range(size):
                 whole &= usual[at + i]
-            yield _document_counts(sh[whole], owners(offsets)[at[whole]] if len(at) else np.zeros(0, np.int64), batch.num_rows)
+            yield sh[whole], owners(offsets)[at[whole]] if len(at) else np.zeros(0, np.int64), batch.num_rows
 
-    return _heavy(texts.mapInArrow(count, COUNTS), share, floor)
+    return _heavy(texts.mapInArrow(lambda batches: _document_counts(items(batches)), COUNTS), share, floor)
 
 
 def features(df: DataFrame, id_col: str, text: str, usual: np.ndarray, size: int, bands: int, rows: int, whole_below: float) -> DataFrame:
