@@ -92,15 +92,30 @@ class ItemIndex:
 
     def candidates(self, keys: np.ndarray) -> np.ndarray:
         """Distinct (row of keys, item window) that share a key, as rows of two numbers."""
-        found = [np.zeros((0, 2), np.int64)]
+        found = [np.zeros(0, np.int64)]
         for t, known in enumerate(self.sorted):
             low, high = np.searchsorted(known, keys[:, t], "left"), np.searchsorted(known, keys[:, t], "right")
             n = high - low
             rows = np.repeat(np.arange(len(keys)), n)
             if len(rows):
                 place = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-                found.append(np.stack([rows, self.order[t][place]], axis=1))
-        return np.unique(np.concatenate(found), axis=0)
+                found.append(rows * len(self.start) + self.order[t][place])
+        both = np.unique(np.concatenate(found))
+        return np.stack([both // max(1, len(self.start)), both % max(1, len(self.start))], axis=1)
+
+    def distances(self, flat: np.ndarray, at: np.ndarray, window: np.ndarray, most: int) -> np.ndarray:
+        """Edit distances of the windows of ``flat`` at ``at`` to item windows, ``most`` + 1 for larger ones.
+
+        Windows of one length at distance 1 differ in one place; only from two
+        edits on can a shift be shorter than the differing places.
+        """
+        span = np.arange(self.embedding.size)
+        left, right = flat[at[:, None] + span], self.flat[self.start[window][:, None] + span]
+        out = np.minimum((left != right).sum(axis=1), most + 1)
+        if most > 1:
+            for k in np.flatnonzero(out > 1):
+                out[k] = edit_distance(left[k].tolist(), right[k].tolist(), most)
+        return out
 
 
 FOUND = fields("doc_id long, item_id long, distance int, start_word int, n_windows int")
@@ -135,7 +150,6 @@ def _against(docs: DataFrame, id_col: str, text: str, ids: list[int], texts: lis
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = ItemIndex(*shared.value, embedding)
-        item_words = index.flat.tolist()
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             best: dict[tuple[int, int], list[int]] = {}
@@ -147,15 +161,16 @@ def _against(docs: DataFrame, id_col: str, text: str, ids: list[int], texts: lis
             own = owners(offsets)
             for i in range(0, len(start), BLOCK):
                 part = start[i : i + BLOCK]
-                for row, window in index.candidates(embedding.keys(flat, part)).tolist():
-                    at, there = int(part[row]), int(index.start[window])
-                    distance = edit_distance(flat[at : at + size].tolist(), item_words[there : there + size], most)
-                    if distance <= most:
-                        doc = int(own[at])
-                        mark = best.setdefault((doc, int(index.item[window])), [distance, at - int(offsets[doc]), 0])
-                        mark[2] += 1
-                        if distance < mark[0]:
-                            mark[:2] = [distance, at - int(offsets[doc])]
+                pairs = index.candidates(embedding.keys(flat, part))
+                at, window = part[pairs[:, 0]], pairs[:, 1]
+                distance = index.distances(flat, at, window, most)
+                near = distance <= most
+                for a, w, d in zip(at[near].tolist(), window[near].tolist(), distance[near].tolist()):
+                    doc = int(own[a])
+                    mark = best.setdefault((doc, int(index.item[w])), [d, a - int(offsets[doc]), 0])
+                    mark[2] += 1
+                    if d < mark[0]:
+                        mark[:2] = [d, a - int(offsets[doc])]
             rows = [(doc_ids[d], i, *m) for (d, i), m in best.items()]
             cols = list(zip(*rows)) if rows else [[] for _ in FOUND.names]
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
