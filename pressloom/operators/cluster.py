@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pressloom.functions import text as X
 from pressloom.operators.components import components
@@ -52,3 +53,17 @@ def story_ids(members: DataFrame, urls: DataFrame) -> DataFrame:
     digest = rows.groupBy("story").agg(F.sum(F.xxhash64("canonical_url").cast("decimal(38,0)")).alias("d"), F.count("*").alias("n"))
     named = digest.select("story", F.substring(F.sha2(F.concat_ws(":", F.col("d").cast("string"), "n"), 256), 1, 16).alias("cluster_id"), F.col("n").alias("size"))
     return members.join(named, "story").select("id", "story", "cluster_id", "size")
+
+
+def story_groups(df: DataFrame, id_col: str, cluster: str, time: Column, most: int = 12) -> DataFrame:
+    """(cluster, lead_id, n_members, n_sources, related): the newest article of each story and the ids of at most ``most`` others, newest first.
+
+    Counts are plain aggregates; only the first ``most`` + 1 rows of a story,
+    limited before the shuffle, are gathered. Null and blank clusters are left out.
+    """
+    rows = df.where(F.coalesce(cluster, F.lit("")) != "").select(F.col(cluster), F.col(id_col).alias("id"), "source_id", time.alias("t"))
+    sizes = rows.groupBy(cluster).agg(F.count("*").alias("n_members"), F.countDistinct("source_id").alias("n_sources"))
+    w = Window.partitionBy(cluster).orderBy(F.desc_nulls_last("t"), "id")
+    few = rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most + 1)
+    ids = few.groupBy(cluster).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "id"))), lambda x: x["id"]).alias("ids"))
+    return sizes.join(ids, cluster).select(cluster, F.get("ids", F.lit(0)).alias("lead_id"), "n_members", "n_sources", F.slice("ids", 2, most).alias("related"))

@@ -210,4 +210,17 @@ ORACLES: dict[str, str] = {
         SELECT entry_id, regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(coalesce(summary, ''), '(?i)<br\s*/?>|</p>|</div>|</li>', chr(10), 'g'), '<[^>]+>', ' ', 'g'),
             '&#8217;', '’'), '&quot;', '"'), chr(160), ' '), '[ \t]+', ' ', 'g'), '\s*\n\s*', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM raw_entries
     """,
+    "near_title_pairs": f"""
+        WITH t AS (SELECT id, source_id, {toks('title', True)} AS w FROM articles WHERE source_id IS NOT NULL),
+        c AS (SELECT id, list_transform(w, lambda t: ('0x' || substr(md5(t), 1, 15))::BIGINT) AS h FROM t WHERE len(w) > 0),
+        b AS (SELECT id, h, unnest(range(0, 60)) AS i FROM c),
+        s AS (SELECT id, CAST(sum(CASE WHEN 2 * len(list_filter(h, lambda x: (x >> i) & 1 = 1)) > len(h) THEN 1::BIGINT << i ELSE 0 END) AS BIGINT) AS hash FROM b GROUP BY id),
+        r AS (SELECT t.id, source_id, list_distinct(w) AS w, hash FROM t JOIN s ON s.id = t.id)
+        SELECT x.id AS a, y.id AS b FROM r x JOIN r y ON x.source_id = y.source_id AND x.id < y.id
+        WHERE bit_count(xor(x.hash, y.hash)) <= 6 OR len(list_intersect(x.w, y.w)) / least(len(x.w), len(y.w)) >= 0.9
+    """,
+    "story_groups": """
+        WITH a AS (SELECT id, cluster_id, source_id, retrieved_at, row_number() OVER (PARTITION BY cluster_id ORDER BY retrieved_at DESC, id) AS n FROM articles WHERE cluster_id <> '')
+        SELECT cluster_id, max(CASE WHEN n = 1 THEN id END) AS lead_id, count(*) AS n_members, count(DISTINCT source_id) AS n_sources, coalesce(list(id ORDER BY n) FILTER (n BETWEEN 2 AND 13), CAST([] AS BIGINT[])) AS related FROM a GROUP BY cluster_id
+    """,
 }

@@ -140,6 +140,11 @@ def story_ids(spark: SparkSession, d: str) -> DataFrame:
     return cluster.story_ids(story_members(spark, d), table(spark, d, "articles", "id", "canonical_url"))
 
 
+def story_groups(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "articles", "id", "cluster_id", "source_id", "retrieved_at")
+    return cluster.story_groups(rows, "id", "cluster_id", F.col("retrieved_at"))
+
+
 # ---- relational
 def enabled_sources(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "sources", "id", "name", "enabled").where("enabled").select("id", F.lower("name").alias("name"))
@@ -382,7 +387,7 @@ QUERIES: dict[str, Query] = {
         bm25_top20, p1_found, p1_status_by_source,
         token_stats, token_document_frequency, distinctive_words, sentence_counts, truncated_titles, content_hashes, title_simhash, canonical_urls, html_text, entity_lists,
         feed_parse, normalized_entries, newest_per_source,
-        richest_copy, content_hash_copies, near_title_pairs, near_title_kept, story_pairs, story_members, story_ids,
+        richest_copy, content_hash_copies, near_title_pairs, near_title_kept, story_pairs, story_members, story_ids, story_groups,
         enabled_sources, enriched_articles, ingest_stats, recent_articles, retention, feed_streaks, feed_states, due_feeds, new_entries, known_entries, upserted_articles, newest_fetches, unused_sources, event_props, lean_shares,
         topic_points, article_topics, framing_measures, article_framing, lean_badges, story_coverage, story_headline_terms, interest_scores,
         question_coverage, ranked_answers, diversified_answers, grounded_answer, citation_check, turn_intents,
