@@ -9,8 +9,14 @@ size t.
 
 Sets of news texts share the phrases that everyone uses. A shingle that a large
 share of all texts has says nothing about a copy, so the sketch is taken from
-the other shingles of a text; texts that consist mostly of such phrases are
-sketched whole as well. Verification always uses all shingles.
+the other shingles of a text, in bands of few bins. A pair whose overlap comes
+from the usual shingles doesn't meet there: if its other shingles overlap by less
+than s, then (1 - threshold) of its usual shingles weigh more than
+(threshold - s) of the others, so in both texts the share of the others is at most
+(1 - threshold) / (1 - s). All such texts are sketched whole too, in bands of as
+many bins as the threshold allows at the recall asked for; unrelated texts that
+share usual phrases rarely agree in all bins of one. Candidates that a bitmap of
+their shingles refutes are left out; verification always uses all shingles.
 """
 
 from __future__ import annotations
@@ -56,6 +62,37 @@ def band_keys(sketch: np.ndarray, rows: int, tag: int) -> np.ndarray:
     return mix(keys + np.arange(bands, dtype=U64)[None, :], 77 + tag).view(np.int64)
 
 
+def least_overlap(bands: int, rows: int, recall: float) -> float:
+    """The overlap from which two sets share one of ``bands`` bands of ``rows`` bins with a probability of ``recall``."""
+    return (1 - (1 - recall) ** (1 / bands)) ** (1 / rows)
+
+
+def most_rows(bands: int, threshold: float, recall: float) -> int:
+    """The most bins a band may have, so that sets with an overlap of ``threshold`` share one of ``bands`` bands with a probability of ``recall``."""
+    rows = 1
+    while rows < 16 and least_overlap(bands, rows + 1, recall) <= threshold:
+        rows += 1
+    return rows
+
+
+BITS = 512
+
+
+def bitmaps(elements: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """``n`` rows of BITS bits, one set for each element."""
+    out = np.zeros((n, BITS // 64), U64)
+    h = mix(elements, 78) % U64(BITS)
+    np.bitwise_or.at(out, (owner, (h >> U64(6)).astype(np.int64)), U64(1) << (h & U64(63)))
+    return out
+
+
+def _possible(threshold: float):
+    """Whether the bitmaps ma and mb of sets of na and nb elements allow an overlap of ``threshold``: a bit that only one set has is an element that only this set has."""
+    alone = lambda x, y: sum(F.bit_count(F.get(x, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(i))))) for i in range(BITS // 64))
+    common = F.least(F.col("na") - alone("ma", "mb"), F.col("nb") - alone("mb", "ma"))
+    return common * (1 + threshold) >= (F.col("na") + F.col("nb")) * threshold - 1e-6
+
+
 def _heavy(counts: DataFrame, share: float, floor: int) -> np.ndarray:
     """Sorted hashes of the rows (item, n, rows) whose count passes the share of all texts; the row with rows set counts the texts."""
     counts = counts.groupBy("item", "rows").agg(F.sum("n").alias("n"))
@@ -124,47 +161,52 @@ def frequent_shingles(texts: DataFrame, size: int, common: np.ndarray, share: fl
     return _heavy(texts.mapInArrow(lambda batches: _document_counts(items(batches)), COUNTS), share, floor)
 
 
-def features(df: DataFrame, id_col: str, text: str, usual: np.ndarray, size: int, bands: int, rows: int, whole_below: float) -> DataFrame:
-    """(id, same: hash of the shingle set, n: its size, shingles: sorted 32-bit hashes, keys: band keys) of each text with shingles."""
-    t = bands * rows
+def features(df: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
+    """(id, same: hash of the shingle set, n: its size, shingles: sorted 32-bit hashes, marks: their bitmap) of each text with shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            ids = batch.column(0)
             flat, offsets = flat_words(batch.column(1).to_pylist())
             sh, at = shingle_hashes(flat, offsets, size)
             own = owners(offsets)[at] if len(at) else np.zeros(0, np.int64)
             sh, own = per_text(sh, own)
-            telling = ~member_of(sh, usual)
             size_of = np.bincount(own, minlength=n)
-            told = np.bincount(own, weights=telling, minlength=n)
-            part = sketches(sh[telling], own[telling], n, t)
-            keys = [band_keys(part, rows, 0)]
-            some = told > 0
-            full = (told < whole_below * size_of) & (size_of > 0)
-            whole = np.zeros((n, bands), np.int64)
-            if full.any():
-                pick = full[own]
-                number = np.cumsum(full) - 1
-                whole[full] = band_keys(sketches(sh[pick], number[own[pick]], int(full.sum()), t), rows, 1)
-            lists = np.concatenate([keys[0], whole], axis=1)
-            mask = np.concatenate([np.repeat(some[:, None], bands, 1), np.repeat(full[:, None], bands, 1)], axis=1)
-            key_off = np.zeros(n + 1, np.int32)
-            np.cumsum(mask.sum(axis=1), out=key_off[1:])
             sh_off = np.zeros(n + 1, np.int32)
             np.cumsum(size_of, out=sh_off[1:])
             same = np.zeros(n, U64)
             np.add.at(same, own, mix(sh, 5))
             same = mix(same + size_of.astype(U64), 6)
-            keep = pa.array(size_of > 0)
+            marks = pa.array(bitmaps(sh, own, n).reshape(-1).view(np.int64))
+            mark_off = pa.array(np.arange(n + 1, dtype=np.int32) * (BITS // 64))
             out = pa.RecordBatch.from_arrays(
-                [ids, pa.array(same.view(np.int64)), pa.array(size_of.astype(np.int32)), pa.ListArray.from_arrays(pa.array(sh_off), pa.array(sh.astype(np.uint32).view(np.int32))), pa.ListArray.from_arrays(pa.array(key_off), pa.array(lists[mask]))],
-                names=["id", "same", "n", "shingles", "keys"],
+                [batch.column(0), pa.array(same.view(np.int64)), pa.array(size_of.astype(np.int32)), pa.ListArray.from_arrays(pa.array(sh_off), pa.array(sh.astype(np.uint32).view(np.int32))), pa.ListArray.from_arrays(mark_off, marks)],
+                names=["id", "same", "n", "shingles", "marks"],
             )
-            yield out.filter(keep)
+            yield out.filter(pa.array(size_of > 0))
+
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text)).mapInArrow(run, fields("id long, same long, n int, shingles int[], marks long[]"))
+
+
+def keyed(sets: DataFrame, usual: np.ndarray, bands: int, rows: int, whole_bands: int, whole_rows: int, whole_to: float) -> DataFrame:
+    """(id, n, key) of the rows (id, shingles): the band keys of the telling shingles, and of the whole set where their share is at most ``whole_to``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, lists = batch.num_rows, batch.column(1)
+            size_of = np.diff(lists.offsets.to_numpy())
+            sh, own = lists.flatten().to_numpy().view(np.uint32).astype(U64), np.repeat(np.arange(n), size_of)
+            telling = ~member_of(sh, usual)
+            told = np.bincount(own, weights=telling, minlength=n)
+            some, full = told > 0, (told <= whole_to * size_of) & (told < size_of)
+            pick, number = full[own], np.cumsum(full) - 1
+            part = band_keys(sketches(sh[telling], own[telling], n, bands * rows), rows, 0)[some]
+            whole = band_keys(sketches(sh[pick], number[own[pick]], int(full.sum()), whole_bands * whole_rows), whole_rows, 1)
+            for at, keys in ((some, part), (full, whole)):
+                index = np.repeat(np.flatnonzero(at), keys.shape[1])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index)), pa.array(size_of[index].astype(np.int32)), pa.array(keys.reshape(-1))], names=["id", "n", "key"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text)).mapInArrow(run, fields("id long, same long, n int, shingles int[], keys long[]"))
+    return sets.select("id", "shingles").mapInArrow(run, fields("id long, n int, key long"))
 
 
 def overlap_of(left: str, right: str):
@@ -183,7 +225,8 @@ def similar(
     rows: int = 2,
     common_share: float = 0.002,
     common_floor: int = 20,
-    whole_below: float = 0.34,
+    whole_bands: int = 84,
+    recall: float = 0.995,
 ) -> tuple[DataFrame, DataFrame]:
     """Classes of equal texts, and the pairs of classes with an overlap of ``threshold`` or more.
 
@@ -192,19 +235,25 @@ def similar(
     Texts of fewer than ``size`` words (null and empty too) have no shingles and
     are in neither table. Any number of copies is one class, so a bucket is no
     larger than the number of different texts that look alike, and buckets are
-    joined, never gathered.
+    joined, never gathered. Every pair at the threshold meets with a probability
+    of ``recall`` or more in the bands of the telling or of the whole sets.
     """
+    missed = min(least_overlap(bands, rows, recall), threshold)
+    whole_to = (1 - threshold) / (1 - missed) if threshold < 1 else 1.0
+    whole_rows = most_rows(whole_bands, threshold, recall)
     common = frequent_words(df.select(text), common_share, common_floor)
     usual = frequent_shingles(df.select(text), size, common, common_share, common_floor)
-    feats = spool(features(df, id_col, text, usual, size, bands, rows, whole_below), "sketches")
+    feats = spool(features(df, id_col, text, size), "sketches")
     members = feats.groupBy("same").agg(F.min("id").alias("class_id")).join(feats.select("id", "same"), "same").select("id", "class_id")
-    keyed = feats.select("id", "n", "keys").join(members.where("id = class_id").select("id"), "id", "left_semi").select("id", "n", F.explode("keys").alias("key"))
-    left, right = keyed.select(F.col("id").alias("a"), F.col("n").alias("na"), "key"), keyed.select(F.col("id").alias("b"), F.col("n").alias("nb"), "key")
+    single = feats.select("id", "shingles").join(members.where("id = class_id").select("id"), "id", "left_semi")
+    keys = keyed(single, usual, bands, rows, whole_bands, whole_rows, whole_to)
+    left, right = keys.select(F.col("id").alias("a"), F.col("n").alias("na"), "key"), keys.select(F.col("id").alias("b"), F.col("n").alias("nb"), "key")
     sized = (F.col("na") >= F.col("nb") * threshold) & (F.col("nb") >= F.col("na") * threshold)  # no overlap can be larger than the ratio of the sizes
     pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & sized).select("a", "b").distinct()
-    sets = feats.select("id", "shingles")
+    sets, marks = feats.select("id", "shingles"), feats.select("id", "n", "marks")
+    likely = pairs.join(marks.toDF("a", "na", "ma"), "a").join(marks.toDF("b", "nb", "mb"), "b").where(_possible(threshold)).select("a", "b")
     checked = (
-        pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
+        likely.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
         .select("a", "b", overlap_of("sa", "sb").alias("overlap"))
         .where(F.col("overlap") >= threshold)
