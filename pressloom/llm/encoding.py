@@ -249,7 +249,22 @@ def gained(before: tuple[float, int], after: tuple[float, int]) -> float:
     return (after[0] / after[1] if after[1] else 0.0) * before[1] - before[0]
 
 
-LOST_INSIDE = re.compile(r"[^\W\d_]\?[^\W\d_]")
+LINK = re.compile(r"\S*(?:://|www\.)\S*|\S*\?[\w.%\[\]-]+=\S*|(?<![\w.])[\w-]+(?:\.[\w-]+)+/\S*|(?<!\S)/\S*/\S*")
+LOST_INSIDE = re.compile(r"[^\W\d_]\?+[^\W\d_]|(?<![^\s(\[“\"„«‘'—–-])\?+[^\W\d_]|(?<!\S)\?+\s+\?")
+LOST_END = re.compile(r"[^\W\d_]\?+[,;:]?[ \t]+([^\W\d_])")
+
+
+def lost(text: str) -> bool:
+    """Whether characters of a text were replaced: U+FFFD, or question marks inside a word, at its start, at its end where the sentence goes on, or in place of whole words. Links don't count."""
+    if "\ufffd" in text:
+        return True
+    if "?" not in text:
+        return False
+    if "/" in text or "=" in text or "www." in text:
+        text = LINK.sub(" ", text)
+    if LOST_INSIDE.search(text) or any(m[1].islower() for m in LOST_END.finditer(text)):
+        return True
+    return "??" in text and not any(c.isalnum() for c in text)
 
 
 class Effects:
@@ -327,8 +342,8 @@ def garbled(rows: DataFrame, id_col: str, columns: list[str], level: float = -7.
     ``level`` is the weight below which a pair is improbable. One-byte
     mappings are tried on fields with a pair below ``rare``, UTF-8 mappings on
     fields with a possible sequence in their encoding. ``lost`` marks fields with
-    replacement characters or question marks inside words; their restored text
-    still has them. Null and empty fields are never garbled. The pair counts
+    replacement characters or question marks in place of letters (:func:`lost`,
+    asked of every field); their restored text still has them. Null and empty fields are never garbled. The pair counts
     cover all fields of all rows.
     """
     cols = F.explode(F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).alias("text")) for c in columns]))
@@ -347,15 +362,13 @@ def garbled(rows: DataFrame, id_col: str, columns: list[str], level: float = -7.
                 codes, owner = text_codes(texts[i : i + 512])
                 at = special_pairs(codes)
                 weak = known.of((classes(codes[at]) << 21) | classes(codes[at + 1])) < rare
-                lost = codes[at] == 0xFFFD
-                look = dict.fromkeys(np.unique(owner[at[weak | lost]]).tolist(), by_byte)
+                look = dict.fromkeys(np.unique(owner[at[weak | (codes[at] == 0xFFFD)]]).tolist(), by_byte)
                 for m in by_sequence:
                     for k in np.unique(owner[m.possible(codes)]).tolist():
                         look[k] = [*look.get(k, []), m]
-                for k, fit in look.items():
-                    text = texts[i + k]
-                    fixed, mapping = restore(text, known, effects, fit, maps, level)
-                    gone = "�" in text or (bool(LOST_INSIDE.search(text)) and not re.search(r"\S+[/=]\S*\?", text))
+                for k, text in enumerate(texts[i : i + 512]):
+                    gone = lost(text)
+                    fixed, mapping = restore(text, known, effects, look[k], maps, level) if k in look else (text, None)
                     if mapping or gone:
                         out.append((ids[i + k], names[i + k], fixed, mapping, gone))
             cols = list(zip(*out)) if out else [[] for _ in FOUND.names]
