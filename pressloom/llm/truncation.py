@@ -2,8 +2,9 @@
 
 A stack automaton runs over a text and reports what is still open at its end:
 quotes, brackets, markup, a broken entity or escape, a lost half of a character.
-A text that ends with an omission mark is cut. One that ends with a terminator
-and nothing broken is complete. For the rest, the words at the end decide: a
+A text that ends with an omission mark is cut, and so is one whose last paragraph
+leaves a quote, bracket or tag open, even after a terminator. One that ends with a
+terminator and nothing broken or open is complete. For the rest, the words at the end decide: a
 model learned from the ends of complete sentences and lines, and from random
 cuts of the same lines, tells how likely a text may stop there; lengths at which
 the unterminated texts of a source pile up (its field limits) add to that.
@@ -62,6 +63,25 @@ def left_open(line: str) -> str:
     return "".join(stack)
 
 
+NO_OPENER = re.compile(r"(?<=[^\W_]|[.!?,…])[“„«]|(?<=\d)\"|<(?![a-zA-Z/!])|(?<!\w)[:;=]-?[(\[<]")
+
+
+def unclosed(line: str) -> str:
+    """What the last paragraph of a text leaves open at its end.
+
+    Signs that open nothing don't count: quotes right after a letter, digit or
+    stop (garbled letters, closing « and inches), a 'less than', a face. They
+    still close what is open, as “ does after „.
+    """
+
+    def kept(m: re.Match) -> str:
+        before = line[: m.start()]
+        closes = m[0] == "“" and "„" in before or m[0] == '"' and before.count('"') % 2
+        return m[0] if closes else " "
+
+    return left_open(NO_OPENER.sub(kept, line))
+
+
 @dataclass
 class EndModel:
     """Weights of hashed features of the last words: positive where a text may stop."""
@@ -173,6 +193,8 @@ def judge(df: DataFrame, model: EndModel) -> DataFrame:
                     state, score = "broken", -9.0
                 elif body == (title or "").strip() or ADDRESS.search(line) or CREDIT.search(line):
                     pass
+                elif unclosed(line):
+                    state, score = "unclosed", -9.0
                 elif not TERMINATED.search(line) or SHORT_FORM.search(line):
                     state, score = "open", m.score(line) + (2.5 if LABEL.match(line) else 0.0)
                 out.append((i, source, name, len(text), len(text.encode("utf-8", "replace")), state, score))
@@ -226,7 +248,7 @@ def truncated(articles: DataFrame, training_texts: int = 8000, pile_share: float
     piled = F.array_contains("p_chars", F.col("chars")) | F.array_contains("p_bytes", F.col("bytes"))
     out = found.join(piles, at, "left").withColumn("at_limit", F.coalesce(piled, F.lit(False)))
     odds = F.col("score") - F.when(F.col("at_limit"), math.log(30)).otherwise(0.0)
-    cut = F.col("state").isin("marked", "broken") | ((F.col("state") == "open") & (odds < threshold))
+    cut = F.col("state").isin("marked", "broken", "unclosed") | ((F.col("state") == "open") & (odds < threshold))
     reason = F.when(~cut, F.lit(None)).when(F.col("state") != "open", F.col("state")).when(F.col("at_limit"), "field_limit").otherwise("open_end")
     return out.select(F.col("id").alias("article_id"), "source_id", "field_name", cut.alias("is_cut"), reason.alias("reason"))
 

@@ -180,6 +180,15 @@ def test_truncation(spark):
     assert truncation.left_open("he said “a (b") == "“(" and truncation.left_open('"a" (b)') == ""
 
 
+def test_truncation_inside_an_open_quote(spark):
+    whole = "The council met in the old town hall on Monday."
+    cut = ["The mayor said: “We will build it. We start in May.", "Er sagte: „Wir bauen. Im Mai.", "It rose (as in May. Nobody knew why.", 'He said: "We go. We stay.', "See <a href='x. Then more.", "The mayor said: “We will build it. We meet on Monday in the old town hall"]
+    fine = ["He said: „Wir bauen.“ Then he left.", 'A 5" pipe burst.', "It was p < 5 then.", "“One.” “Two.”", "Fun :( and over.", "lieÃŸ â€œcan halt it.", "Item 1) is done.", '"Yes, in 1990" he said.', "»Wir bauen.« Dann ging er.", "« Oui », dit-il.", "“First paragraph without an end.\nLast one.”"]
+    rows = [(i, "s", "T", t, whole) for i, t in enumerate(cut + fine + [whole] * 40)]
+    out = truncation.truncated(spark.createDataFrame(rows, "id long, source_id string, title string, summary string, content string")).where("is_cut")
+    assert {(r["article_id"], r["field_name"]) for r in out.collect()} == {(i, "summary") for i in range(len(cut))}
+
+
 def test_encoding_round_trips(spark):
     rng = random.Random(10)
     clean = ["Le café près de la forêt était fermé", "Die Straße über die Brücke für Fußgänger", "“Nobody asked,” she said — it’s £5", "Город у реки закрыли на ремонт"]
