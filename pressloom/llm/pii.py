@@ -130,23 +130,33 @@ ADDRESS = re.compile(
     )""",
     re.X,
 )
-_NAME = r"[A-ZÀ-ÖØ-Þ][^\W\d_]+(?:[-’'][A-ZÀ-ÖØ-Þ][^\W\d_]+)*"
-FORWARD = re.compile(rf"(?<![\w@-])({_NAME})((?:[  ]+[A-ZÀ-ÖØ-Þ]\.)*)[  ]+({_NAME})(?![\w@])")
-BACKWARD = re.compile(rf"(?<![\w@-])({_NAME}),[  ]+({_NAME})((?:[  ][A-ZÀ-ÖØ-Þ]\.)*)(?![\w@]|[  ]+[A-ZÀ-ÖØ-Þ])")
+_UPPER = "[" + "".join(c for c in map(chr, [*range(0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)]) if c.isupper()) + "]"
+_NAME = rf"{_UPPER}[^\W\d_]+(?:[-’']{_UPPER}[^\W\d_]+)*"
+_TITLE = r"(?:Dr|Mr|Mrs|Ms|Mx|Prof|Sir|Dame|Herrn?|Frau|Monsieur|Madame|Mme|Mlle|Señora?|Sra?|Senhora?|Dona)"
+FORWARD = re.compile(rf"(?<![\w@-])({_NAME})((?:[  ]+{_UPPER}\.)*)[  ]+({_NAME})(?![\w@])")
+BACKWARD = re.compile(rf"(?<![\w@-])({_NAME}),[  ]+({_NAME})((?:[  ]{_UPPER}\.)*)(?![\w@]|[  ]+{_UPPER})")
+TITLED = re.compile(rf"(?<![\w@-]){_TITLE}\b\.?[  ]+$")
+MORE = re.compile(rf"[  ]+({_NAME})(?![\w@])")
+LISTED = re.compile(rf"(?:,?[  ]+(?:and|or|und|oder|et|ou|y|o|e|и)|,)[  ]+{_UPPER}")
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 
 
 def _names(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of a listed given name, or any after a title, with a family name. A family name that is a given name too is taken along with the family name after it ('Jean Paul Sartre'); after a comma it may also be the next of a list."""
     at = 0
     while m := FORWARD.search(text, at):
-        if m[1] in GIVEN and m[3] not in NOT_FAMILY and m[3] not in GIVEN:
-            yield m.span()
+        titled = TITLED.search(text, max(0, m.start() - 12), m.start())
+        if (m[1] in GIVEN or titled) and m[3] not in NOT_FAMILY:
             at = m.end()
+            if m[3] in GIVEN and (more := MORE.match(text, at)) and more[1] not in NOT_FAMILY:
+                at = more.end()
+            yield m.start(), at
         else:
             at = m.end(1)
     for m in BACKWARD.finditer(text):
-        if m[2] in GIVEN and m[1] not in GIVEN and m[1] not in NOT_FAMILY:
-            yield m.span()
+        if m[2] in GIVEN and m[1] not in NOT_FAMILY:
+            if m[1] not in GIVEN or m[3] or not (LISTED.match(text, m.end()) or text[: m.start()].rstrip().endswith(",")):
+                yield m.span()
 
 
 def spans(text: str | None) -> list[tuple[int, int, str]]:

@@ -279,6 +279,18 @@ def test_pii_decoys(source):
     assert pii.spans(source) == []
 
 
+@pytest.mark.parametrize(
+    "source, names",
+    [
+        ("Ask Clara Martin or Emma Thomas.", ["Clara Martin", "Emma Thomas"]), ("we met Hanna Frank", ["Hanna Frank"]), ("signed: Paul, Elsa", ["Paul, Elsa"]), ("we met Jean Paul Senozecha", ["Jean Paul Senozecha"]),
+        ("then Anna Łodzina spoke", ["Anna Łodzina"]), ("then Lena Šutova spoke", ["Lena Šutova"]), ("then Dr. Rachel Cabavabas spoke", ["Rachel Cabavabas"]), ("with Frau Żaneta Ćirova", ["Żaneta Ćirova"]),
+        ("with Clara, Martin and Paul", []), ("by Clara, Martin, Emma", []), ("Dr. Rachel said", []), ("Martin Group and Emma Street", []),
+    ],
+)
+def test_names_beside_listed_names_titles_and_other_capitals(source, names):
+    assert [source[a:b] for a, b, kind in pii.spans(source) if kind == "name"] == names
+
+
 def test_redaction_keeps_the_rest(spark):
     t = "Héllo — ask Lena Gutopoyas (lena @ post.example), 202-555-0107!"
     assert pii.redact(t) == "Héllo — ask [NAME] ([EMAIL]), [PHONE]!"
