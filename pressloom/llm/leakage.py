@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressloom.llm.words import U64, flat_words, member_of, mix, owners
+from pressloom.llm.words import U64, flat_words, member_of, mix, owners, shingle_hashes
 from pressloom.schemas import fields
 
 PAD = U64(0x5851F42D4C957F2D)
@@ -89,6 +89,10 @@ class ItemIndex:
         keys = embedding.keys(self.flat, self.start)
         self.order = [np.argsort(keys[:, t], kind="stable") for t in range(keys.shape[1])]
         self.sorted = [keys[o, t] for t, o in enumerate(self.order)]
+        self.owner, self.first, self.end = np.array(ids, dtype=np.int64)[own] if len(own) else np.zeros(0, np.int64), np.repeat(offsets[:-1], np.diff(offsets)), end
+        half, place = shingle_hashes(self.flat, offsets, embedding.size // 2)
+        order = np.argsort(half, kind="stable")
+        self.half, self.half_at = half[order], place[order]
 
     def candidates(self, keys: np.ndarray) -> np.ndarray:
         """Distinct (row of keys, item window) that share a key, as rows of two numbers."""
@@ -118,13 +122,53 @@ class ItemIndex:
         return out
 
 
+    def shifted(self, flat: np.ndarray, offsets: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``flat``, place in the items) of every item window that the words there match with one word inserted or dropped inside it.
+
+        One half of the window is there unchanged, so all are found by equal
+        halves. Those that one of the windows of equal length matches within one
+        place aren't repeated.
+        """
+        size = self.embedding.size
+        m = size // 2
+        start, end = np.repeat(offsets[:-1], np.diff(offsets)), np.repeat(offsets[1:], np.diff(offsets))
+        h, at = shingle_hashes(flat, offsets, m)
+        keep = known[at + m] - known[at] == m
+        h, at = h[keep], at[keep]
+        low = np.searchsorted(self.half, h, "left")
+        n = np.searchsorted(self.half, h, "right") - low
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        cuts = np.unique(np.searchsorted(upto, np.arange(0, upto[-1] + BLOCK, BLOCK)).clip(0, len(n)))
+        for x, y in zip(cuts[:-1], cuts[1:]):
+            k = n[x:y]
+            a = np.repeat(at[x:y], k)
+            w = self.half_at[np.arange(len(a)) - np.repeat(np.cumsum(k) - k, k) + np.repeat(low[x:y], k)]
+            d0, d1, i0, i1 = start[a], end[a], self.first[w], self.end[w]
+            for change in (1, -1):  # inserted, dropped
+                long = size + change
+                for back_d, back_i in ((0, 0), (long - m, size - m)):  # the equal half is the first or the last
+                    p, q = a - back_d, w - back_i
+                    ok = (p >= d0) & (p + long <= d1) & (d1 - d0 >= size) & (q >= i0) & (q + size <= i1)
+                    p, q = p[ok], q[ok]
+                    doc, item = flat[p[:, None] + np.arange(long)], self.flat[q[:, None] + np.arange(size)]
+                    short = min(long, size)
+                    head, tail = doc[:, :short] == item[:, :short], doc[:, long - short :] == item[:, size - short :]
+                    same = np.cumprod(head, axis=1).sum(axis=1) + np.cumprod(tail[:, ::-1], axis=1).sum(axis=1) >= short
+                    new = same & (np.minimum((~head).sum(axis=1), (~tail).sum(axis=1)) > (1 if change > 0 else 0))
+                    out.append((p[new], q[new]))
+        both = np.unique(np.stack([np.concatenate(x) for x in zip(*out)], axis=1), axis=0)
+        return both[:, 0], both[:, 1]
+
+
 FOUND = fields("doc_id long, item_id long, distance int, start_word int, n_windows int")
 
 
 def leaks(docs: DataFrame, id_col: str, text: str, items: DataFrame, item_id: str, item_text: str, most: int = 1, embedding: Embedding | None = None, block: int = 20000) -> DataFrame:
     """(doc_id, item_id, distance, start_word, n_windows) of each document with a window within ``most`` word edits of an item's window.
 
-    distance is the least of the matching windows, start_word (from 0) where the
+    A window of one word more or less that matches with one word inserted or
+    dropped inside counts, too. distance is the least of the matching windows, start_word (from 0) where the
     first of that distance begins in the document. Items come to the driver and
     out to the tasks in blocks of ``block``, each against all documents; the
     documents are read in place and nothing is shuffled. Documents and items of
@@ -171,6 +215,12 @@ def _against(docs: DataFrame, id_col: str, text: str, ids: list[int], texts: lis
                     mark[2] += 1
                     if d < mark[0]:
                         mark[:2] = [d, a - int(offsets[doc])]
+            for a, w in zip(*(x.tolist() for x in index.shifted(flat, offsets, known))) if most else ():
+                doc = int(own[a])
+                mark = best.setdefault((doc, int(index.owner[w])), [1, a - int(offsets[doc]), 0])
+                mark[2] += 1
+                if mark[0] == 1:
+                    mark[1] = min(mark[1], a - int(offsets[doc]))
             rows = [(doc_ids[d], i, *m) for (d, i), m in best.items()]
             cols = list(zip(*rows)) if rows else [[] for _ in FOUND.names]
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())

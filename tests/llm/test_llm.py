@@ -213,6 +213,23 @@ def test_lost_characters_wherever_they_stand(spark):
     assert out == {*range(len(bad)), *range(1000, 1200)}
 
 
+def test_leaks_with_a_word_inserted_or_dropped(spark):
+    rng = random.Random(12)
+    items = [(i, " ".join(rng.sample(FILLER, 16))) for i in range(40)]
+    docs, want = [], {}
+    for i, (_, t) in enumerate(items):
+        w = t.split()[2:14]
+        at = rng.randrange(2, 10)
+        w[at : at + i % 2] = [] if i % 2 else ["other"]
+        docs.append((i, " ".join(["aa"] * 5 + w + ["bb"] * 5)))
+        want[i] = (1, 5)
+    docs.append((90, items[0][1]))
+    out = leakage.leaks(spark.createDataFrame(docs, "d long, t string"), "d", "t", spark.createDataFrame(items, "i long, t string"), "i", "t").collect()
+    got = {(r["doc_id"], r["item_id"]): (r["distance"], r["start_word"], r["n_windows"]) for r in out}
+    assert got.pop((90, 0)) == (0, 0, 5)
+    assert {k: v[:2] for k, v in got.items()} == {(i, i): v for i, v in want.items()}
+
+
 def test_maximal_segments():
     assert encoding.segments([0, 1, 5, 6], [2.0, -1.0, 3.0, -5.0]) == [(0, 0), (5, 5)]
     assert encoding.segments([0, 1, 2], [2.0, -1.0, 3.0]) == [(0, 2)]
