@@ -7,16 +7,15 @@ keeps its least (round, value), and two sketches agree in a bin with a
 probability equal to the overlap of the sets, concentrated like a sample of
 size t.
 
-Sets of news texts share the phrases that everyone uses. A shingle that a large
-share of all texts has says nothing about a copy, so the sketch is taken from
-the other shingles of a text, in bands of few bins. A pair whose overlap comes
-from the usual shingles doesn't meet there: if its other shingles overlap by less
-than s, then (1 - threshold) of its usual shingles weigh more than
-(threshold - s) of the others, so in both texts the share of the others is at most
-(1 - threshold) / (1 - s). All such texts are sketched whole too, in bands of as
-many bins as the threshold allows at the recall asked for; unrelated texts that
-share usual phrases rarely agree in all bins of one. Candidates that a bitmap of
-their shingles refutes are left out; verification always uses all shingles.
+Bands of several bins give the keys; with ``bands`` bands a band has as many bins
+as the recall asked for allows at the threshold. Nearly all keys of a text are
+its own and meet none, so keys travel packed: a batch sends, for each part of the
+key space, one row with four bytes a key and the gaps between the ids, and only
+keys that two texts have go on as rows. Pairs that share a key are first compared
+by one bit a bin (b-bit minwise hashing, Li and König 2010): what falls
+``deviations`` standard deviations below the agreement expected at the threshold
+is left out. The rest is verified with the whole sets of 64-bit shingles, which
+only texts in such a pair are asked for.
 """
 
 from __future__ import annotations
@@ -28,19 +27,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressloom.llm.words import U64, flat_words, member_of, mix, owners, per_text, shingle_hashes, text_counts
+from pressloom.llm.words import U64, flat_words, mix, owners, shingle_hashes
 from pressloom.operators.components import components
 from pressloom.schemas import fields
 from pressloom.session import spool
 
 
-def sketches(elements: np.ndarray, owner: np.ndarray, n: int, t: int) -> np.ndarray:
+def sketches(elements: np.ndarray, owner: np.ndarray, n: int, t: int, seed: int = 1000) -> np.ndarray:
     """Fast similarity sketches, ``n`` rows of ``t``; the rows of empty sets are all ones (no value)."""
     none = U64(0xFFFFFFFFFFFFFFFF)
     out = np.full(n * t, none, dtype=U64)
     left_e, left_o = elements, owner
     for i in range(2 * t):
-        h = mix(left_e, 1000 + i)
+        h = mix(left_e, seed + i)
         b = (h % U64(t)).astype(np.int64) if i < t else np.full(len(h), i - t, dtype=np.int64)
         value = (U64(i) << U64(48)) | (h >> U64(16))
         np.minimum.at(out, left_o * t + b, value)
@@ -75,138 +74,158 @@ def most_rows(bands: int, threshold: float, recall: float) -> int:
     return rows
 
 
-BITS = 512
+MARKS = 3  # longs of one bit a bin
 
 
-def bitmaps(elements: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """``n`` rows of BITS bits, one set for each element."""
-    out = np.zeros((n, BITS // 64), U64)
-    h = mix(elements, 78) % U64(BITS)
-    np.bitwise_or.at(out, (owner, (h >> U64(6)).astype(np.int64)), U64(1) << (h & U64(63)))
-    return out
+def bin_bits(sketch: np.ndarray) -> np.ndarray:
+    """The lowest bits of 64 * MARKS bins, as MARKS longs a text."""
+    return np.packbits((sketch & U64(1)).astype(np.uint8), axis=1, bitorder="little").view(np.int64)
 
 
-def _possible(threshold: float):
-    """Whether the bitmaps ma and mb of sets of na and nb elements allow an overlap of ``threshold``: a bit that only one set has is an element that only this set has."""
-    alone = lambda x, y: sum(F.bit_count(F.get(x, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(i))))) for i in range(BITS // 64))
-    common = F.least(F.col("na") - alone("ma", "mb"), F.col("nb") - alone("mb", "ma"))
-    return common * (1 + threshold) >= (F.col("na") + F.col("nb")) * threshold - 1e-6
+def least_agreeing(used: int, threshold: float, deviations: float) -> int:
+    """The bits of ``used`` that two sketches agree in at least, ``deviations`` below what is expected at ``threshold``."""
+    p = (1 + threshold) / 2
+    return int(np.floor(used * p - deviations * np.sqrt(used * p * (1 - p))))
 
 
-def _heavy(counts: DataFrame, share: float, floor: int) -> np.ndarray:
-    """Sorted hashes of the rows (item, n, rows) whose count passes the share of all texts; the row with rows set counts the texts."""
-    counts = counts.groupBy("item", "rows").agg(F.sum("n").alias("n"))
-    total = F.broadcast(counts.where("rows").agg(F.max("n").alias("total")))  # one row
-    often = counts.where("not rows").join(total, F.col("n") > F.greatest(F.lit(floor), F.col("total") * share))
-    return np.sort(np.array([r["item"] for r in often.select("item").collect()], dtype=np.int64).view(U64))
+def _shingled(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit shingles, number of their text) of the second column, without repeats inside a text."""
+    flat, offsets = flat_words(batch.column(1).to_pylist())
+    sh, at = shingle_hashes(flat, offsets, size)
+    own = owners(offsets)[at] if len(at) else np.zeros(0, np.int64)
+    order = np.lexsort((sh, own))
+    sh, own = sh[order], own[order]
+    new = np.ones(len(sh), bool)
+    new[1:] = (sh[1:] != sh[:-1]) | (own[1:] != own[:-1])
+    return sh[new], own[new]
 
 
-def _document_counts(parts: Iterator[tuple[np.ndarray, np.ndarray, int]], most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-    """Rows (item, n texts that have it), and one that counts the texts, of the (items, owners, texts) of several batches, summed as far as ``most`` rows go."""
+def _same(sh: np.ndarray, own: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(size, two independent hashes) of the set of each text."""
+    size_of = np.bincount(own, minlength=n)
+    sums = []
+    for seed in (5, 6):
+        total = np.zeros(n, U64)
+        np.add.at(total, own, mix(sh, seed))
+        sums.append(mix(total + size_of.astype(U64), seed + 2).view(np.int64))
+    return size_of, *sums
 
-    def batch(held: list, rows: int) -> pa.RecordBatch:
-        item, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
-        n = np.bincount(at, weights=np.concatenate([c for _, c in held]), minlength=len(item)).astype(np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.append(item.view(np.int64), 0)), pa.array(np.append(n, rows)), pa.array(np.append(np.zeros(len(item), bool), True))],
-            names=["item", "n", "rows"],
-        )
 
-    held, size, rows = [(np.zeros(0, U64), np.zeros(0))], 0, 0
-    for items, owner, texts in parts:
-        held.append(text_counts(items, owner))
-        size, rows = size + len(held[-1][0]), rows + texts
-        if size > most:
-            yield batch(held, rows)
-            held, size, rows = [(np.zeros(0, U64), np.zeros(0))], 0, 0
-    yield batch(held, rows)
+def _texts(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
 
 
-COUNTS = fields("item long, n long, rows boolean")
+FEATURES = fields("id long, same long, also long, n int, " + ", ".join(f"b{i} long" for i in range(MARKS)))
 
 
-def frequent_words(texts: DataFrame, share: float, floor: int) -> np.ndarray:
-    """Hashes of the words that more than ``share`` of all texts (and more than ``floor`` texts) have.
-
-    The counts cover all texts and are summed in each batch before the shuffle.
-    At most (mean distinct words of a text) / ``share`` words can be returned,
-    however many texts there are.
-    """
+def features(df: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
+    """(id, same, also: two hashes of the shingle set, n: its size, b0..: one bit a bin) of each text with shingles."""
 
-    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, offsets = flat_words(batch.column(0).to_pylist())
-            yield flat, owners(offsets), batch.num_rows
+            n = batch.num_rows
+            sh, own = _shingled(batch, size)
+            size_of, same, also = _same(sh, own, n)
+            bits = bin_bits(sketches(sh, own, n, 64 * MARKS, 5000))  # another sketch than that of the bands
+            cols = [batch.column(0), pa.array(same), pa.array(also), pa.array(size_of.astype(np.int32)), *[pa.array(np.ascontiguousarray(bits[:, i])) for i in range(MARKS)]]
+            yield pa.RecordBatch.from_arrays(cols, names=FEATURES.names).filter(pa.array(size_of > 0))
+
+    return _texts(df, id_col, text).mapInArrow(run, FEATURES)
+
 
-    return _heavy(texts.mapInArrow(lambda batches: _document_counts(items(batches)), COUNTS), share, floor)
+PACKED = fields("part int, width int, first long, keys binary, steps binary")
 
 
-def frequent_shingles(texts: DataFrame, size: int, common: np.ndarray, share: float, floor: int) -> np.ndarray:
-    """Hashes of the shingles of ``common`` words only that more than ``share`` of all texts (and more than ``floor``) have.
+def packed_keys(df: DataFrame, id_col: str, text: str, size: int, bands: int, rows: int, parts: int) -> DataFrame:
+    """All band keys, one row for each batch and part of the key space: the lower 32 bits of the keys, in the order of the ids, and the gaps between those.
 
-    Bounded like :func:`frequent_words`. A shingle can't be more frequent than
-    its words, so with ``common`` from the same share none is missed.
+    Texts of a batch with the same shingles send one set of keys.
     """
 
-    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, offsets = flat_words(batch.column(0).to_pylist())
-            usual = member_of(flat >> U64(32), common)
-            sh, at = shingle_hashes(flat, offsets, size)
-            whole = np.ones(len(at), bool)
-            for i in range(size):
-                whole &= usual[at + i]
-            yield sh[whole], owners(offsets)[at[whole]] if len(at) else np.zeros(0, np.int64), batch.num_rows
+            n = batch.num_rows
+            sh, own = _shingled(batch, size)
+            size_of, same, also = _same(sh, own, n)
+            ids = batch.column(0).to_numpy()
+            seen, first = np.unique(np.stack([same, also]), axis=1, return_index=True)
+            first = first[size_of[first] > 0]
+            first = first[np.argsort(ids[first], kind="stable")]
+            number = np.full(n, -1)
+            number[first] = np.arange(len(first))
+            keep = number[own] >= 0
+            keys = band_keys(sketches(sh[keep], number[own[keep]], len(first), bands * rows), rows, 1).view(U64).reshape(-1)
+            owner = np.repeat(ids[first], bands)
+            part = (keys % U64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            low, owner, part = (keys >> U64(32)).astype(np.uint32)[order], owner[order], part[order]
+            out = {c: [] for c in PACKED.names}
+            for x, y in zip(*_runs(part)):
+                steps = np.diff(owner[x:y])
+                width = next(w for w in (1, 2, 4, 8) if w == 8 or steps.max(initial=0) < 1 << (8 * w))
+                for c, v in zip(PACKED.names, (part[x], width, owner[x], low[x:y].tobytes(), steps.astype(f"u{width}").tobytes())):
+                    out[c].append(v)
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(out[c], k) for c, k in zip(PACKED.names, kinds)], names=PACKED.names)
 
-    return _heavy(texts.mapInArrow(lambda batches: _document_counts(items(batches)), COUNTS), share, floor)
+    return _texts(df, id_col, text).mapInArrow(run, PACKED)
 
 
-def features(df: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
-    """(id, same: hash of the shingle set, n: its size, shingles: sorted 32-bit hashes, marks: their bitmap) of each text with shingles."""
+def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of equal values."""
+    edge = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1
+    return (np.concatenate([[0], edge]), np.append(edge, len(ordered))) if len(ordered) else (edge, edge)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            flat, offsets = flat_words(batch.column(1).to_pylist())
-            sh, at = shingle_hashes(flat, offsets, size)
-            own = owners(offsets)[at] if len(at) else np.zeros(0, np.int64)
-            sh, own = per_text(sh, own)
-            size_of = np.bincount(own, minlength=n)
-            sh_off = np.zeros(n + 1, np.int32)
-            np.cumsum(size_of, out=sh_off[1:])
-            same = np.zeros(n, U64)
-            np.add.at(same, own, mix(sh, 5))
-            same = mix(same + size_of.astype(U64), 6)
-            marks = pa.array(bitmaps(sh, own, n).reshape(-1).view(np.int64))
-            mark_off = pa.array(np.arange(n + 1, dtype=np.int32) * (BITS // 64))
-            out = pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(same.view(np.int64)), pa.array(size_of.astype(np.int32)), pa.ListArray.from_arrays(pa.array(sh_off), pa.array(sh.astype(np.uint32).view(np.int32))), pa.ListArray.from_arrays(mark_off, marks)],
-                names=["id", "same", "n", "shingles", "marks"],
-            )
-            yield out.filter(pa.array(size_of > 0))
-
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text)).mapInArrow(run, fields("id long, same long, n int, shingles int[], marks long[]"))
-
-
-def keyed(sets: DataFrame, usual: np.ndarray, bands: int, rows: int, whole_bands: int, whole_rows: int, whole_to: float) -> DataFrame:
-    """(id, n, key) of the rows (id, shingles): the band keys of the telling shingles, and of the whole set where their share is at most ``whole_to``."""
+
+SHARED = fields("key long, id long")
+
+
+def shared_keys(packed: DataFrame) -> DataFrame:
+    """(key, id) of the keys that at least two texts have. A part holds a bounded share of all keys; the texts of one key are rows, never pairs."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, ids = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for width, first, low, steps in zip(*(table.column(c).to_pylist() for c in PACKED.names[1:])):
+            keys.append(np.frombuffer(low, np.uint32))
+            ids.append(first + np.concatenate([[0], np.cumsum(np.frombuffer(steps, f"u{width}").astype(np.int64))]))
+        key, id_ = np.concatenate(keys), np.concatenate(ids)
+        order = np.argsort(key, kind="stable")
+        key, id_ = key[order], id_[order]
+        same = key[1:] == key[:-1]
+        many = np.append(same, False) | np.concatenate([[False], same])
+        whole = (np.int64(table.column("part")[0].as_py()) << 32) | key[many].astype(np.int64)
+        return pa.table({"key": whole, "id": id_[many]})
+
+    return packed.groupBy("part").applyInArrow(run, SHARED)
+
+
+FILTER_BITS = 32768  # bits of one row of the filter, as bitmap_construct_agg makes them
+
+
+def only_ids(df: DataFrame, id_col: str, ids: DataFrame, rows: int) -> DataFrame:
+    """The rows of ``df`` whose id may be in ``ids`` (id): all that are, and few others. The broadcast filter has at most ``rows`` rows of 4 KB, whatever the ids."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(rows * FILTER_BITS))
+    bits = ids.select(place("id").alias("at")).groupBy(F.floor(F.col("at") / FILTER_BITS).alias("_bucket")).agg(F.bitmap_construct_agg(F.col("at") % FILTER_BITS).alias("_bits"))
+    at = place(F.col(id_col).cast("long"))
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor((at % FILTER_BITS) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = (F.col("_bucket") == F.floor(at / FILTER_BITS)) & (F.getbit(byte, (at % 8).cast("int")) == 1)
+    return df.join(F.broadcast(bits), hit).select(*df.columns)
+
+
+SETS = fields("id long, shingles long[]")
+
+
+def shingle_sets(df: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
+    """(id, shingles) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, lists = batch.num_rows, batch.column(1)
-            size_of = np.diff(lists.offsets.to_numpy())
-            sh, own = lists.flatten().to_numpy().view(np.uint32).astype(U64), np.repeat(np.arange(n), size_of)
-            telling = ~member_of(sh, usual)
-            told = np.bincount(own, weights=telling, minlength=n)
-            some, full = told > 0, (told <= whole_to * size_of) & (told < size_of)
-            pick, number = full[own], np.cumsum(full) - 1
-            part = band_keys(sketches(sh[telling], own[telling], n, bands * rows), rows, 0)[some]
-            whole = band_keys(sketches(sh[pick], number[own[pick]], int(full.sum()), whole_bands * whole_rows), whole_rows, 1)
-            for at, keys in ((some, part), (full, whole)):
-                index = np.repeat(np.flatnonzero(at), keys.shape[1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index)), pa.array(size_of[index].astype(np.int32)), pa.array(keys.reshape(-1))], names=["id", "n", "key"])
-
-    return sets.select("id", "shingles").mapInArrow(run, fields("id long, n int, key long"))
+            sh, own = _shingled(batch, size)
+            offsets = np.zeros(batch.num_rows + 1, np.int32)
+            np.cumsum(np.bincount(own, minlength=batch.num_rows), out=offsets[1:])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(sh.view(np.int64)))], names=SETS.names)
+
+    return _texts(df, id_col, text).mapInArrow(run, SETS)
 
 
 def overlap_of(left: str, right: str):
@@ -215,45 +234,37 @@ def overlap_of(left: str, right: str):
     return common / (F.size(left) + F.size(right) - common)
 
 
-def similar(
-    df: DataFrame,
-    id_col: str,
-    text: str,
-    size: int = 5,
-    threshold: float = 0.8,
-    bands: int = 24,
-    rows: int = 2,
-    common_share: float = 0.002,
-    common_floor: int = 20,
-    whole_bands: int = 84,
-    recall: float = 0.995,
-) -> tuple[DataFrame, DataFrame]:
+def similar(df: DataFrame, id_col: str, text: str, size: int = 5, threshold: float = 0.8, bands: int = 24, recall: float = 0.995, deviations: float = 3.7, part_keys: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
     """Classes of equal texts, and the pairs of classes with an overlap of ``threshold`` or more.
 
     Returns (members: id, class_id; links: a, b, overlap with a < b); class_id is
     the least id of the texts with the same set of shingles. Ids must be unique.
     Texts of fewer than ``size`` words (null and empty too) have no shingles and
-    are in neither table. Any number of copies is one class, so a bucket is no
-    larger than the number of different texts that look alike, and buckets are
-    joined, never gathered. Every pair at the threshold meets with a probability
-    of ``recall`` or more in the bands of the telling or of the whole sets.
+    are in neither table. Any number of copies is one class before pairs are
+    sought, so a bucket is no larger than the number of different texts that look
+    alike, and buckets are joined, never gathered. A pair at the threshold shares
+    a band with a probability of ``recall`` or more and is then refuted by its
+    bits with one of the normal tail beyond ``deviations``; pairs above it are
+    lost less often. Rows of null id are left out. A part holds about ``part_keys`` keys.
     """
-    missed = min(least_overlap(bands, rows, recall), threshold)
-    whole_to = (1 - threshold) / (1 - missed) if threshold < 1 else 1.0
-    whole_rows = most_rows(whole_bands, threshold, recall)
-    common = frequent_words(df.select(text), common_share, common_floor)
-    usual = frequent_shingles(df.select(text), size, common, common_share, common_floor)
+    rows = most_rows(bands, threshold, recall)
+    df, id_col, text = _texts(df, id_col, text).where("id is not null"), "id", "text"
     feats = spool(features(df, id_col, text, size), "sketches")
-    members = feats.groupBy("same").agg(F.min("id").alias("class_id")).join(feats.select("id", "same"), "same").select("id", "class_id")
-    single = feats.select("id", "shingles").join(members.where("id = class_id").select("id"), "id", "left_semi")
-    keys = keyed(single, usual, bands, rows, whole_bands, whole_rows, whole_to)
-    left, right = keys.select(F.col("id").alias("a"), F.col("n").alias("na"), "key"), keys.select(F.col("id").alias("b"), F.col("n").alias("nb"), "key")
+    texts = feats.count()
+    parts = max(16, -(-texts * bands // part_keys))
+    heads = feats.groupBy("same", "also").agg(F.min("id").alias("class_id"))
+    known = spool(feats.join(heads, ["same", "also"]).drop("same", "also"), "classes")
+    members = known.select("id", "class_id")
+    met = shared_keys(packed_keys(df, id_col, text, size, bands, rows, parts)).join(known, "id").select("key", "class_id", "n", *FEATURES.names[4:])
+    left, right = (met.toDF("key", side, *[f"{c}{side}" for c in met.columns[2:]]) for side in ("a", "b"))
     sized = (F.col("na") >= F.col("nb") * threshold) & (F.col("nb") >= F.col("na") * threshold)  # no overlap can be larger than the ratio of the sizes
-    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & sized).select("a", "b").distinct()
-    sets, marks = feats.select("id", "shingles"), feats.select("id", "n", "marks")
-    likely = pairs.join(marks.toDF("a", "na", "ma"), "a").join(marks.toDF("b", "nb", "mb"), "b").where(_possible(threshold)).select("a", "b")
+    differ = sum((F.bit_count(F.col(f"b{i}a").bitwiseXOR(F.col(f"b{i}b"))) for i in range(MARKS)), F.lit(0))
+    near = differ <= 64 * MARKS - least_agreeing(64 * MARKS, threshold, deviations)
+    pairs = spool(left.join(right, "key").where((F.col("a") < F.col("b")) & sized & near).select("a", "b").distinct(), "pairs")
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
+    sets = shingle_sets(only_ids(df, id_col, ends, min(16384, max(16, texts * 8 // FILTER_BITS))), id_col, text, size)
     checked = (
-        likely.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
+        pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
         .select("a", "b", overlap_of("sa", "sb").alias("overlap"))
         .where(F.col("overlap") >= threshold)

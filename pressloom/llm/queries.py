@@ -32,7 +32,7 @@ def p6_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    members, links = neardup.similar(article_text(spark, d), "id", "text", size=3, threshold=0.5)
+    members, links = neardup.similar(article_text(spark, d), "id", "text", size=3, threshold=0.5, bands=84)
     return neardup.all_pairs(members, links)
 
 

@@ -114,20 +114,6 @@ def shingle_hashes(flat: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np
     return mix(h, 13), at
 
 
-def per_text(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(value, text) without repeats, sorted by text; values are cut to their upper 32 bits, texts number less than 2**32."""
-    key = np.sort((owner.astype(U64) << U64(32)) | (values >> U64(32)))
-    if len(key):
-        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
-    return key & U64(0xFFFFFFFF), (key >> U64(32)).astype(np.int64)
-
-
-def text_counts(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(value cut to its upper 32 bits, number of texts that have it)."""
-    v, _ = per_text(values, owner)
-    return np.unique(v, return_counts=True)
-
-
 def member_of(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     """Which of ``values`` are in the sorted array ``ordered``."""
     if not len(ordered):

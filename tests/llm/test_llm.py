@@ -40,10 +40,10 @@ def near_rows(seed=2):
     return [*rows, (70, rows[0][1]), (71, rows[0][1]), (72, None), (73, ""), (74, "two words")]
 
 
-@pytest.mark.parametrize("size, threshold", [(3, 0.5), (5, 0.8)])
-def test_near_duplicates_match_brute_force(spark, size, threshold):
+@pytest.mark.parametrize("size, threshold, bands", [(3, 0.5, 84), (5, 0.8, 24)])
+def test_near_duplicates_match_brute_force(spark, size, threshold, bands):
     rows = near_rows()
-    members, links = neardup.similar(spark.createDataFrame(rows, "id long, text string"), "id", "text", size=size, threshold=threshold)
+    members, links = neardup.similar(spark.createDataFrame(rows, "id long, text string"), "id", "text", size=size, threshold=threshold, bands=bands)
     assert {tuple(r) for r in neardup.all_pairs(members, links).collect()} == brute_pairs([(i, t) for i, t in rows if t], size, threshold)
 
 
@@ -62,14 +62,14 @@ def test_hot_group_of_copies(spark):
     assert out.where("class_id = 0").count() == 100 and out.where("n_links > 0").count() == 0
 
 
-@pytest.mark.parametrize("size, threshold", [(3, 0.5), (5, 0.8)])
-def test_near_duplicates_that_share_only_usual_shingles(spark, size, threshold):
+@pytest.mark.parametrize("size, threshold, bands", [(3, 0.5, 84), (5, 0.8, 24)])
+def test_near_duplicates_that_share_only_usual_shingles(spark, size, threshold, bands):
     rng = random.Random(6)
     base = text(rng).split()
     rows = [(i, text(rng)) for i in range(40)] + [(i, " ".join(base)) for i in range(40, 65)]
     own = int((len(base) - size + 1) * (1 - threshold) / threshold)  # added words that leave the overlap with the base at the threshold
     rows += [(i, " ".join(base + [f"own{i}x{k}" for k in range(rng.randrange(own // 3, own + 1))])) for i in range(65, 130)]
-    members, links = neardup.similar(spark.createDataFrame(rows, "id long, text string"), "id", "text", size=size, threshold=threshold)
+    members, links = neardup.similar(spark.createDataFrame(rows, "id long, text string"), "id", "text", size=size, threshold=threshold, bands=bands)
     want, got = brute_pairs(rows, size, threshold), {tuple(r) for r in neardup.all_pairs(members, links).collect()}
     assert got <= want and len(want) > 2000 and len(want - got) <= 0.005 * len(want)
 
