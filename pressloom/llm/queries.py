@@ -79,14 +79,23 @@ def p3_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.rates(_cuts(spark, d))
 
 
+def _history(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
+    """The articles, and the folder of a new index."""
+    return table(spark, d, "articles", "id", "run_no", "canonical_url", "content_hash", "title"), f"{shared_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return history.repeats(table(spark, d, "articles", "id", "run_no", "canonical_url", "content_hash", "title"))
+    return history.repeats(*_history(spark, d))
 
 
 def p4_last_run(spark: SparkSession, d: str) -> DataFrame:
     """The newest run against a stored index of all earlier runs."""
-    path = f"{shared_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
-    return history.last_run_against_history(table(spark, d, "articles", "id", "run_no", "canonical_url", "content_hash", "title"), path)
+    return history.last_run_against_history(*_history(spark, d))
+
+
+def p4_links(spark: SparkSession, d: str) -> DataFrame:
+    """One row an article: how many of earlier runs it repeats, by address, hash, title and similar title."""
+    return history.earlier_counts(*_history(spark, d)).drop("title_class")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -144,7 +153,7 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redacted(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_nested_caps, p3_found, p3_rates, p4_found, p4_last_run, p5_found, p5_clean, p6_found, p6_restored, p7_found, p7_groups, p8_found, p8_leaks, p8_report, p9_mixture, p9_report, p10_found, p10_redacted)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_nested_caps, p3_found, p3_rates, p4_found, p4_last_run, p4_links, p5_found, p5_clean, p6_found, p6_restored, p7_found, p7_groups, p8_found, p8_leaks, p8_report, p9_mixture, p9_report, p10_found, p10_redacted)}
 
 _TITLE_WORDS = "list_distinct(list_filter(regexp_extract_all(lower(coalesce(title, '')), '[\\p{L}\\p{N}]+'), lambda x: x <> ''))"
 
@@ -166,6 +175,26 @@ ORACLES: dict[str, str] = {
         UNION SELECT x.id, y.id FROM t x JOIN t y ON trim(x.canonical_url) <> '' AND x.canonical_url = y.canonical_url AND x.run_no < y.run_no
         UNION SELECT x.id, y.id FROM t x JOIN t y ON trim(x.content_hash) <> '' AND x.content_hash = y.content_hash AND x.run_no < y.run_no
     """,
+    "p4_last_run": f"""
+        WITH t AS (SELECT id, run_no, canonical_url, content_hash, {_TITLE_WORDS} AS w FROM articles),
+        n AS (SELECT * FROM t WHERE run_no = (SELECT max(run_no) FROM t)), o AS (SELECT * FROM t WHERE run_no < (SELECT max(run_no) FROM t)),
+        e AS (SELECT id, len(w) AS n, unnest(w) AS word FROM o), f AS (SELECT id, len(w) AS n, unnest(w) AS word FROM n)
+        SELECT x.id AS earlier_id, y.id AS later_id FROM e x JOIN f y USING (word) GROUP BY x.id, y.id, x.n, y.n HAVING count(*) / (x.n + y.n - count(*)) >= 0.6
+        UNION SELECT x.id, y.id FROM o x JOIN n y ON trim(x.canonical_url) <> '' AND x.canonical_url = y.canonical_url
+        UNION SELECT x.id, y.id FROM o x JOIN n y ON trim(x.content_hash) <> '' AND x.content_hash = y.content_hash
+    """,
+    "p4_links": f"""
+        WITH t AS (SELECT id, run_no, canonical_url, content_hash, list_sort({_TITLE_WORDS}) AS w FROM articles),
+        e AS (SELECT id, run_no, w, unnest(w) AS word FROM t),
+        near AS (SELECT y.id, count(*) AS n FROM (
+            SELECT x.id AS o, y.id FROM e x JOIN e y ON x.word = y.word AND x.run_no < y.run_no AND x.w <> y.w
+            GROUP BY x.id, y.id, x.w, y.w HAVING count(*) / (len(x.w) + len(y.w) - count(*)) >= 0.6) y GROUP BY y.id),
+        u AS (SELECT y.id, count(*) AS n FROM t x JOIN t y ON trim(x.canonical_url) <> '' AND x.canonical_url = y.canonical_url AND x.run_no < y.run_no GROUP BY y.id),
+        h AS (SELECT y.id, count(*) AS n FROM t x JOIN t y ON trim(x.content_hash) <> '' AND x.content_hash = y.content_hash AND x.run_no < y.run_no GROUP BY y.id),
+        s AS (SELECT y.id, count(*) AS n FROM t x JOIN t y ON len(x.w) > 0 AND x.w = y.w AND x.run_no < y.run_no GROUP BY y.id)
+        SELECT t.id AS article_id, coalesce(u.n, 0) AS n_url, coalesce(h.n, 0) AS n_hash, coalesce(s.n, 0) AS n_title, coalesce(near.n, 0) AS n_near
+        FROM t LEFT JOIN u ON u.id = t.id LEFT JOIN h ON h.id = t.id LEFT JOIN s ON s.id = t.id LEFT JOIN near ON near.id = t.id
+    """,
     "p5_found": r"""
         WITH l AS (
             SELECT id, source_id, unnest(string_split(content, chr(10))) AS line, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line_no

@@ -140,15 +140,43 @@ def test_history_matches_brute_force(spark, tmp_path):
     rows = history_rows()
     df = spark.createDataFrame(rows, HISTORY)
     want = brute_history(rows)
-    assert {tuple(r) for r in history.repeats(df).collect()} == want
+    assert {tuple(r) for r in history.repeats(df, str(tmp_path / "all")).collect()} == want
     old, new = df.where("run_no < 4"), df.where("run_no between 4 and 6")
-    index = history.HistoryIndex(spark, str(tmp_path / "index"), buckets=8).build(old)
-    accepted = {r["id"] for r in old.collect()}
-    assert {tuple(r) for r in index.probe(new).collect()} == {p for p in want if p[0] in accepted and p[1] in {r["id"] for r in new.collect()}}
-    index.append(new)
+    index = history.HistoryIndex(spark, str(tmp_path / "index")).build(old)
+    ids = lambda low, high: {r[0] for r in rows if r[1] is not None and low <= r[1] <= high}
+    assert {tuple(r) for r in index.probe(new).collect()} == {p for p in want if p[0] in ids(0, 3) and p[1] in ids(4, 6)}
+    for _ in range(2):  # a batch that comes again changes nothing
+        index.append(new, "4-6")
     last = df.where("run_no = 7")
-    assert {tuple(r) for r in index.probe(last).collect()} == {p for p in want if p[1] in {r["id"] for r in last.collect()}}
-    assert history.repeats(df.limit(0)).count() == 0
+    due = {p for p in want if p[1] in ids(7, 7)}
+    assert {tuple(r) for r in history.HistoryIndex(spark, index.path).probe(last).collect()} == due
+    assert {tuple(r) for r in index.accept(last, "7").collect()} == due
+    stored = {r["id"] for r in spark.read.parquet(f"{index.path}/exact").where("batch = '7'").collect()}
+    assert stored == {r[0] for r in rows if r[1] == 7} - {p[1] for p in due} - {r[0] for r in rows if r[1] == 7 and not (r[2] or r[3] or r[4])}
+    assert history.repeats(df.limit(0), str(tmp_path / "none")).count() == 0
+
+
+def test_history_reads_only_the_buckets_of_a_batch(spark, tmp_path):
+    rows = [(i, 1, f"u{i}", None, None) for i in range(3000)]
+    index = history.HistoryIndex(spark, str(tmp_path / "index")).build(spark.createDataFrame(rows, HISTORY), bucket_rows=60)
+    batch = history.prepared(spark.createDataFrame([(9000, 2, "u5", None, None)], HISTORY))
+    read = index._read("exact", index._placed(history._entries(batch), "key"))
+    assert 0 < read.count() < 200
+
+
+def test_counts_of_earlier_articles(spark, tmp_path):
+    rows = history_rows()
+    got = {r["article_id"]: tuple(r)[2:] for r in history.earlier_counts(spark.createDataFrame(rows, HISTORY), str(tmp_path / "i")).collect()}
+    for b in rows:
+        n = [0, 0, 0, 0]
+        for a in rows:
+            if a[1] is not None and b[1] is not None and a[1] < b[1]:
+                x, y = set(words.words(a[4])), set(words.words(b[4]))
+                n[0] += bool(a[2]) and a[2] == b[2]
+                n[1] += bool(a[3]) and a[3] == b[3]
+                n[2] += bool(x) and x == y
+                n[3] += bool(x and y) and x != y and len(x & y) / len(x | y) >= 0.6
+        assert got[b[0]] == tuple(n), b
 
 
 def test_repeated_lines(spark):
