@@ -7,7 +7,7 @@ ceil(threshold * size) words, so their two least common words are among the
 first size - ceil(threshold * size) + 2 words of either set: the pairs of those
 words are the keys, and no pair of similar titles is lost. (Keys from uniformly
 random permutations would meet at the phrases that thousands of headlines share;
-see the README.) With each key go a signature of the set, its size and 64 bits
+see the README.) With each key go a signature of the set, its size and 256 bits
 of its words, which refutes most candidates exactly; the rest is verified with
 the word sets.
 
@@ -70,15 +70,22 @@ def overlap(left: Column, right: Column) -> Column:
     return common / (F.size(left) + F.size(right) - common)
 
 
-def signature(ranked: Column) -> Column:
-    """64 bits, one set for each word."""
-    return F.aggregate(ranked, F.lit(0).cast("long"), lambda a, w: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(w, F.lit(64)).cast("int"))))
+MARKS = tuple(f"m{i}" for i in range(4))  # columns of a signature
 
 
-def possible(na: Column, ma: Column, nb: Column, mb: Column, threshold: float) -> Column:
-    """Whether sizes and signatures allow the overlap: a bit that only one set has is a word that only this set has."""
-    alone = lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))
-    return F.least(na - alone(ma, mb), nb - alone(mb, ma)) * (1 + threshold) >= (na + nb) * threshold - 1e-6
+def signature(ranked: Column) -> list[Column]:
+    """Columns of 64 bits each, one bit set for each word: most pairs that are too far apart differ in them."""
+    place = lambda w: F.pmod(w, F.lit(64 * len(MARKS))).cast("int")
+    one = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), place(w) % 64)
+    part = lambda i: F.aggregate(F.filter(ranked, lambda w: F.floor(place(w) / 64) == i), F.lit(0).cast("long"), lambda a, w: a.bitwiseOR(one(w)))
+    return [part(i).alias(c) for i, c in enumerate(MARKS)]
+
+
+def possible(a: str, b: str, threshold: float) -> Column:
+    """Whether sizes and signatures (columns n, m0.. with the suffixes ``a`` and ``b``) allow the overlap: a bit that only one set has is a word that only this set has."""
+    alone = lambda x, y: sum((F.bit_count(F.col(c + x).bitwiseAND(F.bitwise_not(F.col(c + y)))) for c in MARKS), F.lit(0))
+    na, nb = F.col("n" + a), F.col("n" + b)
+    return F.least(na - alone(a, b), nb - alone(b, a)) * (1 + threshold) >= (na + nb) * threshold - 1e-6
 
 
 def prepared(articles: DataFrame) -> DataFrame:
@@ -112,7 +119,7 @@ class HistoryIndex:
 
     TABLES = {
         "exact": fields("id long, run_no long, kind string, key long, check long, batch string, bucket int"),
-        "titles": fields("key long, class_id long, n int, mark long, batch string, bucket int"),
+        "titles": fields("key long, class_id long, n int, " + "".join(f"{c} long, " for c in MARKS) + "batch string, bucket int"),
         "sets": fields("class_id long, ranked long[], batch string, bucket int"),
     }
 
@@ -134,7 +141,7 @@ class HistoryIndex:
         """(titles, sets) of the classes of ``rows``."""
         levels = self.spark.read.parquet(f"{self.path}/levels")
         sets = spool(ordered_sets(_classes(rows), levels, "class_id", "words", self._settings()[1]), "ranked")
-        titles = sets.select(F.explode(band_keys(F.col("ranked"), self.threshold)).alias("key"), "class_id", F.size("ranked").alias("n"), signature(F.col("ranked")).alias("mark"))
+        titles = sets.select("*", F.size("ranked").alias("n"), *signature(F.col("ranked"))).select(F.explode(band_keys(F.col("ranked"), self.threshold)).alias("key"), "class_id", "n", *MARKS)
         return self._placed(titles, "key"), self._placed(sets, "class_id")
 
     def build(self, articles: DataFrame, bucket_rows: int = 50_000, batch: str = "first", usual_share: float = 0.001) -> HistoryIndex:
@@ -143,18 +150,21 @@ class HistoryIndex:
         Words that ``usual_share`` of all articles have are at most (mean words of a title) / share; their levels are broadcast.
         """
         rows = spool(prepared(articles), "history")
+        return self._start(rows, bucket_rows, usual_share)._append(rows, batch)
+
+    def _start(self, rows: DataFrame, bucket_rows: int = 50_000, usual_share: float = 0.001) -> HistoryIndex:
         total = rows.count()
         word_levels(rows, "words").write.mode("overwrite").parquet(f"{self.path}/levels")
         self._known = (max(16, -(-total // bucket_rows)), max(1, int(total * usual_share)).bit_length())
         self.spark.createDataFrame([self._known], "buckets int, usual int").write.mode("overwrite").parquet(f"{self.path}/settings")
-        return self._append(rows, batch)
+        return self
 
     def append(self, articles: DataFrame, batch: str) -> HistoryIndex:
         """Add accepted articles as ``batch``."""
         return self._append(spool(prepared(articles), "batch"), batch)
 
-    def _append(self, rows: DataFrame, batch: str) -> HistoryIndex:
-        titles, sets = self._title_tables(rows)
+    def _append(self, rows: DataFrame, batch: str, tables: tuple[DataFrame, DataFrame] | None = None) -> HistoryIndex:
+        titles, sets = tables or self._title_tables(rows)
         for name, table in zip(self.TABLES, (self._placed(_entries(rows), "key"), titles, sets)):
             salt = F.pmod(F.xxhash64("class_id" if name != "exact" else "id"), F.lit(4))  # a hot bucket is written by four tasks
             table.repartition("bucket", salt).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}/batch={batch}")
@@ -167,10 +177,8 @@ class HistoryIndex:
 
     def links(self, titles: DataFrame, sets: DataFrame) -> DataFrame:
         """(a, b): title classes of the index and different ones of a batch (its two tables) with the overlap."""
-        old, new = self._read("titles", titles), titles
-        x = old.select("key", F.col("class_id").alias("a"), F.col("n").alias("na"), F.col("mark").alias("ma"))
-        y = new.select("key", F.col("class_id").alias("b"), F.col("n").alias("nb"), F.col("mark").alias("mb"))
-        near = (F.col("a") != F.col("b")) & possible(F.col("na"), F.col("ma"), F.col("nb"), F.col("mb"), self.threshold)
+        x, y = (t.select("key", F.col("class_id").alias(side), *[F.col(c).alias(c + side) for c in ("n", *MARKS)]) for t, side in ((self._read("titles", titles), "a"), (titles, "b")))
+        near = (F.col("a") != F.col("b")) & possible("a", "b", self.threshold)
         pairs = spool(x.join(y, "key").where(near).select("a", "b").distinct(), "candidates")
         known = self._read("sets", self._placed(pairs.select("a").distinct(), "a")).select(F.col("class_id").alias("a"), F.col("ranked").alias("ra")).dropDuplicates(["a"])
         both = pairs.join(known, "a").join(sets.select(F.col("class_id").alias("b"), F.col("ranked").alias("rb")), "b")
@@ -184,10 +192,13 @@ class HistoryIndex:
         compared. Ids must be unique.
         """
         rows = spool(prepared(batch), "batch")
+        return self._probe(rows, self._title_tables(rows))
+
+    def _probe(self, rows: DataFrame, tables: tuple[DataFrame, DataFrame]) -> DataFrame:
         entries = self._placed(_entries(rows), "key")
         known = self._read("exact", entries).select("kind", "key", "check", F.col("id").alias("earlier_id"), F.col("run_no").alias("r1"))
         same = known.join(entries.select("kind", "key", "check", F.col("id").alias("later_id"), F.col("run_no").alias("r2")), ["kind", "key", "check"])
-        links = spool(self.links(*self._title_tables(rows)), "links")
+        links = spool(self.links(*tables), "links")
         of_class = self._read("exact", self._placed(links.select("a").distinct(), "a")).where("kind = 'title'")
         old = of_class.select(F.col("key").alias("a"), F.col("id").alias("earlier_id"), F.col("run_no").alias("r1"))
         new = entries.where("kind = 'title'").select(F.col("key").alias("b"), F.col("id").alias("later_id"), F.col("run_no").alias("r2"))
@@ -211,7 +222,16 @@ def repeats(articles: DataFrame, path: str, threshold: float = 0.6) -> DataFrame
 
     The whole history is stored in one index at ``path``, then every run probes it for earlier ones.
     """
-    return HistoryIndex(articles.sparkSession, path, threshold).build(articles).probe(articles)
+    index, rows, tables = _whole(articles, path, threshold)
+    return index._probe(rows, tables)
+
+
+def _whole(articles: DataFrame, path: str, threshold: float) -> tuple[HistoryIndex, DataFrame, tuple[DataFrame, DataFrame]]:
+    """An index of all ``articles``, their prepared rows and title tables, each made once."""
+    rows = spool(prepared(articles), "history")
+    index = HistoryIndex(articles.sparkSession, path, threshold)._start(rows)
+    tables = index._title_tables(rows)
+    return index._append(rows, "first", tables), rows, tables
 
 
 def last_run_against_history(articles: DataFrame, path: str) -> DataFrame:
@@ -229,15 +249,14 @@ def earlier_counts(articles: DataFrame, path: str, threshold: float = 0.6) -> Da
     sums go over the runs of a key, and links are between title classes. A null
     run_no has no earlier run.
     """
-    index = HistoryIndex(articles.sparkSession, path, threshold).build(articles)
-    rows = spool(prepared(articles), "history")
+    index, rows, tables = _whole(articles, path, threshold)
     entries = _entries(rows)
     per_run = spool(entries.where("run_no is not null").groupBy("kind", "key", "check", "run_no").agg(F.count("*").alias("n")), "per_run")
     before = per_run.alias("x").join(per_run.alias("y"), ["kind", "key", "check"]).where("y.run_no < x.run_no").groupBy("kind", "key", "check", "x.run_no").agg(F.sum("y.n").alias("n"))
     of_kind = entries.join(before, ["kind", "key", "check", "run_no"], "left").groupBy("id").agg(
         *[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(f"n_{k}") for k in KINDS], F.max(F.when(F.col("kind") == "title", F.col("key"))).alias("title_class")
     )
-    links = index.links(*index._title_tables(rows))
+    links = index.links(*tables)
     titles = per_run.where("kind = 'title'").select("key", "run_no", "n")
     near = links.join(titles.toDF("a", "r1", "n1"), "a").join(titles.select(F.col("key").alias("b"), F.col("run_no").alias("r2")), "b").where("r1 < r2").groupBy("b", "r2").agg(F.sum("n1").alias("n_near"))
     out = articles.select("id", "run_no").join(of_kind, "id", "left").join(near, (F.col("title_class") == F.col("b")) & (F.col("run_no") == F.col("r2")), "left")
