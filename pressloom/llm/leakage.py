@@ -1,15 +1,18 @@
 """Evaluation texts inside training texts.
 
-Items and documents are cut into windows of ``size`` words. A window is embedded
-by random walks over its words (Chakraborty, Goldenberg and Koucký 2016): the
-walk copies the current word and moves on by a random bit that depends on the
-step and the word, so windows at a small edit distance become strings at a small
-Hamming distance. Keys are words of the embedding at sampled places; windows that
-share a key of a walk are compared by their true edit distance. Equal windows
-share all keys, so they are never lost.
-
-A window at edit distance e of an item's has at least size - e words that items
-have, so other windows are passed over before they are embedded.
+Items and documents are cut into windows of ``size`` words, the length from which
+a passage counts as leaked. A window is embedded by random walks over its words
+(Chakraborty, Goldenberg and Koucký 2016): the walk copies the current word and
+moves on by a random bit that depends on the step and the word, so windows at a
+small edit distance become strings at a small Hamming distance. Keys are words of
+the embedding at sampled places, several of several walks; how many there are
+decides the recall (:meth:`Embedding.recall` measures it). Equal windows share
+all keys, so they are never lost. Windows that share a key are compared by their
+true edit distance.
+
+Equal item windows are one. Documents are read once, however many items there
+are: bit filters of bounded size tell which words and keys items have, document
+windows whose key passes are joined with the item windows by key.
 """
 
 from __future__ import annotations
@@ -22,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressloom.llm.words import U64, flat_words, member_of, mix, owners, shingle_hashes
+from pressloom.llm.words import U64, flat_words, mix, owners
 from pressloom.schemas import fields
+from pressloom.session import spool
 
 PAD = U64(0x5851F42D4C957F2D)
 BLOCK = 1 << 16  # windows embedded at a time
+CELL = 32768  # bits of one row of a filter
 
 
 @dataclass(frozen=True)
@@ -34,9 +39,9 @@ class Embedding:
     """``walks`` random walks of three steps a word; ``tables`` keys of ``places`` sampled places from each."""
 
     size: int = 12
-    walks: int = 2
-    tables: int = 5
-    places: int = 7
+    walks: int = 6
+    tables: int = 4
+    places: int = 5
     seed: int = 1
 
     def keys(self, flat: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -60,173 +65,154 @@ class Embedding:
                 out[:, w * self.tables + t] = mix(key, 31 + t + 1000 * w)
         return out
 
+    def recall(self, edits: int, trials: int = 2000, seed: int = 3) -> float:
+        """The share of windows that meet one with ``edits`` random word edits in some key, measured on random words."""
+        rng = np.random.default_rng(seed)
+        met = 0
+        for _ in range(trials):
+            a = rng.integers(1, 2**63, self.size).tolist()
+            b = list(a)
+            for _ in range(edits):
+                kind, at = rng.integers(3), int(rng.integers(len(b)))
+                b[at : at + (kind != 0)] = [int(rng.integers(1, 2**63))] if kind != 1 else []
+            b += rng.integers(1, 2**63, self.size).tolist()
+            flat = np.array(a + b, dtype=U64)
+            x = self.keys(flat, np.array([0, self.size]))
+            met += bool((x[0] == x[1]).any())
+        return met / trials
+
+
+def edit_distances(left: np.ndarray, right: np.ndarray, slack: int) -> np.ndarray:
+    """For each row the least edit distance of all of ``left`` to a beginning of ``right``; words 0 in ``right`` are past its end.
+
+    Beginnings of up to ``slack`` words more or less than ``left`` are tried.
+    """
+    n, m = left.shape
+    wide = right.shape[1]
+    row = np.tile(np.arange(wide + 1), (n, 1))
+    for i in range(1, m + 1):
+        last = row
+        row = np.empty_like(last)
+        row[:, 0] = i
+        for j in range(1, wide + 1):
+            same = (left[:, i - 1] == right[:, j - 1]) & (right[:, j - 1] != 0)
+            row[:, j] = np.minimum(np.minimum(last[:, j], row[:, j - 1]) + 1, last[:, j - 1] + ~same)
+    ends = np.where(np.concatenate([np.zeros((n, 1), bool), right == 0], axis=1), m + wide, row)
+    return ends[:, max(0, m - slack) : m + slack + 1].min(axis=1)
 
-def edit_distance(a: list[int], b: list[int], most: int) -> int:
-    """Edit distance of two word sequences, or ``most`` + 1 when it is larger."""
-    if a == b:
-        return 0
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        if min(row) > most:
-            return most + 1
-    return min(row[-1], most + 1)
-
-
-class ItemIndex:
-    """Windows of a block of items with their keys, each table sorted by key."""
-
-    def __init__(self, ids: list[int], texts: list[str | None], embedding: Embedding):
-        self.embedding = embedding
-        self.flat, offsets = flat_words(texts)
-        own = owners(offsets)
-        end = np.repeat(offsets[1:], np.diff(offsets))
-        self.start = np.flatnonzero(np.arange(len(self.flat)) + embedding.size <= end)
-        self.item = np.array(ids, dtype=np.int64)[own[self.start]] if len(self.start) else np.zeros(0, np.int64)
-        self.vocabulary = np.unique(self.flat)
-        keys = embedding.keys(self.flat, self.start)
-        self.order = [np.argsort(keys[:, t], kind="stable") for t in range(keys.shape[1])]
-        self.sorted = [keys[o, t] for t, o in enumerate(self.order)]
-        self.owner, self.first, self.end = np.array(ids, dtype=np.int64)[own] if len(own) else np.zeros(0, np.int64), np.repeat(offsets[:-1], np.diff(offsets)), end
-        half, place = shingle_hashes(self.flat, offsets, embedding.size // 2)
-        order = np.argsort(half, kind="stable")
-        self.half, self.half_at = half[order], place[order]
-
-    def candidates(self, keys: np.ndarray) -> np.ndarray:
-        """Distinct (row of keys, item window) that share a key, as rows of two numbers."""
-        found = [np.zeros(0, np.int64)]
-        for t, known in enumerate(self.sorted):
-            low, high = np.searchsorted(known, keys[:, t], "left"), np.searchsorted(known, keys[:, t], "right")
-            n = high - low
-            rows = np.repeat(np.arange(len(keys)), n)
-            if len(rows):
-                place = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-                found.append(rows * len(self.start) + self.order[t][place])
-        both = np.unique(np.concatenate(found))
-        return np.stack([both // max(1, len(self.start)), both % max(1, len(self.start))], axis=1)
-
-    def distances(self, flat: np.ndarray, at: np.ndarray, window: np.ndarray, most: int) -> np.ndarray:
-        """Edit distances of the windows of ``flat`` at ``at`` to item windows, ``most`` + 1 for larger ones.
-
-        Windows of one length at distance 1 differ in one place; only from two
-        edits on can a shift be shorter than the differing places.
-        """
-        span = np.arange(self.embedding.size)
-        left, right = flat[at[:, None] + span], self.flat[self.start[window][:, None] + span]
-        out = np.minimum((left != right).sum(axis=1), most + 1)
-        if most > 1:
-            for k in np.flatnonzero(out > 1):
-                out[k] = edit_distance(left[k].tolist(), right[k].tolist(), most)
-        return out
 
+WINDOWS = fields("item_id long, wid long, words long[], vocabulary long[], keys long[]")
 
-    def shifted(self, flat: np.ndarray, offsets: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in ``flat``, place in the items) of every item window that the words there match with one word inserted or dropped inside it.
-
-        One half of the window is there unchanged, so all are found by equal
-        halves. Those that one of the windows of equal length matches within one
-        place aren't repeated.
-        """
-        size = self.embedding.size
-        m = size // 2
-        start, end = np.repeat(offsets[:-1], np.diff(offsets)), np.repeat(offsets[1:], np.diff(offsets))
-        h, at = shingle_hashes(flat, offsets, m)
-        keep = known[at + m] - known[at] == m
-        h, at = h[keep], at[keep]
-        low = np.searchsorted(self.half, h, "left")
-        n = np.searchsorted(self.half, h, "right") - low
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        cuts = np.unique(np.searchsorted(upto, np.arange(0, upto[-1] + BLOCK, BLOCK)).clip(0, len(n)))
-        for x, y in zip(cuts[:-1], cuts[1:]):
-            k = n[x:y]
-            a = np.repeat(at[x:y], k)
-            w = self.half_at[np.arange(len(a)) - np.repeat(np.cumsum(k) - k, k) + np.repeat(low[x:y], k)]
-            d0, d1, i0, i1 = start[a], end[a], self.first[w], self.end[w]
-            for change in (1, -1):  # inserted, dropped
-                long = size + change
-                for back_d, back_i in ((0, 0), (long - m, size - m)):  # the equal half is the first or the last
-                    p, q = a - back_d, w - back_i
-                    ok = (p >= d0) & (p + long <= d1) & (d1 - d0 >= size) & (q >= i0) & (q + size <= i1)
-                    p, q = p[ok], q[ok]
-                    doc, item = flat[p[:, None] + np.arange(long)], self.flat[q[:, None] + np.arange(size)]
-                    short = min(long, size)
-                    head, tail = doc[:, :short] == item[:, :short], doc[:, long - short :] == item[:, size - short :]
-                    same = np.cumprod(head, axis=1).sum(axis=1) + np.cumprod(tail[:, ::-1], axis=1).sum(axis=1) >= short
-                    new = same & (np.minimum((~head).sum(axis=1), (~tail).sum(axis=1)) > (1 if change > 0 else 0))
-                    out.append((p[new], q[new]))
-        both = np.unique(np.stack([np.concatenate(x) for x in zip(*out)], axis=1), axis=0)
-        return both[:, 0], both[:, 1]
-
-
-FOUND = fields("doc_id long, item_id long, distance int, start_word int, n_windows int")
-
-
-def leaks(docs: DataFrame, id_col: str, text: str, items: DataFrame, item_id: str, item_text: str, most: int = 1, embedding: Embedding | None = None, block: int = 20000) -> DataFrame:
-    """(doc_id, item_id, distance, start_word, n_windows) of each document with a window within ``most`` word edits of an item's window.
 
-    A window of one word more or less that matches with one word inserted or
-    dropped inside counts, too. distance is the least of the matching windows, start_word (from 0) where the
-    first of that distance begins in the document. Items come to the driver and
-    out to the tasks in blocks of ``block``, each against all documents; the
-    documents are read in place and nothing is shuffled. Documents and items of
-    fewer than 12 words, null and empty ones match nothing; equal documents and
-    equal items are each reported. Document ids must be unique.
-    """
-    embedding = embedding or Embedding()
-    numbered = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).orderBy("i", "t").collect() if items.count() <= block else None
-    if numbered is not None:
-        return _against(docs, id_col, text, [r["i"] for r in numbered], [r["t"] for r in numbered], most, embedding)
-    parts = -(-items.count() // block) * 2
-    out = None
-    for k in range(parts):
-        rows = items.where(F.pmod(F.xxhash64(item_id), F.lit(parts)) == k).select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).collect()
-        found = _against(docs, id_col, text, [r["i"] for r in rows], [r["t"] for r in rows], most, embedding)
-        out = found if out is None else out.unionByName(found)
+def item_windows(items: DataFrame, item_id: str, item_text: str, embedding: Embedding) -> DataFrame:
+    """(item_id, wid: hash of the window, words, vocabulary: its words as places of a filter, keys) of every window of every item."""
+    size = embedding.size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, offsets = flat_words(batch.column(1).to_pylist())
+            end = np.repeat(offsets[1:], np.diff(offsets))
+            start = np.flatnonzero(np.arange(len(flat)) + size <= end)
+            words = flat[start[:, None] + np.arange(size)]
+            wid = np.zeros(len(start), U64)
+            for i in range(size):
+                wid = mix(wid * U64(3) + words[:, i], 9)
+            lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x).view(np.int64).reshape(-1)))
+            own = batch.column(0).take(pa.array(owners(offsets)[start])) if len(start) else batch.column(0).slice(0, 0)
+            yield pa.RecordBatch.from_arrays([own, pa.array(wid.view(np.int64)), lists(words), lists(mix(words, 21)), lists(embedding.keys(flat, start))], names=WINDOWS.names)
+
+    return items.select(F.col(item_id).cast("long"), F.col(item_text)).mapInArrow(run, WINDOWS)
+
+
+def bit_filter(values: DataFrame, bits: int) -> np.ndarray:
+    """A filter of ``bits`` bits (a multiple of CELL) with a bit for each value of the one column (hashes); at most bits / 8 bytes come to the driver, whatever the values."""
+    at = F.pmod(F.col(values.columns[0]), F.lit(bits))
+    rows = values.select(at.alias("at")).groupBy(F.floor(F.col("at") / CELL).cast("int").alias("cell")).agg(F.bitmap_construct_agg(F.col("at") % CELL).alias("b")).collect()
+    out = np.zeros(bits // 8, np.uint8)
+    for r in rows:
+        out[r["cell"] * CELL // 8 : (r["cell"] + 1) * CELL // 8] = np.frombuffer(r["b"], np.uint8)
     return out
 
 
-def _against(docs: DataFrame, id_col: str, text: str, ids: list[int], texts: list[str | None], most: int, embedding: Embedding) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast((ids, texts))
-    size = embedding.size
+def _passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes & U64(len(bits) * 8 - 1)  # a power of two, so this is the positive remainder of the signed value too
+    return (bits[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8)) & 1 == 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = ItemIndex(*shared.value, embedding)
+
+HITS = fields("doc_id long, start int, key long, words long[]")
+NEAR = fields("doc_id long, wid long, start int, distance int")
+
+
+def leaks(docs: DataFrame, id_col: str, text: str, items: DataFrame, item_id: str, item_text: str, most: int = 2, embedding: Embedding | None = None, filter_bits: int = 1 << 28) -> DataFrame:
+    """(doc_id, item_id, distance, start_word, n_windows) of each document with a window within ``most`` word edits of an item's window.
+
+    An edit is a word replaced, inserted or dropped. distance is the least of the
+    matching windows, start_word (from 0) where the first of that distance begins
+    in the document, n_windows the number of places in the document where a
+    window of the item is matched. Windows at distance 0 are all found, others
+    with the recall of the embedding. Documents and items of fewer than ``size``
+    words, null and empty ones match nothing; equal documents and equal items are
+    each reported. Document ids must be unique. The two filters have at most
+    ``filter_bits`` bits (a power of two) together with what the items need.
+    """
+    embedding = embedding or Embedding()
+    size, wide, span = embedding.size, embedding.size + most, embedding.size + 2 * most  # of a hit go ``most`` words more on either side
+    found = spool(item_windows(items, item_id, item_text, embedding), "items")
+    windows = found.groupBy("wid").agg(*[F.first(c).alias(c) for c in ("words", "vocabulary", "keys")])
+    n = max(1, found.count())
+    bits = lambda per: min(filter_bits, max(CELL, 1 << (n * per).bit_length()))
+    vocabulary = bit_filter(windows.select(F.explode("vocabulary")), bits(2 * size))
+    known = bit_filter(windows.select(F.explode("keys")), bits(8 * embedding.walks * embedding.tables))
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, known))
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        in_items, of_key = shared.value
         for batch in batches:
-            doc_ids = batch.column(0).to_pylist()
-            best: dict[tuple[int, int], list[int]] = {}
             flat, offsets = flat_words(batch.column(1).to_pylist())
-            known = np.concatenate([[0], np.cumsum(member_of(flat, index.vocabulary))])
+            upto = np.concatenate([[0], np.cumsum(_passes(in_items, mix(flat, 21)))])
             end = np.repeat(offsets[1:], np.diff(offsets))
             start = np.flatnonzero(np.arange(len(flat)) + size <= end)
-            start = start[known[start + size] - known[start] >= size - most]
+            start = start[upto[start + size] - upto[start] >= size - most]
             own = owners(offsets)
+            padded = np.concatenate([np.zeros(most, U64), flat, np.zeros(most, U64)])
+            first = np.repeat(offsets[:-1], np.diff(offsets))
             for i in range(0, len(start), BLOCK):
                 part = start[i : i + BLOCK]
-                pairs = index.candidates(embedding.keys(flat, part))
-                at, window = part[pairs[:, 0]], pairs[:, 1]
-                distance = index.distances(flat, at, window, most)
-                near = distance <= most
-                for a, w, d in zip(at[near].tolist(), window[near].tolist(), distance[near].tolist()):
-                    doc = int(own[a])
-                    mark = best.setdefault((doc, int(index.item[w])), [d, a - int(offsets[doc]), 0])
-                    mark[2] += 1
-                    if d < mark[0]:
-                        mark[:2] = [d, a - int(offsets[doc])]
-            for a, w in zip(*(x.tolist() for x in index.shifted(flat, offsets, known))) if most else ():
-                doc = int(own[a])
-                mark = best.setdefault((doc, int(index.owner[w])), [1, a - int(offsets[doc]), 0])
-                mark[2] += 1
-                if mark[0] == 1:
-                    mark[1] = min(mark[1], a - int(offsets[doc]))
-            rows = [(doc_ids[d], i, *m) for (d, i), m in best.items()]
-            cols = list(zip(*rows)) if rows else [[] for _ in FOUND.names]
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=FOUND.names)
-
-    return docs.select(F.col(id_col).cast("long"), F.col(text)).mapInArrow(run, FOUND)
+                keys = embedding.keys(flat, part)
+                row, col = np.nonzero(_passes(of_key, keys))
+                at = part[row]
+                place = at[:, None] + np.arange(-most, wide)
+                words = np.where((place < end[at][:, None]) & (place >= first[at][:, None]), padded[place + most], U64(0)) if len(at) else np.zeros((0, span), U64)
+                off = pa.array(np.arange(len(at) + 1, dtype=np.int32) * span)
+                ids = batch.column(0).take(pa.array(own[at]))
+                yield pa.RecordBatch.from_arrays([ids, pa.array((at - offsets[own[at]]).astype(np.int32)), pa.array(keys[row, col].view(np.int64)), pa.ListArray.from_arrays(off, pa.array(words.view(np.int64).reshape(-1)))], names=HITS.names)
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc = batch.column(3).flatten().to_numpy().view(U64).reshape(-1, span)
+            item = batch.column(4).flatten().to_numpy().view(U64).reshape(-1, size)
+            distance, start = np.zeros(len(doc), np.int64), batch.column(2).to_numpy().copy()
+            unequal = np.flatnonzero((doc[:, most : most + size] != item).any(axis=1))
+            for i in range(0, len(unequal), BLOCK):
+                part = unequal[i : i + BLOCK]
+                best, shift = np.full(len(part), most + 1), np.zeros(len(part), np.int64)
+                for o in sorted(range(-most, most + 1), key=abs):  # the passage may begin a little before or after the window
+                    right = doc[part, most + o : min(span, most + o + wide)]
+                    d = np.where(right[:, 0] == 0, most + 1, edit_distances(item[part], right, most))
+                    better = d < best
+                    best, shift = np.where(better, d, best), np.where(better, o, shift)
+                distance[part], start[part] = best, start[part] + shift
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(start.astype(np.int32)), pa.array(distance.astype(np.int32))], names=NEAR.names)
+            yield out.filter(pa.array(distance <= most))
+
+    left = docs.select(F.col(id_col).cast("long"), F.col(text)).mapInArrow(hits, HITS)
+    right = windows.select(F.explode("keys").alias("key"), "wid", F.col("words").alias("item_words"))
+    near = left.join(right, "key").select("doc_id", "wid", "start", "words", "item_words").mapInArrow(verify, NEAR)
+    best = near.groupBy("doc_id", "wid", "start").agg(F.min("distance").alias("distance"))
+    of_item = found.select("wid", "item_id").distinct()
+    places = best.join(of_item, "wid").groupBy("doc_id", "item_id", "start").agg(F.min("distance").alias("distance"))
+    first = F.min(F.struct("distance", "start"))
+    return places.groupBy("doc_id", "item_id").agg(first.alias("f"), F.count("*").cast("int").alias("n_windows")).select("doc_id", "item_id", "f.distance", F.col("f.start").alias("start_word"), "n_windows")
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -121,7 +121,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
-    """All leaks within one word edit."""
+    """Leaks within two word edits of a window of twelve words."""
     return _leaks(spark, d)
 
 

@@ -280,21 +280,50 @@ def test_leaks_match_brute_force(spark):
     df, idf = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string")
     found = leakage.leaks(df, "doc_id", "text", idf, "item_id", "item_text")
     assert {(r["doc_id"], r["item_id"]) for r in found.where("distance = 0").collect()} == want
-    again = leakage.leaks(df, "doc_id", "text", idf, "item_id", "item_text", block=5)
-    assert {(r["doc_id"], r["item_id"]) for r in again.where("distance = 0").collect()} == want
     assert leakage.leaks(df, "doc_id", "text", idf.limit(0), "item_id", "item_text").count() == 0
 
 
-def test_search_recall_at_one_edit(spark):
-    rng = random.Random(12)
-    items = [(i, text(rng, 12)) for i in range(100)]
-    docs = []
-    for i, t in items:
-        w = t.split()
-        w[rng.randrange(12)] = "changed"
-        docs.append((i, text(rng, 10) + " " + " ".join(w) + " " + text(rng, 10)))
+def edited(rng, w, edits):
+    for _ in range(edits):
+        kind, at = rng.randrange(3), rng.randrange(len(w))
+        w[at : at + (kind != 0)] = [f"new{rng.randrange(10**9)}"] if kind != 1 else []
+    return w
+
+
+@pytest.mark.parametrize("edits, least", [(0, 1.0), (1, 0.98), (2, 0.9)])
+def test_search_recall_at_planted_edits(spark, edits, least):
+    rng = random.Random(12 + edits)
+    items = [(i, text(rng, 12)) for i in range(200)]
+    docs = [(i, " ".join([text(rng, 10), *edited(rng, t.split(), edits), text(rng, 10)])) for i, t in items]
+    out = leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", spark.createDataFrame(items, "item_id long, item_text string"), "item_id", "item_text").collect()
+    mine = {r["doc_id"]: r["distance"] for r in out if r["doc_id"] == r["item_id"]}
+    assert len(mine) >= least * len(items) and all(d <= edits for d in mine.values())
+
+
+def test_edit_distances_match_brute_force():
+    import numpy as np
+
+    rng = random.Random(5)
+    rows = [([rng.randrange(1, 5) for _ in range(6)], [rng.randrange(1, 5) for _ in range(rng.randrange(4, 9))]) for _ in range(200)]
+
+    def brute(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return min(row[4:9])
+
+    wide = np.array([b + [0] * (8 - len(b)) for _, b in rows], dtype=np.uint64)
+    assert leakage.edit_distances(np.array([a for a, _ in rows], dtype=np.uint64), wide, 2).tolist() == [brute(a, b) for a, b in rows]
+
+
+def test_template_windows_of_many_items(spark):
+    shared = " ".join(FILLER[:14])
+    items = [(i, f"{shared} own{i}") for i in range(300)]
+    docs = [(i, f"x{i} {shared} y{i}") for i in range(50)]
     out = leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", spark.createDataFrame(items, "item_id long, item_text string"), "item_id", "item_text")
-    assert len({r["doc_id"] for r in out.collect() if r["doc_id"] == r["item_id"]}) >= 90
+    assert out.where("distance = 0").count() == 50 * 300
 
 
 @pytest.mark.parametrize(
