@@ -36,17 +36,17 @@ CELL = 32768  # bits of one row of a filter
 
 @dataclass(frozen=True)
 class Embedding:
-    """``walks`` random walks of three steps a word; ``tables`` keys of ``places`` sampled places from each."""
+    """``walks`` random walks of 7/3 steps a word; ``tables`` keys of ``places`` sampled places from each. (In three steps a word most walks have left the window, and what they sample there tells nothing.)"""
 
     size: int = 12
-    walks: int = 6
+    walks: int = 8
     tables: int = 4
-    places: int = 5
+    places: int = 6
     seed: int = 1
 
     def keys(self, flat: np.ndarray, start: np.ndarray) -> np.ndarray:
         """All keys of the windows at ``start``: one row each, walks * tables columns."""
-        steps = 3 * self.size
+        steps = 7 * self.size // 3
         out = np.zeros((len(start), self.walks * self.tables), U64)
         padded = np.append(flat, np.full(self.size, PAD))
         for w in range(self.walks):
@@ -82,26 +82,53 @@ class Embedding:
         return met / trials
 
 
-def edit_distances(left: np.ndarray, right: np.ndarray, slack: int) -> np.ndarray:
-    """For each row the least edit distance of all of ``left`` to a beginning of ``right``; words 0 in ``right`` are past its end.
+def near_distances(items: np.ndarray, docs: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distance, shift) for each row: the least edit distance, up to ``most`` (else most + 1), of the words in ``items`` to a run of the words in ``docs`` that begins at ``most`` + shift, |shift| <= most.
 
-    Beginnings of up to ``slack`` words more or less than ``left`` are tried.
+    For each diagonal of the comparison the row is kept that the edits so far
+    reach (Ukkonen 1985); equal words are passed in one step by the lengths of
+    the runs of matches. Words 0 in ``docs`` match nothing.
     """
-    n, m = left.shape
-    wide = right.shape[1]
-    row = np.tile(np.arange(wide + 1), (n, 1))
-    for i in range(1, m + 1):
-        last = row
-        row = np.empty_like(last)
-        row[:, 0] = i
-        for j in range(1, wide + 1):
-            same = (left[:, i - 1] == right[:, j - 1]) & (right[:, j - 1] != 0)
-            row[:, j] = np.minimum(np.minimum(last[:, j], row[:, j - 1]) + 1, last[:, j - 1] + ~same)
-    ends = np.where(np.concatenate([np.zeros((n, 1), bool), right == 0], axis=1), m + wide, row)
-    return ends[:, max(0, m - slack) : m + slack + 1].min(axis=1)
-
-
-WINDOWS = fields("item_id long, wid long, words long[], vocabulary long[], keys long[]")
+    n, m = items.shape
+    spread = 2 * most
+    wide = np.pad(docs, ((0, 0), (most, most)))
+    run = np.zeros((2 * spread + 1, m + 1, n), np.int8)
+    for k in range(2 * spread + 1):
+        for i in range(m - 1, -1, -1):
+            run[k, i] = (items[:, i] == wide[:, i + k]) * (run[k, i + 1] + 1)
+    none, rows = np.full(n, -1, np.int8), np.arange(n)
+    reach = [run[k, 0] if abs(k - spread) <= most else none for k in range(2 * spread + 1)]
+    begin = [np.full(n, k - spread, np.int8) for k in range(2 * spread + 1)]
+    order = sorted(range(2 * spread + 1), key=lambda k: (abs(k - spread), k))
+    distance, shift = np.full(n, most + 1), np.zeros(n, np.int64)
+    for edits in range(most + 1):
+        for k in order:
+            new = (reach[k] >= m) & (distance > most)
+            distance[new], shift[new] = edits, begin[k][new]
+        if edits == most or (distance <= most).all():
+            break
+        after, origin = [], []
+        for k in range(2 * spread + 1):
+            far, source = np.where(reach[k] >= 0, np.minimum(reach[k] + 1, m), none), begin[k]
+            for j, step in ((k - 1, 0), (k + 1, 1)):
+                if 0 <= j <= 2 * spread:
+                    other = np.where(reach[j] >= 0, np.minimum(reach[j] + step, m), none)
+                    better = other > far
+                    far, source = np.where(better, other, far), np.where(better, begin[j], source)
+            after.append(np.where(far >= 0, far + run[k, np.maximum(far, 0), rows], none).astype(np.int8))
+            origin.append(source)
+        reach, begin = after, origin
+    return distance, shift
+
+
+def _packed(words: np.ndarray) -> pa.Array:
+    """The rows of a table of hashes as bytes."""
+    n, m = words.shape
+    offsets = pa.py_buffer(np.arange(n + 1, dtype=np.int32) * (8 * m))
+    return pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(np.ascontiguousarray(words))])
+
+
+WINDOWS = fields("item_id long, wid long, words binary, vocabulary long[], keys long[]")
 
 
 def item_windows(items: DataFrame, item_id: str, item_text: str, embedding: Embedding) -> DataFrame:
@@ -119,7 +146,7 @@ def item_windows(items: DataFrame, item_id: str, item_text: str, embedding: Embe
                 wid = mix(wid * U64(3) + words[:, i], 9)
             lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x).view(np.int64).reshape(-1)))
             own = batch.column(0).take(pa.array(owners(offsets)[start])) if len(start) else batch.column(0).slice(0, 0)
-            yield pa.RecordBatch.from_arrays([own, pa.array(wid.view(np.int64)), lists(words), lists(mix(words, 21)), lists(embedding.keys(flat, start))], names=WINDOWS.names)
+            yield pa.RecordBatch.from_arrays([own, pa.array(wid.view(np.int64)), _packed(words), lists(mix(words, 21)), lists(embedding.keys(flat, start))], names=WINDOWS.names)
 
     return items.select(F.col(item_id).cast("long"), F.col(item_text)).mapInArrow(run, WINDOWS)
 
@@ -139,7 +166,7 @@ def _passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8)) & 1 == 1
 
 
-HITS = fields("doc_id long, start int, key long, words long[]")
+HITS = fields("doc_id long, start int, key long, words binary")
 NEAR = fields("doc_id long, wid long, start int, distance int")
 
 
@@ -183,25 +210,19 @@ def leaks(docs: DataFrame, id_col: str, text: str, items: DataFrame, item_id: st
                 at = part[row]
                 place = at[:, None] + np.arange(-most, wide)
                 words = np.where((place < end[at][:, None]) & (place >= first[at][:, None]), padded[place + most], U64(0)) if len(at) else np.zeros((0, span), U64)
-                off = pa.array(np.arange(len(at) + 1, dtype=np.int32) * span)
                 ids = batch.column(0).take(pa.array(own[at]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array((at - offsets[own[at]]).astype(np.int32)), pa.array(keys[row, col].view(np.int64)), pa.ListArray.from_arrays(off, pa.array(words.view(np.int64).reshape(-1)))], names=HITS.names)
+                yield pa.RecordBatch.from_arrays([ids, pa.array((at - offsets[own[at]]).astype(np.int32)), pa.array(keys[row, col].view(np.int64)), _packed(words)], names=HITS.names)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc = batch.column(3).flatten().to_numpy().view(U64).reshape(-1, span)
-            item = batch.column(4).flatten().to_numpy().view(U64).reshape(-1, size)
+            doc = np.frombuffer(b"".join(batch.column(3).to_pylist()), U64).reshape(-1, span)
+            item = np.frombuffer(b"".join(batch.column(4).to_pylist()), U64).reshape(-1, size)
             distance, start = np.zeros(len(doc), np.int64), batch.column(2).to_numpy().copy()
             unequal = np.flatnonzero((doc[:, most : most + size] != item).any(axis=1))
             for i in range(0, len(unequal), BLOCK):
                 part = unequal[i : i + BLOCK]
-                best, shift = np.full(len(part), most + 1), np.zeros(len(part), np.int64)
-                for o in sorted(range(-most, most + 1), key=abs):  # the passage may begin a little before or after the window
-                    right = doc[part, most + o : min(span, most + o + wide)]
-                    d = np.where(right[:, 0] == 0, most + 1, edit_distances(item[part], right, most))
-                    better = d < best
-                    best, shift = np.where(better, d, best), np.where(better, o, shift)
-                distance[part], start[part] = best, start[part] + shift
+                distance[part], shift = near_distances(item[part], doc[part], most)  # the passage may begin a little before or after the window
+                start[part] = np.maximum(start[part] + shift, 0)
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(start.astype(np.int32)), pa.array(distance.astype(np.int32))], names=NEAR.names)
             yield out.filter(pa.array(distance <= most))
 

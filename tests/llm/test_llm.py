@@ -300,11 +300,12 @@ def test_search_recall_at_planted_edits(spark, edits, least):
     assert len(mine) >= least * len(items) and all(d <= edits for d in mine.values())
 
 
-def test_edit_distances_match_brute_force():
+@pytest.mark.parametrize("most", [0, 1, 2, 3])
+def test_edit_distances_match_brute_force(most):
     import numpy as np
 
     rng = random.Random(5)
-    rows = [([rng.randrange(1, 5) for _ in range(6)], [rng.randrange(1, 5) for _ in range(rng.randrange(4, 9))]) for _ in range(200)]
+    rows = [([rng.randrange(1, 5) for _ in range(6)], [rng.choice([0, 1, 2, 3, 4]) for _ in range(6 + 2 * most)]) for _ in range(300)]
 
     def brute(a, b):
         row = list(range(len(b) + 1))
@@ -312,10 +313,11 @@ def test_edit_distances_match_brute_force():
             last, row = row, [i]
             for j, y in enumerate(b, 1):
                 row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
-        return min(row[4:9])
+        return min(row)
 
-    wide = np.array([b + [0] * (8 - len(b)) for _, b in rows], dtype=np.uint64)
-    assert leakage.edit_distances(np.array([a for a, _ in rows], dtype=np.uint64), wide, 2).tolist() == [brute(a, b) for a, b in rows]
+    got, shift = leakage.near_distances(np.array([a for a, _ in rows], dtype=np.uint64), np.array([b for _, b in rows], dtype=np.uint64), most)
+    assert got.tolist() == [min(most + 1, *(brute(a, b[most + o :]) for o in range(-most, most + 1))) for a, b in rows]
+    assert all(brute(a, b[most + o :]) == d for (a, b), d, o in zip(rows, got, shift) if d <= most)
 
 
 def test_template_windows_of_many_items(spark):
