@@ -74,6 +74,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return _cuts(spark, d).where("is_cut").select("article_id", "field_name")
 
 
+def p3_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Why each cut text counts as cut: an omission mark, something broken or open at its end, a field limit, or an end where no text stops."""
+    return _cuts(spark, d).where("is_cut").groupBy("source_id", "field_name", "reason").agg(F.count("*").alias("n_texts"))
+
+
 def p3_rates(spark: SparkSession, d: str) -> DataFrame:
     """How often each source cuts summaries and contents."""
     return truncation.rates(_cuts(spark, d))
@@ -153,7 +158,7 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redacted(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_nested_caps, p3_found, p3_rates, p4_found, p4_last_run, p4_links, p5_found, p5_clean, p6_found, p6_restored, p7_found, p7_groups, p8_found, p8_leaks, p8_report, p9_mixture, p9_report, p10_found, p10_redacted)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_nested_caps, p3_found, p3_rates, p3_reasons, p4_found, p4_last_run, p4_links, p5_found, p5_clean, p6_found, p6_restored, p7_found, p7_groups, p8_found, p8_leaks, p8_report, p9_mixture, p9_report, p10_found, p10_redacted)}
 
 _TITLE_WORDS = "list_distinct(list_filter(regexp_extract_all(lower(coalesce(title, '')), '[\\p{L}\\p{N}]+'), lambda x: x <> ''))"
 

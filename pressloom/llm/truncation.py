@@ -7,7 +7,8 @@ leaves a quote, bracket or tag open, even after a terminator. One that ends with
 terminator and nothing broken or open is complete. For the rest, the words at the end decide: a
 model learned from the ends of complete sentences and lines, and from random
 cuts of the same lines, tells how likely a text may stop there; lengths at which
-the unterminated texts of a source pile up (its field limits) add to that.
+the unterminated texts of a source pile up (its field limits) add to that, and so
+does how often the source leaves terminators out, against all sources.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from html.entities import name2codepoint
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,9 @@ PAIRS = {"”": "“„", "“": "„", "»": "«", ")": "(", "]": "[", ">": "<"
 OPENERS = "“„«([<"
 SIGNS = re.compile(r"[“”„«»()\[\]<>\"]")
 OMISSION = re.compile(r"(?:…|\.\.\.|\. \. \.|\[\s*(?:…|\.\.\.|more|mehr|suite)\s*\]|\((?:more|…|\.\.\.)\)|(?:…|\.\.\.)\s*[\])»”\"]?)\s*$", re.I)
-BROKEN = re.compile(r"(?:&(?:#x?[0-9a-fA-F]*|[a-zA-Z]{1,8})|\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|\\|%[0-9A-F]?|<[a-zA-Z/!][^<>]*|[�\ud800-\udbff])$")
+BROKEN = re.compile(r"(?:&#x?[0-9a-fA-F]*|\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|\\|%[0-9A-F]{2}\S*%[0-9A-F]?|<[a-zA-Z/!][^<>]*|[�\ud800-\udbff])$")
+REFERENCE = re.compile(r"&([a-zA-Z]{2,8})$")
+BEGUN = frozenset(name[:n] for name in name2codepoint for n in range(2, len(name) + 1))
 TERMINATED = re.compile(r"[.!?。！？]['’\"”“»)\]\s]*$")
 SHORT_FORM = re.compile(r"(?:^|[\s(“\"«„-])(?:[^\W\d_]|dr|mr|mrs|ms|prof|st|no|nr|vs|sr|jr)\.\s*$", re.I)
 CREDIT = re.compile(r"[.!?。][\"”»)]*\s+(?:\([^()]{2,40}\)|[—–-]\s*[^\W\d_][^.!?]{1,40})$")
@@ -63,6 +67,21 @@ def left_open(line: str) -> str:
     return "".join(stack)
 
 
+def broken(body: str) -> bool:
+    """Whether a text ends inside an entity, escape, tag or character. ``&`` and letters count only where they begin a known reference (not ``R&D``), ``%`` only after another escape."""
+    return bool(BROKEN.search(body)) or bool((m := REFERENCE.search(body)) and m[1] in BEGUN)
+
+
+def last_sentence(line: str) -> str:
+    """What follows the last sentence end inside a line, sought from the end in growing steps."""
+    span = 400
+    while True:
+        parts = BOUNDARY.split(line[-span:])
+        if len(parts) > 1 or span >= len(line):
+            return parts[-1]
+        span *= 4
+
+
 NO_OPENER = re.compile(r"(?<=[^\W_]|[.!?,…])[“„«]|(?<=\d)\"|<(?![a-zA-Z/!])|(?<!\w)[:;=]-?[(\[<]")
 
 
@@ -91,7 +110,7 @@ class EndModel:
 
     def features(self, line: str) -> list[int]:
         """Hashed features of the end of a line, its closing terminator left off."""
-        sentence = BOUNDARY.split(line[-400:])[-1]
+        sentence = last_sentence(line)
         raw = TOKEN.findall(sentence)
         tokens = []
         for w in raw[-8:]:
@@ -189,7 +208,7 @@ def judge(df: DataFrame, model: EndModel) -> DataFrame:
                 state, score = "complete", 9.0
                 if OMISSION.search(line):
                     state, score = "marked", -9.0
-                elif BROKEN.search(body):
+                elif broken(body):
                     state, score = "broken", -9.0
                 elif body == (title or "").strip() or ADDRESS.search(line) or CREDIT.search(line):
                     pass
@@ -205,9 +224,9 @@ def judge(df: DataFrame, model: EndModel) -> DataFrame:
     return df.select("id", "source_id", "title", "field_name", "text").mapInArrow(run, JUDGED)
 
 
-def sample(texts: DataFrame, most: int) -> list[str]:
-    """At most ``most`` texts, those of least hash: a bounded sample that doesn't depend on the order of rows."""
-    fit = texts.where(F.length("text").between(1, 20000)).withColumn("mark", F.xxhash64("id", "field_name"))
+def sample(texts: DataFrame, most: int, chars: int = 20000) -> list[str]:
+    """At most ``most`` texts of at most ``chars`` characters (so the driver holds a bounded sample), those of least hash: a bounded sample that doesn't depend on the order of rows."""
+    fit = texts.where(F.length("text").between(1, chars)).withColumn("mark", F.xxhash64("id", "field_name"))
     share = min(1.0, 1.5 * most / max(1, fit.count()) + 1e-6)  # first cut by hash, so that no task sends more than its part
     low = min(-(1 << 63) + int(share * (1 << 64)), (1 << 63) - 1)
     rows = fit.where(F.col("mark") <= low).orderBy("mark", "id").limit(most).select("text").collect()
@@ -220,13 +239,16 @@ def fields_of(articles: DataFrame) -> DataFrame:
     return articles.select("id", "source_id", "title", pair.alias("f")).select("id", "source_id", "title", "f.field_name", "f.text")
 
 
-def truncated(articles: DataFrame, training_texts: int = 8000, pile_share: float = 0.08, pile_least: int = 5, threshold: float = 0.0) -> DataFrame:
+def truncated(articles: DataFrame, training_texts: int = 8000, pile_share: float = 0.08, pile_least: int = 5, threshold: float = 0.0, most_shift: float = 0.4) -> DataFrame:
     """(article_id, source_id, field_name, is_cut, reason) of every non-blank summary and content.
 
     ``training_texts`` bounds the sample the model of ends is fitted to. A length
     in characters or bytes is a field limit of a source when at least ``pile_least`` and ``pile_share``
     of its unterminated texts of that field have it; such texts need less
-    evidence from their last words. Null and blank texts have no row. A null
+    evidence from their last words. Sources that leave terminators out more often
+    than the field does over all sources need more, others less, by the logarithm
+    of the ratio of the two rates, at most ``most_shift``: a baseline counted over
+    all rows, with one text of either kind added. Null and blank texts have no row. A null
     source_id is a source of its own. Ids must be unique.
     """
     rows = fields_of(articles)
@@ -245,9 +267,18 @@ def truncated(articles: DataFrame, training_texts: int = 8000, pile_share: float
         .agg(*[F.collect_set(F.when(F.col("unit") == c, F.col("length"))).alias(f"p_{c}") for c in ("chars", "bytes")])  # at most 1 / pile_share each
     )
     at = F.col("source_id").eqNullSafe(F.col("p_source")) & (F.col("field_name") == F.col("p_field"))
+    kinds = [F.count_if(F.col("state") == "open").alias("n_open"), F.count_if(F.col("state") == "complete").alias("n_complete")]
+    per_source = found.groupBy("source_id", "field_name").agg(*kinds)
+    whole = per_source.groupBy(F.col("field_name").alias("w_field")).agg(F.sum("n_open").alias("w_open"), F.sum("n_complete").alias("w_complete"))  # one row a field
+    rate = lambda a, b: (F.col(a) + 1) / (F.col(a) + F.col(b) + 2)
+    shift = F.log(rate("n_open", "n_complete") / rate("w_open", "w_complete"))
+    base = per_source.join(F.broadcast(whole), F.col("field_name") == F.col("w_field")).select(
+        F.col("source_id").alias("b_source"), F.col("field_name").alias("b_field"), F.greatest(F.lit(-most_shift), F.least(F.lit(most_shift), shift)).alias("shift")
+    )
     piled = F.array_contains("p_chars", F.col("chars")) | F.array_contains("p_bytes", F.col("bytes"))
-    out = found.join(piles, at, "left").withColumn("at_limit", F.coalesce(piled, F.lit(False)))
-    odds = F.col("score") - F.when(F.col("at_limit"), math.log(30)).otherwise(0.0)
+    of = F.col("source_id").eqNullSafe(F.col("b_source")) & (F.col("field_name") == F.col("b_field"))
+    out = found.join(piles, at, "left").join(base, of, "left").withColumn("at_limit", F.coalesce(piled, F.lit(False)))
+    odds = F.col("score") + F.coalesce("shift", F.lit(0.0)) - F.when(F.col("at_limit"), math.log(30)).otherwise(0.0)
     cut = F.col("state").isin("marked", "broken", "unclosed") | ((F.col("state") == "open") & (odds < threshold))
     reason = F.when(~cut, F.lit(None)).when(F.col("state") != "open", F.col("state")).when(F.col("at_limit"), "field_limit").otherwise("open_end")
     return out.select(F.col("id").alias("article_id"), "source_id", "field_name", cut.alias("is_cut"), reason.alias("reason"))

@@ -208,6 +208,15 @@ def test_truncation(spark):
     assert truncation.left_open("he said “a (b") == "“(" and truncation.left_open('"a" (b)') == ""
 
 
+def test_ends_that_only_look_broken():
+    for t in ("Inflation rose by 5%", "Shares of AT&T", "Head of R&D", "https://a.example/x?y=1&z"):
+        assert not truncation.broken(t), t
+    for t in ("Caf&eacut", "a &am", "a &#12", "see /a%20b%2", "x \\u00e", "<a href='x"):
+        assert truncation.broken(t), t
+    long = "One. " + "word " * 3000 + "end"
+    assert truncation.last_sentence(long) == long[5:] and truncation.last_sentence("A. B") == "B"
+
+
 def test_truncation_inside_an_open_quote(spark):
     whole = "The council met in the old town hall on Monday."
     cut = ["The mayor said: “We will build it. We start in May.", "Er sagte: „Wir bauen. Im Mai.", "It rose (as in May. Nobody knew why.", 'He said: "We go. We stay.', "See <a href='x. Then more.", "The mayor said: “We will build it. We meet on Monday in the old town hall"]
