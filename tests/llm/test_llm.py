@@ -196,6 +196,20 @@ def test_repeated_lines(spark):
     assert clean[21]["content"] is None and clean[24]["content"] == "" and "By Ann" not in clean[1]["content"] and len(clean) == len(rows)
 
 
+def test_formulaic_lines_of_a_large_source_stay(spark):
+    rng = random.Random(14)
+    names = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(400)]
+    formula = lambda i: "The {} of {} met the {} and {} to talk about the {} on day ".format(*rng.choices(names, k=5)) + str(i)
+    rows = [(i, "s", f"{formula(i)}\nContact the desk of our paper in {['Ulm', 'Bonn', 'Kiel'][i % 3]} for all rights to this text and its pictures") for i in range(1500)]
+    out = {r["id"]: r for r in boilerplate.without_repeated_lines(spark.createDataFrame(rows, "id long, source string, content string"), "id", "source", "content").collect()}
+    assert all(r["content"].startswith("The ") and "Contact" not in r["content"] for r in out.values())
+
+
+def test_masks():
+    assert boilerplate.masked("Der Vorstand der Gesellschaft plant eine Fabrik") == "Der Vorstand der Gesellschaft plant eine Fabrik N N N N"
+    assert boilerplate.masked("By Ann Lee, 12 March 2024") == "By N 0 0 0 N N N N"
+
+
 def test_truncation(spark):
     ends = ["The council met in the old town hall on Monday.", "Sales rose by nine percent in the last quarter.", "Nobody asked the people who use the harbor."]
     rows = [(i, "s", f"Title {i}", " ".join(ends[(i + k) % 3] for k in range(3)), "") for i in range(60)]
