@@ -11,12 +11,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pressloom.functions.text import STOPWORDS
 from pressloom.schemas import fields
 
 # Given names.
@@ -33,6 +36,18 @@ GIVEN = frozenset(
     Ugo Ursa Vera Victor Viggo Walt Wanda William Yara Yusuf Zeno Zoë
     """.split()
 )
+# Given names in Cyrillic letters.
+GIVEN_CYRILLIC = frozenset(
+    """
+    Александр Алексей Анастасия Андрей Анна Антон Борис Вадим Валентина Василий Вера Виктор Владимир Галина Григорий Дарья Дмитрий Евгений
+    Екатерина Елена Иван Игорь Ирина Кирилл Ксения Людмила Максим Мария Михаил Надежда Наталья Никита Николай Ольга Павел Пётр Роман
+    Светлана Сергей Татьяна Юлия Юрий
+    """.split()
+)
+# Verbs of speech beside a name.
+SAID = "said says told added argued wrote asked explained noted sagte erklärte betonte dijo afirmó señaló disse afirmou declarou dit déclaré сказал сказала заявил заявила сообщил сообщила"
+# Offices that stand before a family name.
+OFFICES = frozenset("Minister President Chancellor Mayor Judge Captain Officer Senator Governor Director Secretary General Colonel Chief King Queen Prince Princess Pope Saint Councillor Ministerin Präsident Kanzler Bürgermeister Ministre Président Maire Ministro Presidente Alcalde Prefeito".split())
 # Letters of other scripts that look like Latin ones.
 LOOKALIKES = dict(zip("АВЕКМНОРСТУХавекмнорстухіѕјԁɡΑΒΕΖΗΙΚΜΝΟΡΤΥΧοαν", "ABEKMHOPCTYXaBekmHopctyxisjdgABEZHIKMNOPTYXoav"))
 # Digits as words.
@@ -40,7 +55,9 @@ DIGITS = {w: str(i) for i, ws in enumerate(("zero oh null", "one eins", "two zwe
 # Words that aren't family names.
 NOT_FAMILY = frozenset("Street St Road Rd Avenue Ave Drive Lane Terrace Close Group Union Agency Institute Works Company University Monday Tuesday Wednesday Thursday Friday Saturday Sunday".split())
 
-SIGNS = str.maketrans({"‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", " ": " ", " ": " ", " ": " ", " ": " ", "＠": "@", "．": ".", "＋": "+"} | LOOKALIKES)
+SIGNS = str.maketrans({"‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", " ": " ", " ": " ", " ": " ", " ": " ", "＠": "@", "．": ".", "＋": "+"})
+ALIKE = str.maketrans(LOOKALIKES)
+MIXED = re.compile("(?=\\S*[A-Za-z])(?=\\S*[" + "".join(LOOKALIKES) + "])\\S+")
 HIDDEN = re.compile("[­​-‍⁠﻿]")
 WIDE = re.compile("[！-～]")
 _DIGIT = "|".join(DIGITS)
@@ -56,6 +73,7 @@ DISGUISE = re.compile(
     re.X | re.I,
 )
 TRIGGER = re.compile(r"[­​-‍⁠﻿]|@\s|\s@|[\[({<]\s*(?:at|dot|arroba|arobase|punkt|punto|point)\s*[\])}>]|\sdot\s", re.I)
+LOOKING = re.compile("[" + "".join(LOOKALIKES) + "]")
 ODD = re.compile("[" + "".join(map(chr, SIGNS)) + "！-～]")
 
 
@@ -70,6 +88,8 @@ def shadow(text: str) -> tuple[str, list[int] | None]:
     plain = text
     if not text.isascii() and ODD.search(text):
         plain = WIDE.sub(lambda m: unicodedata.normalize("NFKC", m[0]), text.translate(SIGNS))
+    if not text.isascii() and LOOKING.search(plain):  # only where the scripts are mixed: words of another script stay
+        plain = MIXED.sub(lambda m: m[0].translate(ALIKE), plain)
     if not TRIGGER.search(plain) and not spoken_digits(plain):
         return plain, None
     out, source, end = [], [], 0
@@ -141,25 +161,73 @@ LISTED = re.compile(rf"(?:,?[  ]+(?:and|or|und|oder|et|ou|y|o|e|и)|,)[  ]+{_UPP
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 
 
-def _names(text: str) -> Iterator[tuple[int, int]]:
-    """Spans of a listed given name, or any after a title, with a family name. A family name that is a given name too is taken along with the family name after it ('Jean Paul Sartre'); after a comma it may also be the next of a list."""
-    at = 0
-    while m := FORWARD.search(text, at):
-        titled = TITLED.search(text, max(0, m.start() - 12), m.start())
-        if (m[1] in GIVEN or titled) and m[3] not in NOT_FAMILY:
-            at = m.end()
-            if m[3] in GIVEN and (more := MORE.match(text, at)) and more[1] not in NOT_FAMILY:
-                at = more.end()
-            yield m.start(), at
-        else:
-            at = m.end(1)
-    for m in BACKWARD.finditer(text):
-        if m[2] in GIVEN and m[1] not in NOT_FAMILY:
-            if m[1] not in GIVEN or m[3] or not (LISTED.match(text, m.end()) or text[: m.start()].rstrip().endswith(",")):
-                yield m.span()
-
-
-def spans(text: str | None) -> list[tuple[int, int, str]]:
+PAIR = re.compile(rf"(?<![\w@-])({_NAME})[   ]+({_NAME})(?![\w@])")
+_SPEECH = "(?:" + "|".join(SAID.split()) + r")\b"
+SPEAKS = re.compile(rf"(?:,[  ]+\d\d,)?[  ]+(?:a[  ]+)?{_SPEECH}")
+SPOKEN = re.compile(rf"\b{_SPEECH}[  ]+\Z")
+COMMON = frozenset(w.capitalize() for w in STOPWORDS)
+
+
+@dataclass(frozen=True)
+class Names:
+    """Given names, and words that end names of organisations and places."""
+
+    given: frozenset = GIVEN | GIVEN_CYRILLIC
+    kinds: frozenset = NOT_FAMILY
+
+    def spans(self, text: str) -> Iterator[tuple[int, int]]:
+        """Spans of persons: a known given name, any after a title, or any beside a verb of speech, with a family name.
+
+        A family name that is a given name too is taken along with the family
+        name after it ('Jean Paul Sartre'); after a comma it may also be the next
+        of a list.
+        """
+        given, kinds, at = self.given, self.kinds, 0
+        while m := FORWARD.search(text, at):
+            if m[3] not in kinds and (m[1] in given or TITLED.search(text, max(0, m.start() - 12), m.start()) or self._speaks(text, m)):
+                at = m.end()
+                if m[3] in given and (more := MORE.match(text, at)) and more[1] not in kinds:
+                    at = more.end()
+                yield m.start(), at
+            else:
+                at = m.end(1)
+        for m in BACKWARD.finditer(text):
+            if m[2] in given and m[1] not in kinds:
+                if m[1] not in given or m[3] or not (LISTED.match(text, m.end()) or text[: m.start()].rstrip().endswith(",")):
+                    yield m.span()
+
+    def _speaks(self, text: str, m: re.Match) -> bool:
+        if m[1] in COMMON or m[1] in OFFICES or m[1] in self.kinds:
+            return False
+        return bool(SPEAKS.match(text, m.end()) or SPOKEN.search(text, max(0, m.start() - 14), m.start()))
+
+
+BUILT_IN = Names()
+
+
+def learn_kinds(docs: DataFrame, text: str, share: float = 0.002, person: float = 0.05) -> frozenset:
+    """Words that end names of organisations and places, counted over all texts: second words of at least ``share`` of all capitalised pairs that don't begin with a known given name, unless ``person`` or more of their pairs do.
+
+    At most 1 / ``share`` words come to the driver. Pairs are summed in each batch before the shuffle.
+    """
+    schema = fields("word string, n long, persons long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, persons = Counter(), Counter()
+            for t in batch.column(0).to_pylist():
+                for first, second in PAIR.findall(t or ""):
+                    (persons if first in BUILT_IN.given else n)[second] += 1
+            words = list({**n, **persons})
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([n[w] for w in words], pa.int64()), pa.array([persons[w] for w in words], pa.int64())], names=schema.names)
+
+    counts = docs.select(text).mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("n"), F.sum("persons").alias("persons"))
+    total = F.broadcast(counts.agg(F.sum("n").alias("total")))  # one row
+    rows = counts.join(total).where((F.col("n") >= F.greatest(F.lit(20.0), F.col("total") * share)) & (F.col("persons") < person * (F.col("n") + F.col("persons")))).select("word").collect()
+    return frozenset(r["word"] for r in rows)
+
+
+def spans(text: str | None, names: Names = BUILT_IN) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the personal information in a text, in source positions, sorted, without overlaps."""
     if not text:
         return []
@@ -173,7 +241,7 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
             if kind == "phone" and not 7 <= sum(c.isdigit() for c in m[0]) <= 15:
                 continue
             found.append((rank, *m.span(), kind))
-    found += [(4, a, b, "name") for a, b in _names(plain)]
+    found += [(4, a, b, "name") for a, b in names.spans(plain)]
     taken: list[tuple[int, int, str]] = []
     for _, a, b, kind in sorted(found):
         if all(b <= x or a >= y for x, y, _ in taken):
@@ -183,12 +251,12 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
     return sorted(taken)
 
 
-def redact(text: str | None) -> str | None:
-    """The text with every span replaced by its placeholder; null stays null."""
+def redact(text: str | None, found: list[tuple[int, int, str]] | None = None) -> str | None:
+    """The text with every span (``found``, or else sought) replaced by its placeholder; null stays null."""
     if text is None:
         return None
     out, end = [], 0
-    for a, b, kind in spans(text):
+    for a, b, kind in spans(text) if found is None else found:
         out += [text[end:a], PLACEHOLDER[kind]]
         end = b
     return "".join(out) + text[end:]
@@ -197,27 +265,32 @@ def redact(text: str | None) -> str | None:
 FOUND = fields("doc_id long, pii_kind string, start_pos int, end_pos int")
 
 
-def occurrences(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(doc_id, pii_kind, start_pos, end_pos): one row per occurrence, positions in characters from 0. Nothing is shuffled; null and empty texts have none."""
+def occurrences(docs: DataFrame, id_col: str, text: str, given: frozenset = BUILT_IN.given) -> DataFrame:
+    """(doc_id, pii_kind, start_pos, end_pos): one row per occurrence, positions in characters from 0.
+
+    ``given`` are the known given names; the endings of other names are learned
+    from all texts first. Texts aren't shuffled; null and empty ones have no row.
+    """
+    names = Names(given, NOT_FAMILY | learn_kinds(docs, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, kind, a, b) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for a, b, kind in spans(t)]
+            rows = [(i, kind, a, b) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for a, b, kind in spans(t, names)]
             cols = list(zip(*rows)) if rows else [[] for _ in FOUND.names]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.int32()))], names=FOUND.names)
 
     return docs.select(F.col(id_col).cast("long"), F.col(text)).mapInArrow(run, FOUND)
 
 
-def redacted(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, text, n_found) of every row, its text with placeholders."""
+def redacted(docs: DataFrame, id_col: str, text: str, given: frozenset = BUILT_IN.given) -> DataFrame:
+    """(id, text, n_found) of every row, its text with placeholders; each text is scanned once for them."""
     schema = fields("doc_id long, text string, n_found int")
+    names = Names(given, NOT_FAMILY | learn_kinds(docs, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([redact(t) for t in texts], pa.string()), pa.array([len(spans(t)) for t in texts], pa.int32())], names=schema.names
-            )
+            found = [spans(t, names) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([redact(t, f) for t, f in zip(texts, found)], pa.string()), pa.array([len(f) for f in found], pa.int32())], names=schema.names)
 
     return docs.select(F.col(id_col).cast("long"), F.col(text)).mapInArrow(run, schema)

@@ -383,6 +383,7 @@ def test_pii_decoys(source):
     [
         ("Ask Clara Martin or Emma Thomas.", ["Clara Martin", "Emma Thomas"]), ("we met Hanna Frank", ["Hanna Frank"]), ("signed: Paul, Elsa", ["Paul, Elsa"]), ("we met Jean Paul Senozecha", ["Jean Paul Senozecha"]),
         ("then Anna Łodzina spoke", ["Anna Łodzina"]), ("then Lena Šutova spoke", ["Lena Šutova"]), ("then Dr. Rachel Cabavabas spoke", ["Rachel Cabavabas"]), ("with Frau Żaneta Ćirova", ["Żaneta Ćirova"]),
+        ("it was late, said Priya Sharma on Monday", ["Priya Sharma"]), ("Wei Chen, 41, told the paper", ["Wei Chen"]), ("вчера Иван Петров сказал", ["Иван Петров"]), ("The Zedegedo said", []), ("Mayor Zedegedo said", []), ("Pafe Union said", []),
         ("with Clara, Martin and Paul", []), ("by Clara, Martin, Emma", []), ("Dr. Rachel said", []), ("Martin Group and Emma Street", []),
     ],
 )
@@ -390,6 +391,17 @@ def test_names_beside_listed_names_titles_and_other_capitals(source, names):
     assert [source[a:b] for a, b, kind in pii.spans(source) if kind == "name"] == names
 
 
+def test_kinds_of_names_are_learned(spark):
+    rows = [(i, f"Foo{'abcdefghij'[i % 10]} Consortium said so, and Anna Berg{'abc'[i % 3]} left; Tom Okafor told us.") for i in range(100)] + [(200, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert "Consortium" in pii.learn_kinds(df, "text") and "Berga" not in pii.learn_kinds(df, "text")
+    assert pii.occurrences(df, "doc_id", "text").where("pii_kind = 'name' and start_pos = 0").count() == 0
+
+
+def test_other_scripts_stay_and_mixed_words_are_read():
+    assert pii.shadow("Новости из Москвы")[0] == "Новости из Москвы" and pii.shadow("аnn@pоst.example")[0] == "ann@post.example"
+
+
 def test_redaction_keeps_the_rest(spark):
     t = "Héllo — ask Lena Gutopoyas (lena @ post.example), 202-555-0107!"
     assert pii.redact(t) == "Héllo — ask [NAME] ([EMAIL]), [PHONE]!"
