@@ -135,8 +135,12 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return leakage.report(_leaks(spark, d))
 
 
-def _mixed(spark: SparkSession, d: str) -> DataFrame:
-    return mixture.mixture(table(spark, d, "documents", "doc_id", "source", "lang", "text"), table(spark, d, "mix_targets"))
+TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+LANGUAGES = {"lang": {"en": 0.5, "de": 0.15, "fr": 0.15, "es": 0.1, "pt": 0.05, "ru": 0.05}}
+
+
+def _mixed(spark: SparkSession, d: str, marginals: dict | None = None) -> DataFrame:
+    return mixture.mixture(table(spark, d, "documents", "doc_id", "source", "lang", "text"), table(spark, d, "mix_targets"), TOKENIZER, marginals=marginals)
 
 
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
@@ -149,6 +153,11 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return mixture.report(_mixed(spark, d), table(spark, d, "mix_targets"))
 
 
+def p9_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of each source, language and topic, when languages have targets too."""
+    return mixture.gaps(_mixed(spark, d, LANGUAGES), table(spark, d, "mix_targets"), LANGUAGES)
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return pii.occurrences(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text").select("doc_id", "pii_kind", "start_pos")
 
@@ -158,7 +167,7 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redacted(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_nested_caps, p3_found, p3_rates, p3_reasons, p4_found, p4_last_run, p4_links, p5_found, p5_clean, p6_found, p6_restored, p7_found, p7_groups, p8_found, p8_leaks, p8_report, p9_mixture, p9_report, p10_found, p10_redacted)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_nested_caps, p3_found, p3_rates, p3_reasons, p4_found, p4_last_run, p4_links, p5_found, p5_clean, p6_found, p6_restored, p7_found, p7_groups, p8_found, p8_leaks, p8_report, p9_mixture, p9_report, p9_gaps, p10_found, p10_redacted)}
 
 _TITLE_WORDS = "list_distinct(list_filter(regexp_extract_all(lower(coalesce(title, '')), '[\\p{L}\\p{N}]+'), lambda x: x <> ''))"
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from pressloom.llm import boilerplate, caps, encoding, history, leakage, mixture, neardup, pii, truncation, words
 
+TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 FILLER = [f"word{i}" for i in range(400)]
 
 
@@ -414,10 +415,29 @@ def test_mixture_reaches_its_shares(spark):
     rng = random.Random(13)
     docs = [(i, rng.choice(["a", "a", "a", "b", "c", "other"]), rng.choice(["en", None, "DE"]), text(rng, rng.randrange(20, 80))) for i in range(1500)] + [(9000, "a", "en", None), (9001, None, "en", "x"), (9002, "b", "en", "")]
     targets = spark.createDataFrame([("a", 0.2, 1), ("b", 0.5, 3), ("c", 0.3, 2), ("empty", 0.1, 1)], "source string, target_share double, max_repeats int")
-    mixed = mixture.mixture(spark.createDataFrame(docs, "doc_id long, source string, lang string, text string"), targets).cache()
+    mixed = mixture.mixture(spark.createDataFrame(docs, "doc_id long, source string, lang string, text string"), targets, TOKENIZER).cache()
     rep = {r["source"]: r for r in mixture.report(mixed, targets).collect()}
     assert rep["empty"]["tokens"] == 0 and all(r["most_copies"] <= r["max_repeats"] for r in rep.values())
     assert all(abs(rep[s]["actual_share"] - w) < 0.02 for s, w in (("a", 0.2), ("b", 0.5), ("c", 0.3)))
     assert {r["doc_id"] for r in mixed.where("source is null").collect()} == set()
     none = spark.createDataFrame([], "doc_id long, source string, lang string, text string")
-    assert mixture.mixture(none, targets).count() == 0
+    assert mixture.mixture(none, targets, TOKENIZER).count() == 0
+
+
+def test_mixture_rakes_to_given_marginals(spark):
+    rng = random.Random(15)
+    docs = [(i, rng.choice("ab"), rng.choice(["en", "en", "en", "de"]), rng.choice("xyz"), text(rng, 40)) for i in range(2000)]
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
+    wanted = {"lang": {"en": 0.5, "de": 0.5}, "topic": {"x": 0.6, "y": 0.2, "z": 0.2}}
+    df = spark.createDataFrame(docs, "doc_id long, source string, lang string, kind string, text string")
+    mixed = mixture.mixture(df, targets, TOKENIZER, tokens=150000, marginals=wanted, topic="kind").cache()
+    assert all(abs(r["gap"]) < 0.05 for r in mixture.gaps(mixed, targets, wanted).collect())
+
+
+def test_topics_are_learned(spark):
+    rng = random.Random(16)
+    pools = [[f"{p}{k}" for k in range(30)] for p in ("ship", "bank", "song")]
+    rows = [(i, "en", " ".join(rng.choices(pools[i % 3], k=30))) for i in range(300)] + [(900, "en", None), (901, "xx", "")]
+    model = mixture.learn_topics(spark.createDataFrame(rows, "doc_id long, lang string, text string"), each=3)
+    got = model.of([t for _, _, t in rows], [x for _, x, _ in rows])
+    assert got[-2:] == ["other", "other"] and all(len({got[i] for i in range(k, 300, 3)}) == 1 for k in range(3)) and len(set(got[:3])) == 3
