@@ -60,6 +60,37 @@ _EMPTY = "CAST([] AS VARCHAR[])"
 _SPLIT = r"""regexp_replace({}, '([.!?])\s+(["''“(\[]?[A-Z0-9])', '\1' || chr(30) || '\2', 'g')"""
 _FEEDS = "(SELECT DISTINCT source_id, fetched_at, status FROM raw_feeds)"
 
+
+
+def _stories(src: str) -> str:
+    """CTEs up to ``g``, the pairs of articles of ``src`` in one story, and ``st`` (id, story)."""
+    return f"""r AS (SELECT id, list_distinct({toks('title', True)}) AS s, list_distinct(list_transform(coalesce(entities, {_EMPTY}), lambda e: lower(e))) AS e, retrieved_at AS t FROM {src} WHERE retrieved_at IS NOT NULL),
+        w AS (SELECT id, unnest(s) AS w FROM r),
+        c AS (SELECT DISTINCT x.id AS a, y.id AS b FROM w x JOIN w y ON x.w = y.w AND x.id < y.id),
+        m AS (SELECT a, b, len(list_intersect(x.s, y.s)) / least(len(x.s), len(y.s)) AS k,
+                CASE WHEN len(x.e) = 0 OR len(y.e) = 0 THEN 0 ELSE len(list_intersect(x.e, y.e)) / len(list_distinct(list_concat(x.e, y.e))) END AS j
+            FROM c JOIN r x ON x.id = a JOIN r y ON y.id = b WHERE abs(epoch_us(x.t) - epoch_us(y.t)) <= 48 * 3600000000),
+        g AS MATERIALIZED (SELECT a, b FROM m WHERE k >= 0.62 OR (k >= 0.42 AND j >= 0.34)),
+        u AS (SELECT a, b FROM g UNION ALL SELECT b, a FROM g),
+        reach(id, s) AS (SELECT id, id FROM {src} UNION SELECT u.b, reach.s FROM reach JOIN u ON u.a = reach.id),
+        st AS (SELECT id, min(s) AS story FROM reach GROUP BY id)"""
+
+
+_DIGEST = """d AS (SELECT story, sum(('0x' || substr(md5(coalesce(canonical_url, '')), 1, 15))::BIGINT) AS d, count(*) AS n FROM st JOIN articles USING (id) GROUP BY story)
+        SELECT id, story, substr(sha256(CAST(d AS VARCHAR) || ':' || CAST(n AS VARCHAR)), 1, 16) AS cluster_id, n AS size FROM st JOIN d USING (story)"""
+
+
+def _near(words: str) -> str:
+    """CTEs up to ``g``, the pairs of articles of one source that are near by the hash of ``words`` or by title."""
+    return f"""t AS (SELECT id, source_id, {toks('title', True)} AS w, {words} AS l FROM articles WHERE source_id IS NOT NULL),
+        c AS (SELECT id, list_transform(l, lambda t: ('0x' || substr(md5(t), 1, 15))::BIGINT) AS h FROM t WHERE len(w) > 0),
+        b AS (SELECT id, h, unnest(range(0, 60)) AS i FROM c),
+        s AS (SELECT id, CAST(sum(CASE WHEN 2 * len(list_filter(h, lambda x: (x >> i) & 1 = 1)) > len(h) THEN 1::BIGINT << i ELSE 0 END) AS BIGINT) AS hash FROM b GROUP BY id),
+        r AS (SELECT t.id, source_id, l, w AS ws, list_distinct(w) AS w, hash FROM t JOIN s ON s.id = t.id),
+        g AS MATERIALIZED (SELECT x.id AS a, y.id AS b FROM r x JOIN r y ON x.source_id = y.source_id AND x.id < y.id
+            WHERE bit_count(xor(x.hash, y.hash)) <= 6 OR len(list_intersect(x.w, y.w)) / least(len(x.w), len(y.w)) >= 0.9)"""
+
+
 ORACLES: dict[str, str] = {
     "bm25_top20": r"""
         WITH w AS (SELECT id, unnest([{'c': 8.0, 'x': title}, {'c': 3.0, 'x': summary}, {'c': 1.0, 'x': content}]) AS u FROM articles),
@@ -94,15 +125,6 @@ ORACLES: dict[str, str] = {
             row_number() OVER (PARTITION BY key ORDER BY len(coalesce(content, '')) DESC, len(coalesce(summary, '')) DESC, coalesce(published_at, '') <> '' DESC, id) AS n FROM k) WHERE n = 1
     """,
     "content_hash_copies": "SELECT content_hash, count(*) AS n_copies FROM articles WHERE content_hash <> '' GROUP BY content_hash HAVING count(*) > 1",
-    "story_pairs": f"""
-        WITH r AS (SELECT id, list_distinct({toks('title', True)}) AS s, list_distinct(list_transform(coalesce(entities, {_EMPTY}), lambda e: lower(e))) AS e, retrieved_at AS t FROM articles WHERE retrieved_at IS NOT NULL),
-        w AS (SELECT id, unnest(s) AS w FROM r), cool AS (SELECT w FROM w GROUP BY w HAVING count(*) BETWEEN 2 AND 60), p AS (SELECT id, w FROM w JOIN cool USING (w)),
-        c AS (SELECT DISTINCT x.id AS a, y.id AS b FROM p x JOIN p y ON x.w = y.w AND x.id < y.id),
-        m AS (SELECT a, b, len(list_intersect(x.s, y.s)) / least(len(x.s), len(y.s)) AS k,
-                CASE WHEN len(x.e) = 0 OR len(y.e) = 0 THEN 0 ELSE len(list_intersect(x.e, y.e)) / len(list_distinct(list_concat(x.e, y.e))) END AS j, abs(epoch_us(x.t) - epoch_us(y.t)) AS gap
-            FROM c JOIN r x ON x.id = a JOIN r y ON y.id = b)
-        SELECT a, b FROM m WHERE gap <= 48 * 3600000000 AND (k >= 0.62 OR (k >= 0.42 AND j >= 0.34))
-    """,
     "enabled_sources": "SELECT id, lower(name) AS name FROM sources WHERE enabled",
     "enriched_articles": "SELECT a.id, s.lean AS outlet_lean, s.source_type, s.country FROM articles a LEFT JOIN sources s ON s.id = a.source_id",
     "ingest_stats": """
@@ -194,33 +216,37 @@ ORACLES: dict[str, str] = {
                 WHEN regexp_matches(title, '(?i)\b(last|past|this)\s+(?:24|48)\s*hours?\b') THEN 48 WHEN regexp_matches(title, '(?i)\b(this week|past week|last week|last 7 days|recently)\b') THEN 168 WHEN regexp_matches(title, '(?i)\b(this month|past month|last month|last 30 days)\b') THEN 720 ELSE 96 END AS hours
         FROM articles
     """,
-    "story_members": f"""
-        WITH RECURSIVE r AS (SELECT id, list_distinct({toks('title', True)}) AS s, list_distinct(list_transform(coalesce(entities, {_EMPTY}), lambda e: lower(e))) AS e, retrieved_at AS t FROM articles WHERE retrieved_at IS NOT NULL),
-        w AS (SELECT id, unnest(s) AS w FROM r), cool AS (SELECT w FROM w GROUP BY w HAVING count(*) BETWEEN 2 AND 60), p AS (SELECT id, w FROM w JOIN cool USING (w)),
-        c AS (SELECT DISTINCT x.id AS a, y.id AS b FROM p x JOIN p y ON x.w = y.w AND x.id < y.id),
-        m AS (SELECT a, b, len(list_intersect(x.s, y.s)) / least(len(x.s), len(y.s)) AS k,
-                CASE WHEN len(x.e) = 0 OR len(y.e) = 0 THEN 0 ELSE len(list_intersect(x.e, y.e)) / len(list_distinct(list_concat(x.e, y.e))) END AS j, abs(epoch_us(x.t) - epoch_us(y.t)) AS gap
-            FROM c JOIN r x ON x.id = a JOIN r y ON y.id = b),
-        g AS MATERIALIZED (SELECT a, b FROM m WHERE gap <= 48 * 3600000000 AND (k >= 0.62 OR (k >= 0.42 AND j >= 0.34))),
-        u AS (SELECT a, b FROM g UNION ALL SELECT b, a FROM g),
-        reach(id, s) AS (SELECT id, id FROM articles UNION SELECT u.b, reach.s FROM reach JOIN u ON u.a = reach.id)
-        SELECT id, min(s) AS story FROM reach GROUP BY id
-    """,
     "html_text": r"""
         SELECT entry_id, regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(coalesce(summary, ''), '(?i)<br\s*/?>|</p>|</div>|</li>', chr(10), 'g'), '<[^>]+>', ' ', 'g'),
             '&#8217;', '’'), '&quot;', '"'), chr(160), ' '), '[ \t]+', ' ', 'g'), '\s*\n\s*', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM raw_entries
     """,
-    "near_title_pairs": f"""
-        WITH t AS (SELECT id, source_id, {toks('title', True)} AS w FROM articles WHERE source_id IS NOT NULL),
-        c AS (SELECT id, list_transform(w, lambda t: ('0x' || substr(md5(t), 1, 15))::BIGINT) AS h FROM t WHERE len(w) > 0),
-        b AS (SELECT id, h, unnest(range(0, 60)) AS i FROM c),
-        s AS (SELECT id, CAST(sum(CASE WHEN 2 * len(list_filter(h, lambda x: (x >> i) & 1 = 1)) > len(h) THEN 1::BIGINT << i ELSE 0 END) AS BIGINT) AS hash FROM b GROUP BY id),
-        r AS (SELECT t.id, source_id, list_distinct(w) AS w, hash FROM t JOIN s ON s.id = t.id)
-        SELECT x.id AS a, y.id AS b FROM r x JOIN r y ON x.source_id = y.source_id AND x.id < y.id
-        WHERE bit_count(xor(x.hash, y.hash)) <= 6 OR len(list_intersect(x.w, y.w)) / least(len(x.w), len(y.w)) >= 0.9
-    """,
     "story_groups": """
         WITH a AS (SELECT id, cluster_id, source_id, retrieved_at, row_number() OVER (PARTITION BY cluster_id ORDER BY retrieved_at DESC, id) AS n FROM articles WHERE cluster_id <> '')
         SELECT cluster_id, max(CASE WHEN n = 1 THEN id END) AS lead_id, count(*) AS n_members, count(DISTINCT source_id) AS n_sources, coalesce(list(id ORDER BY n) FILTER (n BETWEEN 2 AND 13), CAST([] AS BIGINT[])) AS related FROM a GROUP BY cluster_id
     """,
+    "story_pairs": f"WITH RECURSIVE {_stories('articles')} SELECT a, b FROM g",
+    "story_members": f"WITH RECURSIVE {_stories('articles')} SELECT id, story FROM st",
+    "story_ids": f"WITH RECURSIVE {_stories('articles')}, {_DIGEST}",
+    "story_sizes": f"WITH RECURSIVE {_stories('articles')} SELECT size, count(*) AS n_stories FROM (SELECT story, count(*) AS size FROM st GROUP BY story) GROUP BY size",
+    "reclustered": f"WITH RECURSIVE now AS (SELECT max(retrieved_at) AS n FROM articles), win AS (SELECT * FROM articles, now WHERE retrieved_at >= n - INTERVAL 48 HOUR AND retrieved_at <= n), {_stories('win')}, {_DIGEST}",
+    "near_title_pairs": f"WITH {_near(toks('title', True))} SELECT a, b FROM g",
+    "near_text_links": f"""WITH {_near(toks("coalesce(title, '') || ' ' || coalesce(summary, '')", True))},
+        k AS (SELECT id, source_id, md5(array_to_string(l, ' ') || '|' || array_to_string(list_sort(w), ' ')) AS k FROM r),
+        h AS (SELECT source_id, k, min(id) AS class_id, count(*) AS n_copies FROM k GROUP BY ALL),
+        p AS (SELECT g.a AS i, k.source_id, k.k FROM g JOIN k ON k.id = g.b UNION SELECT g.b, k.source_id, k.k FROM g JOIN k ON k.id = g.a)
+        SELECT k.id, h.class_id, h.n_copies, (SELECT count(*) FROM p WHERE p.i = k.id AND p.k <> k.k) AS n_links FROM k JOIN h ON h.source_id = k.source_id AND h.k = k.k""",
+    "near_title_kept": f"""WITH RECURSIVE {_near(toks('title', True))},
+        o AS (SELECT id, row_number() OVER (ORDER BY id) AS n FROM articles),
+        step(n, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
+            SELECT o.n, CASE WHEN EXISTS (SELECT 1 FROM g WHERE g.b = o.id AND list_contains(step.kept, g.a)) THEN step.kept ELSE list_append(step.kept, o.id) END FROM step JOIN o ON o.n = step.n + 1),
+        k AS (SELECT unnest(kept) AS id FROM (SELECT kept FROM step ORDER BY n DESC LIMIT 1))
+        SELECT a.id, coalesce((SELECT min(g.a) FROM g JOIN k ON k.id = g.a WHERE g.b = a.id AND a.id NOT IN (SELECT id FROM k)), a.id) AS kept_id FROM articles a""",
+    "exact_kept": """
+        WITH RECURSIVE k AS (SELECT id, unnest([CASE WHEN trim(canonical_url) <> '' THEN 'u' || canonical_url WHEN trim(url) <> '' THEN 'u' || url END, CASE WHEN trim(content_hash) <> '' THEN 'h' || content_hash END]) AS key FROM articles),
+        e AS (SELECT DISTINCT x.id AS a, y.id AS b FROM k x JOIN k y USING (key)),
+        reach(id, s) AS (SELECT id, id FROM articles UNION SELECT e.b, reach.s FROM reach JOIN e ON e.a = reach.id),
+        g AS (SELECT id, min(s) AS grp FROM reach GROUP BY id),
+        r AS (SELECT g.grp, a.id, row_number() OVER (PARTITION BY g.grp ORDER BY len(coalesce(content, '')) DESC, len(coalesce(summary, '')) DESC, coalesce(published_at, '') <> '' DESC, a.id) AS n, count(*) OVER (PARTITION BY g.grp) AS c FROM g JOIN articles a USING (id))
+        SELECT id AS kept_id, grp AS first_id, c AS n_copies FROM r WHERE n = 1
+    """,
 }

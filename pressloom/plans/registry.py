@@ -116,6 +116,16 @@ def content_hash_copies(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "articles", "content_hash").where("content_hash <> ''").groupBy("content_hash").agg(F.count("*").alias("n_copies")).where("n_copies > 1")
 
 
+def exact_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Exact duplicates by address or content hash: what is kept in whose place."""
+    return dedupe.exact_kept(table(spark, d, "articles", "id", "canonical_url", "url", "content_hash", "content", "summary", "published_at"))
+
+
+def near_text_links(spark: SparkSession, d: str) -> DataFrame:
+    """Classes and links of near-duplicates in a source by title and summary."""
+    return dedupe.near_links(table(spark, d, "articles", "id", "source_id", "title", "summary"), "id", "source_id", "title", "summary")
+
+
 def near_title_pairs(spark: SparkSession, d: str) -> DataFrame:
     return dedupe.near_pairs(table(spark, d, "articles", "id", "source_id", "title"), "id", "source_id", "title")
 
@@ -140,6 +150,19 @@ def story_ids(spark: SparkSession, d: str) -> DataFrame:
     return cluster.story_ids(story_members(spark, d), table(spark, d, "articles", "id", "canonical_url"))
 
 
+def reclustered(spark: SparkSession, d: str) -> DataFrame:
+    """The stories of the last 48 hours."""
+    rows = table(spark, d, "articles", "id", "title", "entities", "retrieved_at", "canonical_url")
+    marked = rows.join(F.broadcast(rows.agg(F.max("retrieved_at").alias("now"))))  # one row
+    return cluster.recluster(marked, "id", "title", "entities", F.col("retrieved_at"), F.col("now"))
+
+
+def story_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """How many stories there are of each size."""
+    sizes = story_members(spark, d).groupBy("story").agg(F.count("*").alias("size"))
+    return sizes.groupBy("size").agg(F.count("*").alias("n_stories"))
+
+
 def story_groups(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "articles", "id", "cluster_id", "source_id", "retrieved_at")
     return cluster.story_groups(rows, "id", "cluster_id", F.col("retrieved_at"))
@@ -387,7 +410,7 @@ QUERIES: dict[str, Query] = {
         bm25_top20, p1_found, p1_status_by_source,
         token_stats, token_document_frequency, distinctive_words, sentence_counts, truncated_titles, content_hashes, title_simhash, canonical_urls, html_text, entity_lists,
         feed_parse, normalized_entries, newest_per_source,
-        richest_copy, content_hash_copies, near_title_pairs, near_title_kept, story_pairs, story_members, story_ids, story_groups,
+        richest_copy, content_hash_copies, exact_kept, near_text_links, near_title_pairs, near_title_kept, story_pairs, story_members, story_ids, reclustered, story_sizes, story_groups,
         enabled_sources, enriched_articles, ingest_stats, recent_articles, retention, feed_streaks, feed_states, due_feeds, new_entries, known_entries, upserted_articles, newest_fetches, unused_sources, event_props, lean_shares,
         topic_points, article_topics, framing_measures, article_framing, lean_badges, story_coverage, story_headline_terms, interest_scores,
         question_coverage, ranked_answers, diversified_answers, grounded_answer, citation_check, turn_intents,

@@ -227,3 +227,38 @@ def test_library_stands_without_the_llm_package(spark):
         if "llm" not in path.relative_to(root).parts:
             names = [n.module or "" for n in ast.walk(ast.parse(path.read_text())) if isinstance(n, ast.ImportFrom)]
             assert not any("llm" in n for n in names), path
+
+
+def test_stories_of_frequent_words_and_many_copies(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(12)]
+    rows = [(i, " ".join(rng.sample(words, 6)), ["Acme"] if i % 5 == 0 else [], rng.randrange(0, 200)) for i in range(150)] + [(1000 + i, "bridge closed after storm", [], 10) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, title string, entities array<string>, h int").withColumn("t", F.timestamp_seconds(F.col("h") * 3600))
+    want = set()
+    for a in rows:
+        for b in rows:
+            if a[0] < b[0] and abs(a[3] - b[3]) <= 48:
+                x, y = set(a[1].split()) - {"after"}, set(b[1].split()) - {"after"}
+                c = len(x & y) / min(len(x), len(y))
+                if c >= 0.62 or c >= 0.42 and a[2] and a[2] == b[2]:
+                    want.add((a[0], b[0]))
+    assert {tuple(r) for r in cluster.story_pairs(df, "id", "title", "entities", F.col("t")).collect()} == want
+    assert cluster.story_pairs(df.limit(0), "id", "title", "entities", F.col("t")).count() == 0
+
+
+def test_block_keys_meet_within_the_distance(spark):
+    rng = random.Random(4)
+    for blocks in (8, 9, 10):
+        masks = dedupe.block_masks(6, blocks)
+        for _ in range(200):
+            a = rng.getrandbits(60)
+            b = a
+            for i in rng.sample(range(60), 6):
+                b ^= 1 << i
+            assert any(a & m == b & m for m in masks)
+
+
+def test_exact_duplicates_keep_the_richest(spark):
+    rows = [(1, "u1", None, "h1", "short", "", None), (2, "u2", None, "h1", "much longer", "", None), (3, "u2", None, "", "x", "", None), (4, None, "u9", None, None, None, None), (5, None, None, None, None, None, None), (6, None, None, "", None, None, None)]
+    df = spark.createDataFrame(rows, "id long, canonical_url string, url string, content_hash string, content string, summary string, published_at string")
+    assert {tuple(r) for r in dedupe.exact_kept(df).collect()} == {(2, 1, 3), (4, 4, 1), (5, 5, 1), (6, 6, 1)}
