@@ -93,7 +93,7 @@ def _near(words: str) -> str:
 
 ORACLES: dict[str, str] = {
     "bm25_top20": r"""
-        WITH w AS (SELECT id, unnest([{'c': 8.0, 'x': title}, {'c': 3.0, 'x': summary}, {'c': 1.0, 'x': content}]) AS u FROM articles),
+        WITH w AS (SELECT id, unnest([{'c': 8.0, 'x': title}, {'c': 3.0, 'x': summary}, {'c': 1.0, 'x': content}, {'c': 5.0, 'x': array_to_string(entities, ' ')}, {'c': 4.0, 'x': array_to_string(topics, ' ')}]) AS u FROM articles),
         l AS (SELECT id, u.c AS c, regexp_extract_all(strip_accents(lower(coalesce(u.x, ''))), '[\p{L}\p{N}]+') AS ws FROM w),
         r AS (SELECT id, sum(len(ws)) AS len, """
     + ", ".join(f"sum(c * len(list_filter(ws, lambda x: x = '{t}'))) AS t{i}" for i, t in enumerate(("satellite", "planetarium", "budget")))
@@ -194,7 +194,13 @@ ORACLES: dict[str, str] = {
         SELECT g.cluster_id, CASE WHEN hr THEN coalesce((SELECT list(w ORDER BY w)[1:12] FROM w WHERE w.cluster_id = g.cluster_id AND l AND NOT r), {_EMPTY}) ELSE {_EMPTY} END AS left_terms,
             CASE WHEN hl THEN coalesce((SELECT list(w ORDER BY w)[1:12] FROM w WHERE w.cluster_id = g.cluster_id AND r AND NOT l), {_EMPTY}) ELSE {_EMPTY} END AS right_terms FROM g
     """,
-    "citation_check": r"SELECT doc_id, [1, 3] AS valid, ['[7]'] AS invalid, len(trim(regexp_replace(regexp_replace(substr(text, 1, 200) || ' [1] [3].', '[ \t]{2,}', ' ', 'g'), ' +([.,;:!?])', '\1', 'g'))) AS n_clean FROM documents",
+    "citation_check": r"""
+        WITH x AS (SELECT doc_id, coalesce(text, '') || ' [' || (doc_id % 5) || '] [7][' || (doc_id % 12) || '].' AS x FROM documents),
+        m AS (SELECT *, list_distinct(regexp_extract_all(x, '\[(\d{1,2})\]', 1)) AS m FROM x)
+        SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(m, lambda k: CAST(k AS INTEGER)), lambda k: k BETWEEN 1 AND 3))), ',') AS valid,
+            array_to_string(list_sort(list_transform(list_filter(m, lambda k: CAST(k AS INTEGER) NOT BETWEEN 1 AND 3), lambda k: '[' || k || ']')), ',') AS invalid,
+            len(trim(regexp_replace(regexp_replace(regexp_replace(x, '\[(0?0|0?[4-9]|[1-9]\d)\]', '', 'g'), '[ \t]{2,}', ' ', 'g'), ' +([.,;:!?])', '\1', 'g'))) AS n_clean FROM m
+    """,
     "sentence_ranks": f"""
         WITH p AS (SELECT doc_id, unnest(string_split({_SPLIT.format(SPACES.format('text'))}, chr(30))) AS s, unnest(range(len(string_split({_SPLIT.format(SPACES.format('text'))}, chr(30))))) AS k FROM documents),
         h AS (SELECT *, sum(CASE WHEN len(s) < 25 AND k > 0 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) - 1 AS pos FROM p WHERE s <> ''),
@@ -249,4 +255,8 @@ ORACLES: dict[str, str] = {
         r AS (SELECT g.grp, a.id, row_number() OVER (PARTITION BY g.grp ORDER BY len(coalesce(content, '')) DESC, len(coalesce(summary, '')) DESC, coalesce(published_at, '') <> '' DESC, a.id) AS n, count(*) OVER (PARTITION BY g.grp) AS c FROM g JOIN articles a USING (id))
         SELECT id AS kept_id, grp AS first_id, c AS n_copies FROM r WHERE n = 1
     """,
+    "index_size": r"""
+        WITH l AS (SELECT id, len(regexp_extract_all(strip_accents(lower(concat_ws(' ', title, summary, content, array_to_string(entities, ' '), array_to_string(topics, ' ')))), '[\p{L}\p{N}]+')) AS n FROM articles WHERE id % 10 <> 0)
+        SELECT count(*) AS n_rows, round(avg(n), 6) AS mean_length FROM l
+    """,
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,8 @@ from pressloom.functions.urls import canonical_url as canonical
 from pressloom.operators import answers, briefing, cluster, dedupe, framing, interests, normalize, state, summarize, timestamps, topics
 from pressloom.plans.oracles import ORACLES
 from pressloom.search import question, ranking
+from pressloom.search.index import SearchIndex
+from pressloom.session import shared_dir
 from pressloom.sources import feeds
 from pressloom.sources.tables import table
 from pressloom.streaming import ingest
@@ -310,13 +313,33 @@ def _asked() -> question.Question:
     return question.parse(ASKED, lex=topics.lexicon())
 
 
+_BUILT: dict[tuple[str, str], SearchIndex] = {}
+
+
+def _index(spark: SparkSession, d: str) -> SearchIndex:
+    """The index of the articles of a folder, built once in a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _BUILT:
+        rows = table(spark, d, "articles", "id", "retrieved_at", *ranking.WEIGHTS)
+        _BUILT[key] = SearchIndex(spark, f"{shared_dir(spark).rstrip('/')}/search-{uuid.uuid4().hex}", ranking.WEIGHTS).add(rows, 0, "retrieved_at")
+    return _BUILT[key]
+
+
 def bm25_top20(spark: SparkSession, d: str) -> DataFrame:
-    """The twenty best articles for three words, by weighted BM25 over title, summary and content."""
-    rows = table(spark, d, "articles", "id", "title", "summary", "content")
-    found = ranking.bm25(rows, [ranking.Phrase((w,)) for w in ("satellite", "planetarium", "budget")], {"title": 8.0, "summary": 3.0, "content": 1.0})
+    """The twenty best articles for three words, by weighted BM25 over all five columns of the stored index."""
+    index = _index(spark, d)
+    found = ranking.bm25_of(index.matches([ranking.Phrase((w,)) for w in ("satellite", "planetarium", "budget")]), [0, 1, 2], corpus=index.figures())
     return found.select("id", F.round("bm25", 9).alias("bm25")).orderBy(F.desc("bm25"), "id").limit(20)
 
 
+def index_size(spark: SparkSession, d: str) -> DataFrame:
+    """What the index holds after the later half of the runs replaced its first rows and every tenth article was removed."""
+    rows = table(spark, d, "articles", "id", "run_no", "retrieved_at", *ranking.WEIGHTS)
+    index = SearchIndex(spark, f"{shared_dir(spark).rstrip('/')}/search-{uuid.uuid4().hex}", ranking.WEIGHTS)
+    index.add(rows.drop("run_no"), 0, "retrieved_at").add(rows.where("run_no % 2 = 0").drop("run_no"), 1, "retrieved_at").remove(rows.where("id % 10 = 0"), 2)
+    return index.figures().select(F.col("_rows").alias("n_rows"), F.round("_avg", 6).alias("mean_length"))
+
+
 def _search_rows(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "articles", "id", "title", "summary", "content", "entities", "topics", "source_id", "source_name", "cluster_id", "retrieved_at")
 
@@ -328,17 +351,17 @@ def question_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 def ranked_answers(spark: SparkSession, d: str) -> DataFrame:
     q = _asked()
-    return ranking.retrieve(_search_rows(spark, d), q, now(), "retrieved_at", widest=24 * 3650).select("id", F.round("score", 9).alias("score"), "reasons")
+    return ranking.retrieve(_search_rows(spark, d), q, now(), "retrieved_at", widest=24 * 3650, index=_index(spark, d)).select("id", F.round("score", 9).alias("score"), "reasons")
 
 
 def diversified_answers(spark: SparkSession, d: str) -> DataFrame:
-    ranked = ranking.retrieve(_search_rows(spark, d), _asked(), now(), "retrieved_at", widest=24 * 3650)
+    ranked = ranking.retrieve(_search_rows(spark, d), _asked(), now(), "retrieved_at", widest=24 * 3650, index=_index(spark, d))
     return ranking.diversified(ranked, 8)
 
 
 def grounded_answer(spark: SparkSession, d: str) -> DataFrame:
     rows = _search_rows(spark, d)
-    top = ranking.diversified(ranking.retrieve(rows, _asked(), now(), "retrieved_at", widest=24 * 3650), 8)
+    top = ranking.diversified(ranking.retrieve(rows, _asked(), now(), "retrieved_at", widest=24 * 3650, index=_index(spark, d)), 8)
     picked = rows.join(F.broadcast(top), "id")  # at most eight rows
     briefs = summarize.summaries(picked, "id")
     stories = picked.join(briefs, "id").select((F.col("place") + 1).alias("place"), "title", "source_name", "brief", F.array().cast("array<string>").alias("outlets"))
@@ -346,10 +369,11 @@ def grounded_answer(spark: SparkSession, d: str) -> DataFrame:
 
 
 def citation_check(spark: SparkSession, d: str) -> DataFrame:
-    """Every document as an answer with a right and a wrong citation at its end."""
-    text = F.concat(F.substring("text", 1, 200), F.lit(" [1] [7][3]."))
+    """Every document as an answer with right and wrong citations at its end."""
+    mark = F.concat(F.lit(" ["), (F.col("doc_id") % 5).cast("string"), F.lit("] [7]["), (F.col("doc_id") % 12).cast("string"), F.lit("]."))
+    text = F.concat(F.coalesce("text", F.lit("")), mark)
     c = answers.citations(text, F.lit(3))
-    return table(spark, d, "documents", "doc_id", "text").select("doc_id", c["valid"].alias("valid"), c["invalid"].alias("invalid"), F.length(c["text"]).cast("long").alias("n_clean"))
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.array_join(c["valid"].cast("array<string>"), ",").alias("valid"), F.array_join(F.array_sort(c["invalid"]), ",").alias("invalid"), F.length(c["text"]).cast("long").alias("n_clean"))
 
 
 def turn_intents(spark: SparkSession, d: str) -> DataFrame:
@@ -407,7 +431,7 @@ def stream_daily_counts(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        bm25_top20, p1_found, p1_status_by_source,
+        bm25_top20, index_size, p1_found, p1_status_by_source,
         token_stats, token_document_frequency, distinctive_words, sentence_counts, truncated_titles, content_hashes, title_simhash, canonical_urls, html_text, entity_lists,
         feed_parse, normalized_entries, newest_per_source,
         richest_copy, content_hash_copies, exact_kept, near_text_links, near_title_pairs, near_title_kept, story_pairs, story_members, story_ids, reclustered, story_sizes, story_groups,

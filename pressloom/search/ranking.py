@@ -1,9 +1,8 @@
 """BM25 over weighted columns, and the blend that ranks articles for a question.
 
-A question has a few phrases, so nothing is indexed in advance: one scan counts
-the phrases in every column, row by row, and one aggregate of a single row gives
-the corpus figures. There is no shuffle of postings. Where many questions meet
-the same corpus, :func:`postings` builds the inverted table once.
+The counts of a question's phrases come from a stored index
+(:mod:`pressloom.search.index`), which is read by the buckets of its words, or,
+for a table that is asked once, from one scan.
 """
 
 from __future__ import annotations
@@ -82,10 +81,15 @@ def match_table(df: DataFrame, phrases: list[Phrase], columns: dict[str, float],
     return spool(wide.select(*keep, length.alias("_len"), *tf), "matches")
 
 
-def bm25_of(table: DataFrame, which: list[int], keep: Column | None = None) -> DataFrame:
-    """``table`` (of :func:`match_table`) with ``bm25`` over the phrases ``which``; only rows with one of them and ``keep``. The corpus figures are those of all rows."""
+def bm25_of(table: DataFrame, which: list[int], keep: Column | None = None, corpus: DataFrame | None = None) -> DataFrame:
+    """``table`` with ``bm25`` over the phrases ``which``; only rows with one of them and ``keep``.
+
+    The corpus figures are those of all rows: of ``table`` (:func:`match_table`), or
+    of ``corpus`` (one row: _rows, _avg) where ``table`` holds matches only.
+    """
     tf = [f"_tf_{i}" for i in which]
-    figures = table.agg(F.count("*").alias("_rows"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(t) > 0).alias(f"_n{t}") for t in tf])
+    seen = [F.count_if(F.col(t) > 0).alias(f"_n{t}") for t in tf]
+    figures = table.agg(F.count("*").alias("_rows"), F.avg("_len").alias("_avg"), *seen) if corpus is None else table.agg(*seen).join(corpus)  # one row each
     wide = table.join(F.broadcast(figures))  # one row
     score = F.lit(0.0)
     for t in tf:
@@ -104,13 +108,6 @@ def bm25(df: DataFrame, phrases: list[Phrase], columns: dict[str, float], id_col
     return bm25_of(match_table(df, phrases, columns, [id_col]), list(range(len(phrases)))).select(id_col, "bm25")
 
 
-def postings(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
-    """(word, id, column, tf, length): the inverted table, to be stored sorted by word for many questions."""
-    cols = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), index_words(F.col(c)).alias("w")) for c in columns]))
-    rows = df.select(F.col(id_col).alias("id"), cols.alias("c")).select("id", "c.column", F.size("c.w").alias("length"), F.explode("c.w").alias("word"))
-    return rows.groupBy("word", "id", "column", "length").agg(F.count("*").alias("tf")).select("word", "id", "column", "tf", "length")
-
-
 def term_coverage(q: Question) -> tuple[Column, Column, Column]:
     """(weighted share of the question's terms in an article, an entity is in it, a keyword is in it)."""
     empty = F.array().cast("array<string>")
@@ -150,35 +147,40 @@ def blended(hits: DataFrame, q: Question, now: Column, time: Column, id_col: str
     """Gates and blend over the at most :data:`CANDIDATES` rows of one search: ``score`` best first."""
     cover, ent, key = term_coverage(q)
     df = hits.withColumns({"coverage": cover, "_e": ent, "_k": key}).where(F.col("_e") | (F.col("coverage") >= LEAST_COVERAGE))
-    whole = Window.partitionBy(F.lit(1))
-    df = df.withColumn("_both", F.max(F.col("_e") & F.col("_k")).over(whole)).where(~F.col("_both") | F.col("_k"))
-    df = df.withColumn("_best", F.max("coverage").over(whole)).where(F.col("coverage") >= RELATIVE * F.col("_best"))
+    facts = df.agg(F.max(F.col("_e") & F.col("_k")).alias("_both"), F.max(F.when(F.col("_k"), F.col("coverage"))).alias("_best_k"), F.max("coverage").alias("_best_all"))
+    df = df.join(F.broadcast(facts)).where(~F.col("_both") | F.col("_k"))  # one row
+    df = df.where(F.col("coverage") >= RELATIVE * F.when(F.col("_both"), F.col("_best_k")).otherwise(F.col("_best_all")))
     df = df.withColumns({"recency": X.recency(time, now), "entity": entity_score(q), "topic": topic_score(q), "interest": interest if interest is not None else F.lit(0.0)})
     score = 0.32 * F.col("lexical") + 0.22 * F.col("coverage") + 0.20 * F.col("entity") + 0.10 * F.col("topic") + 0.11 * F.col("recency") + 0.05 * F.col("interest")
     reasons = F.array_compact(F.array(F.when(F.col("entity") >= 0.5, "matches the entities in the query"), F.when(F.col("topic") >= 0.5, "matches the query topic"), F.when(F.col("recency") >= 0.5, "published recently")))
-    return df.withColumns({"score": score, "reasons": reasons}).where(F.col("score") >= LEAST_SCORE).drop("_e", "_k", "_both", "_best").orderBy(F.desc("score"), F.desc("lexical"), id_col)
+    return df.withColumns({"score": score, "reasons": reasons}).where(F.col("score") >= LEAST_SCORE).drop("_e", "_k", "_both", "_best_k", "_best_all").orderBy(F.desc("score"), F.desc("lexical"), id_col)
 
 
-def retrieve(df: DataFrame, q: Question, now: Column, time: str, id_col: str = "id", widest: int = 1440, most: int = CANDIDATES, **options) -> DataFrame:
+def retrieve(df: DataFrame, q: Question, now: Column, time: str, id_col: str = "id", widest: int = 1440, most: int = CANDIDATES, index=None, interest: Column | None = None) -> DataFrame:
     """The first of four searches with a result: names in the window, names at any time, all terms in the window, all terms at any time.
 
-    The articles are scanned once for all four; each works on the small table of
-    matches and fetches its ``most`` best rows by id.
+    With an ``index`` of ``df`` (:class:`~pressloom.search.index.SearchIndex`) only
+    its buckets of the question's words are read; without, the articles are
+    scanned once for all four searches. Each search works on the small table of
+    matches and fetches its ``most`` best rows by id. ``interest`` is a column of
+    ``df`` between 0 and 1 for the blend.
     """
     every, anchored = phrases_of(q, True), phrases_of(q)
     last = None
     if every:
-        table = match_table(df, every, {c: w for c, w in WEIGHTS.items() if c in df.columns}, [id_col, time])
+        if index is None:
+            table, corpus = match_table(df, every, {c: w for c, w in WEIGHTS.items() if c in df.columns}, [id_col, time]), None
+        else:
+            table, corpus = index.matches(every).withColumnsRenamed({"id": id_col, "_time": time}), cut(index.figures())
         for wanted in dict.fromkeys([tuple(every.index(p) for p in anchored), tuple(range(len(every)))]):
             for hours in dict.fromkeys([q.hours, max(q.hours, widest)]):
                 keep = F.col(time) >= F.timestamp_micros(F.unix_micros(now) - int(hours * 3.6e9))
-                top = bm25_of(table, list(wanted), keep).select(id_col, "bm25").orderBy(F.desc("bm25"), id_col).limit(most)
-                top = top.withColumn("lexical", F.least(F.lit(1.0), F.col("bm25") / F.max("bm25").over(Window.partitionBy(F.lit(1)))))  # at most ``most`` rows
-                top = cut(top)
+                top = cut(bm25_of(table, list(wanted), keep, corpus).select(id_col, "bm25").orderBy(F.desc("bm25"), id_col).limit(most))
                 if top.isEmpty():
                     continue
-                last = blended(df.join(F.broadcast(top), id_col), q, now, F.col(time), id_col, **options)  # at most ``most`` rows
-                last = cut(last)
+                best = top.agg(F.max("bm25").alias("_max"))
+                top = top.join(F.broadcast(best)).select(id_col, "bm25", F.least(F.lit(1.0), F.col("bm25") / F.col("_max")).alias("lexical"))  # one row
+                last = cut(blended(df.join(F.broadcast(top), id_col), q, now, F.col(time), id_col, interest))  # at most ``most`` rows
                 if not last.isEmpty():
                     return last
     return last if last is not None else df.where(F.lit(False)).withColumns({"score": F.lit(0.0), "lexical": F.lit(0.0), "reasons": F.array().cast("array<string>")})
