@@ -309,8 +309,8 @@ def interest_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---- search and answers
-def _asked() -> question.Question:
-    return question.parse(ASKED, lex=topics.lexicon())
+def _asked(spark: SparkSession) -> question.Question:
+    return question.parse(spark, ASKED, lex=topics.lexicon())
 
 
 _BUILT: dict[tuple[str, str], SearchIndex] = {}
@@ -345,23 +345,23 @@ def _search_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def question_coverage(spark: SparkSession, d: str) -> DataFrame:
-    cover, _, _ = ranking.term_coverage(_asked())
+    cover, _, _ = ranking.term_coverage(_asked(spark))
     return _search_rows(spark, d).select("id", F.round(cover, 6).alias("coverage"))
 
 
 def ranked_answers(spark: SparkSession, d: str) -> DataFrame:
-    q = _asked()
+    q = _asked(spark)
     return ranking.retrieve(_search_rows(spark, d), q, now(), "retrieved_at", widest=24 * 3650, index=_index(spark, d)).select("id", F.round("score", 9).alias("score"), "reasons")
 
 
 def diversified_answers(spark: SparkSession, d: str) -> DataFrame:
-    ranked = ranking.retrieve(_search_rows(spark, d), _asked(), now(), "retrieved_at", widest=24 * 3650, index=_index(spark, d))
+    ranked = ranking.retrieve(_search_rows(spark, d), _asked(spark), now(), "retrieved_at", widest=24 * 3650, index=_index(spark, d))
     return ranking.diversified(ranked, 8)
 
 
 def grounded_answer(spark: SparkSession, d: str) -> DataFrame:
     rows = _search_rows(spark, d)
-    top = ranking.diversified(ranking.retrieve(rows, _asked(), now(), "retrieved_at", widest=24 * 3650, index=_index(spark, d)), 8)
+    top = ranking.diversified(ranking.retrieve(rows, _asked(spark), now(), "retrieved_at", widest=24 * 3650, index=_index(spark, d)), 8)
     picked = rows.join(F.broadcast(top), "id")  # at most eight rows
     briefs = summarize.summaries(picked, "id")
     stories = picked.join(briefs, "id").select((F.col("place") + 1).alias("place"), "title", "source_name", "brief", F.array().cast("array<string>").alias("outlets"))

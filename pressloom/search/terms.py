@@ -15,15 +15,3 @@ def fold_text(text: str) -> str:
 def token_list(text: str, drop_stopwords: bool = True) -> list[str]:
     found = (w.strip(EDGES) for w in re.findall(TOKEN, fold_text(text)))
     return [w for w in found if len(w) >= 2 and not (drop_stopwords and w in STOPWORDS)]
-
-
-def entity_list(text: str, most: int = 12) -> list[str]:
-    points: dict[str, int] = {}
-    for w in re.findall(r"\b[A-Z][A-Za-z0-9]*(?:[A-Z][A-Za-z0-9]*)+\b", text):
-        if 2 <= len(w) <= 24:
-            points[w] = points.get(w, 0) + 2
-    for sentence in re.split(r"(?<=[.!?])\s+(?=[\"'“(\[]?[A-Z0-9])", " ".join(text.split())):
-        for w in re.findall(r"\b[A-Z][a-z]{2,}(?:\s+[A-Z][a-z]{2,}){0,3}\b", sentence.partition(" ")[2]):
-            if w.lower() not in STOPWORDS:
-                points[w] = points.get(w, 0) + 1
-    return sorted(points, key=lambda w: (-points[w], w))[:most]

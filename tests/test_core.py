@@ -7,7 +7,7 @@ from pressloom.functions import text as X
 from pressloom.functions.urls import canonical_url
 from pressloom.operators import answers, briefing, cluster, components, dedupe, framing, interests, normalize, ranked, state, summarize, topics
 from pressloom.search import question, ranking
-from pressloom.search.terms import entity_list, token_list
+from pressloom.search.terms import token_list
 from pressloom.sources import feeds, registry
 
 RSS = b"""<?xml version="1.0"?><rss version="2.0" xmlns:media="http://search.yahoo.com/mrss/"><channel><title>T</title><language>en-us</language>
@@ -48,7 +48,7 @@ def test_text_functions(spark):
     assert one(spark, X.sentences(F.col("t")), t="One is long enough to stand alone. No. Two is also long enough here.") == ["One is long enough to stand alone. No.", "Two is also long enough here."]
     assert one(spark, X.truncate(F.col("t"), 9), t="hello world again") == "hello…"
     text = "A note. The European Union met NVIDIA and NVIDIA again. Today Narendra Modi spoke."
-    assert one(spark, X.entities(F.col("t")), t=text) == entity_list(text)
+    assert one(spark, X.entities(F.col("t")), t=text) == ["NVIDIA", "European Union", "Narendra Modi"]
     assert one(spark, X.hamming(F.lit(-1).cast("long"), F.lit(0).cast("long")), t="") == 64
     assert one(spark, normalize.tidy(F.col("t")), t="Intro\n- first\n* second!\n") == "Intro first. second!"
     assert one(spark, X.contains_term(F.col("t"), "tariff"), t="new tariffs rise") and not one(spark, X.contains_term(F.col("t"), "riff"), t="new tariffs rise")
@@ -131,15 +131,25 @@ def test_topics_and_framing(spark):
     assert out[2]["is_opinion"] and {"opinion", "charged-headline", "first-party", "emotive-language"} <= set(out[2]["framing"]) and out[2]["lean_score"] < 0
 
 
-def test_question_parsing():
-    assert [question.hours_of(t) for t in ("news today", "this week", "last month", "NVIDIA")] == [24, 168, 720, 96]
-    q = question.parse("what's happening with the auto-cpufreq project?")
+def test_question_parsing(spark):
+    parse = lambda *a: question.parse(spark, *a)
+    assert [parse(t).hours for t in ("news today", "this week", "last month", "NVIDIA")] == [24, 168, 720, 96]
+    q = parse("what's happening with the auto-cpufreq project?")
     assert "auto-cpufreq" in q.keywords and q.intent == "search"
     history = [{"role": "user", "content": "What did NVIDIA announce?"}, {"role": "assistant", "content": "..."}]
-    f = question.parse("only the biggest ones", history)
-    assert f.follow_up and "NVIDIA" in f.entities
-    assert question.parse("how are different sources covering it").intent == "compare_coverage"
-    assert question.parse("").terms == []
+    f = parse("only the biggest ones", history)
+    assert f.follow_up and f.intent == "follow_up" and "NVIDIA" in f.entities
+    assert not parse("only the biggest ones").follow_up and not parse("Why did Intel cut jobs", history).follow_up and parse("why is it late", history).follow_up
+    assert parse("how are different sources covering it").intent == "compare_coverage"
+    assert parse("").terms == [] and parse(None).terms == []
+    r = question.refined(q, {"entities": ["Linux", 3, "linux"], "keywords": "no list", "hours": 5000})
+    assert r.entities == [*q.entities, "Linux"] and r.keywords == q.keywords and r.hours == 720
+
+
+def test_plans_of_a_table_of_turns(spark):
+    turns = [("a", 1, "user", "What did NVIDIA announce?"), ("a", 2, "assistant", "Much."), ("a", 3, "user", "tell me more"), ("b", 1, "user", "tell me more"), ("b", 2, "user", None)]
+    out = {(r["session_id"], r["id"]): r for r in question.plans(spark.createDataFrame(turns, "session_id string, id long, role string, content string")).collect()}
+    assert out["a", 3]["entities"] == ["NVIDIA"] and "announce" in out["a", 3]["keywords"] and not out["b", 1]["follow_up"] and out["b", 2]["keywords"] == []
 
 
 def test_bm25_matches_sqlite(spark):
