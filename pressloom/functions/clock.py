@@ -58,7 +58,6 @@ LAYOUTS = {
 }
 #: layout -> (pattern, seconds a unit)
 EPOCHS = {"epoch_s": (re.compile(r"\d{9,10}(?:\.\d+)?\Z"), 1), "epoch_ms": (re.compile(r"\d{12,13}\Z"), 1000), "epoch_us": (re.compile(r"\d{15,16}\Z"), 1_000_000)}
-LONGEST = 80
 
 
 @lru_cache(maxsize=1)
@@ -104,16 +103,17 @@ def _reading(layout: str, m: re.Match) -> tuple | None:
     return layout, wall, utc, name
 
 
-@lru_cache(maxsize=65536)
 def readings(value: str | None) -> tuple[tuple[str, int, int | None, str | None], ...]:
     """All readings (layout, wall second, utc second, zone name) of a written time.
 
-    Null, empty, relative and dateless values, and those of more than
-    ``LONGEST`` characters, have none.
+    Null, empty, relative and dateless values have none.
     """
     text = " ".join((value or "").split())
-    if not text or len(text) > LONGEST:
-        return ()
+    return (_readings if len(text) < 100 else _readings.__wrapped__)(text) if text else ()
+
+
+@lru_cache(maxsize=65536)
+def _readings(text: str) -> tuple[tuple[str, int, int | None, str | None], ...]:
     for layout, (pattern, unit) in EPOCHS.items():
         if pattern.match(text):
             second = int(text.split(".")[0]) // unit

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from pressloom.functions import clock
 from pressloom.schemas import fields
+from pressloom.session import spool
 
 EARLIEST = 631152000  # 1990-01-01, in seconds
 READ = fields("first string, wall_1 long, second string, wall_2 long, utc_1 long, utc_2 long, zone string")
@@ -50,7 +51,7 @@ def _mixture(rounds: int, stated: float):
         prior = dict.fromkeys(layouts, 0.5)
         if len(hint):
             told, other = ("slash_day_first", "slash_month_first")[:: 1 if bool(hint.iloc[0]) else -1]
-            prior |= {x: v for x, v in ((told, stated), (other, 0.0)) if x in prior}
+            prior |= {x: v for x, v in ((told, stated),) if x in prior}
         weight = {x: prior[x] / max(sum(prior.values()), 1e-300) for x in layouts}
         for _ in range(rounds):
             votes = dict(prior)
@@ -61,19 +62,20 @@ def _mixture(rounds: int, stated: float):
                         votes[x] += n * weight[x] / total
             whole = sum(votes.values()) or 1.0
             weight = {x: v / whole for x, v in votes.items()}
-        if len(hint) and other in weight:
-            weight[other] = 0.0
+        if len(hint) and weight.get(other, 0.0) <= weight.get(told, 0.0):
+            weight[other] = 0.0  # the values don't overrule the clock, so dates that only fit the other order are none
         return pd.DataFrame({"source_id": [pdf["source_id"].iloc[0]] * len(layouts), "layout": layouts, "weight": [weight[x] for x in layouts]})
 
     return fit
 
 
-def layout_weights(read: DataFrame, clocks: DataFrame, rounds: int = 20, stated: float = 1e6) -> DataFrame:
+def layout_weights(read: DataFrame, clocks: DataFrame, rounds: int = 20, stated: float = 30.0) -> DataFrame:
     """(source_id, layout, weight) from rows with source_id and the struct ``r`` of :func:`read_written`.
 
     A clock that states the order of slashed dates is a prior of ``stated``
-    votes for that order and none for the other. A source without clock has only
-    its own values. A null source_id is a source of its own.
+    votes for that order and none for the other; where the values that fit one
+    order only outweigh it, they overrule it. A source without clock has only its
+    own values. A null source_id is a source of its own.
     """
     sets = read.where(F.col("r.first").isNotNull()).groupBy("source_id", "r.first", "r.second").agg(F.count("*").alias("n"))
     hints = clocks.select(F.col("source_id").alias("h_source"), "day_first").dropDuplicates(["h_source"])
@@ -92,7 +94,7 @@ def normalise(values: DataFrame, clocks: DataFrame, certainty: float = 0.95, rou
     Null and empty values have status ``none``; repeated rows stay repeated; a
     source without clock reads as UTC. An empty table gives an empty table.
     """
-    packed = values.select(F.struct("*").alias("v"), "source_id", read_written(F.col("written")).alias("r"))
+    packed = spool(values.select(F.struct("*").alias("v"), "source_id", read_written(F.col("written")).alias("r")), "read")  # parsed once for weights and readings
     weights = (
         layout_weights(packed, clocks, rounds)
         .groupBy(F.col("source_id").alias("w_source"))

@@ -260,3 +260,4 @@ ORACLES: dict[str, str] = {
         SELECT count(*) AS n_rows, round(avg(n), 6) AS mean_length FROM l
     """,
 }
+ORACLES["stream_feed_states"] = ORACLES["feed_states"]

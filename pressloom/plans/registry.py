@@ -17,7 +17,7 @@ from pressloom.search.index import SearchIndex
 from pressloom.session import shared_dir
 from pressloom.sources import feeds
 from pressloom.sources.tables import table
-from pressloom.streaming import ingest
+from pressloom.streaming import feed_state, ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: The clock of the queries: later than all test data, and given, so results don't depend on when they run.
@@ -49,6 +49,18 @@ def p1_status_by_source(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("tbl", "source_id", F.coalesce("layout", F.lit("none")).alias("layout"), "status").agg(F.count("*").alias("n_values"))
 
 
+def p1_without_hint(spark: SparkSession, d: str) -> DataFrame:
+    """How far the mixture alone, with the clocks' order of slashed dates withheld, agrees with the answer that has it, by source."""
+    rows, clocks = written_times(spark, d), table(spark, d, "feed_clock")
+    told = timestamps.normalise(rows, clocks).select("tbl", "row_id", F.col("source_id").alias("s"), F.col("utc_second").alias("told"))
+    alone = timestamps.normalise(rows, clocks.withColumn("day_first", F.lit(None).cast("boolean"))).select("tbl", "row_id", "utc_second", "status")
+    both = told.join(alone, ["tbl", "row_id"])
+    return both.groupBy(F.col("s").alias("source_id")).agg(
+        F.count_if(F.col("told").isNotNull()).alias("n_told"), F.count_if(F.col("told") == F.col("utc_second")).alias("n_same"), F.count_if(F.col("told").isNotNull() & (F.col("status") == "ambiguous")).alias("n_ambiguous"),
+        F.count_if(F.col("utc_second").isNotNull() & ~F.col("utc_second").eqNullSafe(F.col("told"))).alias("n_other"),
+    )
+
+
 # ---- text functions
 def token_stats(spark: SparkSession, d: str) -> DataFrame:
     words = X.tokens(F.col("text"), drop_stopwords=False)
@@ -418,20 +430,37 @@ def briefing_sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---- streaming
+def _replay(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table as a stream."""
+    return spark.readStream.schema(table(spark, d, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def stream_daily_counts(spark: SparkSession, d: str) -> DataFrame:
     """The events replayed as a stream, counted by day and type."""
-    schema = table(spark, d, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"daily_{abs(hash(d)) % 10**8}"
-    run = ingest.daily_counts(events, "ts", "event_type").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "n")
+    path = _folder(spark, "daily")
+    counts = ingest.daily_counts(_replay(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type")
+    ingest.run_batches(counts, ingest.upsert_step(f"{path}/counts"), f"{path}/checkpoint", mode="update").awaitTermination()
+    return ingest.keep_latest(spark, f"{path}/counts", ["day", "event_type"]).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+def stream_feed_states(spark: SparkSession, d: str) -> DataFrame:
+    """The fetches replayed as a stream, with the state of each feed kept between batches."""
+    path = _folder(spark, "feeds")
+    fetches = _replay(spark, d, "raw_feeds").select("source_id", "fetched_at", "status", "etag").distinct()
+    ingest.run_batches(feed_state.feed_states(fetches), ingest.upsert_step(f"{path}/states"), f"{path}/checkpoint", mode="update").awaitTermination()
+    out = ingest.keep_latest(spark, f"{path}/states", ["source_id"])
+    shown = lambda c: F.date_format(F.timestamp_micros(c), "yyyy-MM-dd HH:mm:ss").alias(c)
+    return out.select("source_id", shown("last_fetch"), shown("last_success"), "last_status", "failures")
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        bm25_top20, index_size, p1_found, p1_status_by_source,
+        bm25_top20, index_size, p1_found, p1_status_by_source, p1_without_hint,
         token_stats, token_document_frequency, distinctive_words, sentence_counts, truncated_titles, content_hashes, title_simhash, canonical_urls, html_text, entity_lists,
         feed_parse, normalized_entries, newest_per_source,
         richest_copy, content_hash_copies, exact_kept, near_text_links, near_title_pairs, near_title_kept, story_pairs, story_members, story_ids, reclustered, story_sizes, story_groups,
@@ -439,7 +468,7 @@ QUERIES: dict[str, Query] = {
         topic_points, article_topics, framing_measures, article_framing, lean_badges, story_coverage, story_headline_terms, interest_scores,
         question_coverage, ranked_answers, diversified_answers, grounded_answer, citation_check, turn_intents,
         sentence_ranks, article_briefs, story_briefs, briefing_ranks, briefing_stories, briefing_sections,
-        stream_daily_counts,
+        stream_daily_counts, stream_feed_states,
     )
 }
 __all__ = ["ORACLES", "QUERIES"]

@@ -272,3 +272,28 @@ def test_exact_duplicates_keep_the_richest(spark):
     rows = [(1, "u1", None, "h1", "short", "", None), (2, "u2", None, "h1", "much longer", "", None), (3, "u2", None, "", "x", "", None), (4, None, "u9", None, None, None, None), (5, None, None, None, None, None, None), (6, None, None, "", None, None, None)]
     df = spark.createDataFrame(rows, "id long, canonical_url string, url string, content_hash string, content string, summary string, published_at string")
     assert {tuple(r) for r in dedupe.exact_kept(df).collect()} == {(2, 1, 3), (4, 4, 1), (5, 5, 1), (6, 6, 1)}
+
+
+def answer(url, headers):
+    from pressloom.sources.fetch import Response
+
+    if "boom" in url:
+        raise OSError("no route")
+    if headers.get("If-None-Match") == "e1":
+        return Response(304)
+    return {"https://a/404": Response(404), "https://a/empty": Response(200)}.get(url, Response(200, b"<rss/>", "e2"))
+
+
+def test_fetching_never_fails(spark):
+    import sys
+
+    from pyspark import cloudpickle
+
+    from pressloom.sources import fetch
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    sources = spark.createDataFrame([("a", "https://a/ok"), ("b", "https://a/404"), ("c", "https://a/empty"), ("d", "https://boom"), ("e", "https://a/known")], "id string, url string")
+    known = spark.createDataFrame([("e", "e1", None)], "source_id string, etag string, last_modified string")
+    out = {r["source_id"]: r for r in fetch.fetch(sources, known, answer, 2).collect()}
+    assert {k: r["status"] for k, r in out.items()} == {"a": "ok", "b": "error", "c": "error", "d": "error", "e": "not-modified"}
+    assert out["a"]["etag"] == "e2" and out["e"]["etag"] == "e1" and "no route" in out["d"]["error"]

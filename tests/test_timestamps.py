@@ -59,3 +59,9 @@ def test_mixture_learns_the_order_where_no_clock_states_it(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "row_id long, source_id string, written string")
     assert timestamps.normalise(empty, spark.createDataFrame([], CLOCKS)).count() == 0
+
+
+def test_values_overrule_a_wrong_clock(spark):
+    values = [("x", f"03/{d:02}/2023 10:00") for d in range(13, 29)] * 4 + [("x", "03/04/2023 10:00")]
+    out = rows(spark, values, [("x", None, True)])
+    assert out[len(values) - 1]["utc_second"] == second(2023, 3, 4, 10)
