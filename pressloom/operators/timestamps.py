@@ -48,22 +48,29 @@ def _mixture(rounds: int, stated: float):
         sets = [({a, b} - {None}, n) for a, b, n in zip(pdf["first"], pdf["second"], pdf["n"])]
         layouts = sorted({x for names, _ in sets for x in names})
         hint = pdf["day_first"].dropna()
-        prior = dict.fromkeys(layouts, 0.5)
-        if len(hint):
-            told, other = ("slash_day_first", "slash_month_first")[:: 1 if bool(hint.iloc[0]) else -1]
-            prior |= {x: v for x, v in ((told, stated),) if x in prior}
-        weight = {x: prior[x] / max(sum(prior.values()), 1e-300) for x in layouts}
-        for _ in range(rounds):
-            votes = dict(prior)
-            for names, n in sets:
-                total = sum(weight[x] for x in names)
-                if total > 0:
+
+        def settle(prior: dict[str, float]) -> dict[str, float]:
+            weight = {x: v / sum(prior.values()) for x, v in prior.items()}
+            for _ in range(rounds):
+                votes = dict(prior)
+                for names, n in sets:
+                    total = sum(weight[x] for x in names)
                     for x in names:
                         votes[x] += n * weight[x] / total
-            whole = sum(votes.values()) or 1.0
-            weight = {x: v / whole for x, v in votes.items()}
-        if len(hint) and weight.get(other, 0.0) <= weight.get(told, 0.0):
-            weight[other] = 0.0  # the values don't overrule the clock, so dates that only fit the other order are none
+                whole = sum(votes.values())
+                weight = {x: v / whole for x, v in votes.items()}
+            return weight
+
+        prior = dict.fromkeys(layouts, 0.5)
+        if not len(hint):
+            weight = settle(prior)
+        else:
+            told, other = ("slash_day_first", "slash_month_first")[:: 1 if bool(hint.iloc[0]) else -1]
+            weight = settle(prior | {x: stated for x in (told,) if x in prior})
+            if weight.get(other, 0.0) > weight.get(told, 0.0) and told in prior:
+                weight = settle(prior)  # the values overrule the clock
+            else:
+                weight[other] = 0.0  # dates that only fit the other order are none
         return pd.DataFrame({"source_id": [pdf["source_id"].iloc[0]] * len(layouts), "layout": layouts, "weight": [weight[x] for x in layouts]})
 
     return fit
