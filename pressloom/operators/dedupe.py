@@ -95,7 +95,7 @@ def exact_kept(df: DataFrame, id_col: str = "id") -> DataFrame:
     """
     text = lambda c: F.when(F.trim(c) != "", F.col(c))
     keys = {"u": F.coalesce(text("canonical_url"), text("url")), "h": text("content_hash")}
-    slim = cut(df.select(F.col(id_col).alias("id"), *[F.when(v.isNotNull(), F.concat(F.lit(k), v)).alias(k) for k, v in keys.items()], _size("content").alias("c"), _size("summary").alias("s"), (F.coalesce("published_at", F.lit("")) != "").cast("int").alias("d")))
+    slim = cut(df.select(F.col(id_col).alias("id"), *[F.when(v.isNotNull(), F.concat(F.lit(k), v)).alias(k) for k, v in keys.items()], _size("content").alias("c"), _size("summary").alias("s"), (F.coalesce(F.col("published_at").cast("string"), F.lit("")) != "").cast("int").alias("d")))
     ends = slim.select("id", F.explode(F.array_compact(F.array("u", "h"))).alias("key"))
     edges = ends.join(ends.groupBy("key").agg(F.min("id").alias("least")), "key").select(F.col("id").alias("src"), F.col("least").alias("dst"))
     label = components(edges).withColumnRenamed("node", "id")
@@ -115,7 +115,7 @@ def first_kept(ids: DataFrame, pairs: DataFrame, most_rounds: int = 100) -> Data
     earlier partners have all decided; the number of rounds is the longest chain
     of waiting, which is short in practice. Only undecided pairs go on.
     """
-    edges = cut(pairs.select(F.col("a").alias("early"), F.col("b").alias("late")).distinct())
+    edges = cut(pairs.where("a < b").select(F.col("a").alias("early"), F.col("b").alias("late")).distinct())
     done = None
     for _ in range(most_rounds):
         waiting = edges.select(F.col("late").alias("id")).distinct()

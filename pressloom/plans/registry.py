@@ -287,6 +287,13 @@ def article_topics(spark: SparkSession, d: str) -> DataFrame:
     return topics.with_topics(rows).select("id", F.array_join("topics", ",").alias("topics"))
 
 
+def hinted_topics(spark: SparkSession, d: str) -> DataFrame:
+    """Topics with the categories of items and sources."""
+    dim = F.broadcast(table(spark, d, "sources", F.col("id").alias("source_id"), F.col("categories").alias("source_categories")))  # the registry is small
+    rows = table(spark, d, "articles", "id", "title", "summary", "content", "feed_categories", "source_id").join(dim, "source_id", "left")
+    return topics.with_topics(rows, hints=True).select("id", F.array_join("topics", ",").alias("topics"))
+
+
 def framing_measures(spark: SparkSession, d: str) -> DataFrame:
     cols = ["n_loaded", "n_opinion", "n_left", "n_right", "n_left_actors", "n_right_actors"]
     return framing.assess(_with_sources(spark, d)).select("id", *[F.col(c).cast("long").alias(c) for c in cols])
@@ -465,7 +472,7 @@ QUERIES: dict[str, Query] = {
         feed_parse, normalized_entries, newest_per_source,
         richest_copy, content_hash_copies, exact_kept, near_text_links, near_title_pairs, near_title_kept, story_pairs, story_members, story_ids, reclustered, story_sizes, story_groups,
         enabled_sources, enriched_articles, ingest_stats, recent_articles, retention, feed_streaks, feed_states, due_feeds, new_entries, known_entries, upserted_articles, newest_fetches, unused_sources, event_props, lean_shares,
-        topic_points, article_topics, framing_measures, article_framing, lean_badges, story_coverage, story_headline_terms, interest_scores,
+        topic_points, article_topics, hinted_topics, framing_measures, article_framing, lean_badges, story_coverage, story_headline_terms, interest_scores,
         question_coverage, ranked_answers, diversified_answers, grounded_answer, citation_check, turn_intents,
         sentence_ranks, article_briefs, story_briefs, briefing_ranks, briefing_stories, briefing_sections,
         stream_daily_counts, stream_feed_states,
