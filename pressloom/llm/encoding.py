@@ -6,8 +6,8 @@ characters that avoid each other); positive information isn't rewarded, because
 the characters of garbled text attract each other. Runs of improbable pairs are
 isolated as maximum-scoring segments, and inverse mappings are tried inside those
 runs only. A mapping is accepted when it makes the runs much more probable.
-Replacement characters, and question marks inside words, are lost characters:
-found, but not restorable.
+Replacement characters, and question marks where the pairs of another character
+are likely, are lost characters: found, but not restorable.
 """
 
 from __future__ import annotations
@@ -88,6 +88,8 @@ class PairModel:
 
     def __post_init__(self):
         self.table = dict(zip(self.pairs.tolist(), self.weights.tolist()))
+        self.special = [c for c in np.unique(self.pairs & ((1 << 21) - 1)).tolist() if 127 < c < FOLD] if len(self.pairs) else []
+        self.gaps: dict[tuple[str, str], bool] = {}
 
     def of(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.pairs):
@@ -95,6 +97,24 @@ class PairModel:
         at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
         return np.where(self.pairs[at] == keys, self.weights[at], self.unseen)
 
+    def missing(self, left: str, right: str) -> bool:
+        """Whether another character is likely between two letters where a question mark stands; remembered.
+
+        For a letter that was seen there it is enough to be a little less probable
+        than the mark, which is frequent itself where much is damaged; a sign must
+        be more probable.
+        """
+        if (known := self.gaps.get((left, right))) is None:
+            x, y, get = fold(ord(left)), fold(ord(right)), self.table.get
+            mark = get((x << 21) | ord(LOST), self.unseen) + get((ord(LOST) << 21) | y, self.unseen)
+
+            def likely(c: int) -> bool:
+                a, b = get((x << 21) | c), get((c << 21) | y)
+                return a is not None and b is not None and a + b - mark >= (LETTER_GAIN if chr(c).isalpha() else SIGN_GAIN)
+
+            known = self.gaps[left, right] = any(map(likely, self.special))
+        return known
+
     def text(self, text: str) -> tuple[float, int]:
         """Sum of the weights of the pairs that matter, and their number."""
         if len(text) > 48:
@@ -250,18 +270,29 @@ def gained(before: tuple[float, int], after: tuple[float, int]) -> float:
 
 
 LINK = re.compile(r"\S*(?:://|www\.)\S*|\S*\?[\w.%\[\]-]+=\S*|(?<![\w.])[\w-]+(?:\.[\w-]+)+/\S*|(?<!\S)/\S*/\S*")
-LOST_INSIDE = re.compile(r"[^\W\d_]\?+[^\W\d_]|(?<![^\s(\[“\"„«‘'—–-])\?+[^\W\d_]|(?<!\S)\?+\s+\?")
+LOST_ONE = re.compile(r"([^\W\d_])\?([^\W\d_])")
+LETTER_GAIN, SIGN_GAIN = -6.0, 3.0  # bits
+LOST_INSIDE = re.compile(r"[^\W\d_]\?{2,}[^\W\d_]|(?<![^\s(\[“\"„«‘'—–-])\?+[^\W\d_]|(?<!\S)\?+\s+\?")
 LOST_END = re.compile(r"[^\W\d_]\?+[,;:]?[ \t]+([^\W\d_])")
 
 
-def lost(text: str) -> bool:
-    """Whether characters of a text were replaced: U+FFFD, or question marks inside a word, at its start, at its end where the sentence goes on, or in place of whole words. Links don't count."""
+def lost(text: str, model: PairModel) -> bool:
+    """Whether characters of a text were replaced.
+
+    U+FFFD always says so. A question mark between two letters does when some
+    other character is likely there (:meth:`PairModel.missing`).
+    Several in a row inside a word, one at its start, at its end where the
+    sentence goes on, or in place of whole words do by their place. Links don't
+    count.
+    """
     if "\ufffd" in text:
         return True
     if "?" not in text:
         return False
     if "/" in text or "=" in text or "www." in text:
         text = LINK.sub(" ", text)
+    if any(model.missing(m[1], m[2]) for m in LOST_ONE.finditer(text)):
+        return True
     if LOST_INSIDE.search(text) or any(m[1].islower() for m in LOST_END.finditer(text)):
         return True
     return "??" in text and not any(c.isalnum() for c in text)
@@ -367,7 +398,7 @@ def garbled(rows: DataFrame, id_col: str, columns: list[str], level: float = -7.
                     for k in np.unique(owner[m.possible(codes)]).tolist():
                         look[k] = [*look.get(k, []), m]
                 for k, text in enumerate(texts[i : i + 512]):
-                    gone = lost(text)
+                    gone = lost(text, known)
                     fixed, mapping = restore(text, known, effects, look[k], maps, level) if k in look else (text, None)
                     if mapping or gone:
                         out.append((ids[i + k], names[i + k], fixed, mapping, gone))
