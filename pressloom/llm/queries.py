@@ -233,4 +233,23 @@ ORACLES: dict[str, str] = {
         iw AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k : k + 11], ' '))) AS g FROM i WHERE len(w) >= 12)
         SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g)
     """,
+    "p2_nested_caps": """
+        WITH r AS (SELECT a.id, a.run_no, a.source_id, CASE WHEN trim(a.author) <> '' THEN a.author END AS author, CASE WHEN trim(s.ownership) <> '' THEN s.ownership END AS owner, q.quality, count(*) OVER (PARTITION BY a.run_no) AS size
+            FROM articles a LEFT JOIN article_quality q ON q.article_id = a.id LEFT JOIN sources s ON s.id = a.source_id),
+        x AS (SELECT *, CASE WHEN author IS NOT NULL AND row_number() OVER (PARTITION BY run_no, source_id, author ORDER BY quality DESC NULLS LAST, id) > 3 THEN 1 END AS l1 FROM r),
+        y AS (SELECT *, CASE WHEN l1 IS NULL AND row_number() OVER (PARTITION BY run_no, source_id, l1 IS NULL ORDER BY quality DESC NULLS LAST, id) > ceil(size * 0.05 - 1e-9) THEN 2 END AS l2 FROM x),
+        z AS (SELECT *, CASE WHEN l1 IS NULL AND l2 IS NULL AND owner IS NOT NULL AND row_number() OVER (PARTITION BY run_no, owner, l1 IS NULL AND l2 IS NULL ORDER BY quality DESC NULLS LAST, id) > ceil(size * 0.1 - 1e-9) THEN 3 END AS l3 FROM y)
+        SELECT id AS article_id, coalesce(l1, l2, l3) IS NULL AS kept, CAST(coalesce(l1, l2, l3) AS INTEGER) AS level FROM z
+    """,
+    "p7_groups": r"""
+        WITH RECURSIVE t AS (
+            SELECT id, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(summary, '') || ' ' || coalesce(content, '')), '[\p{L}\p{N}]+') AS w FROM articles),
+        s AS (SELECT id, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')))) AS s FROM t WHERE len(w) >= 5),
+        c AS (SELECT id, s, min(id) OVER (PARTITION BY s) AS class_id FROM s),
+        h AS (SELECT id AS c, s, len(s) AS n FROM c WHERE id = class_id), e AS (SELECT c, n, unnest(s) AS g FROM h),
+        l AS MATERIALIZED (SELECT x.c AS a, y.c AS b FROM e x JOIN e y ON x.g = y.g AND x.c <> y.c GROUP BY x.c, y.c, x.n, y.n HAVING count(*) / (x.n + y.n - count(*)) >= 0.8),
+        reach(c, r) AS (SELECT c, c FROM h UNION SELECT l.b, reach.r FROM reach JOIN l ON l.a = reach.c),
+        k AS (SELECT c, min(r) AS group_id FROM reach GROUP BY c)
+        SELECT c.id, c.class_id, k.group_id, (SELECT count(*) FROM l WHERE l.a = c.class_id) AS n_links FROM c JOIN k ON k.c = c.class_id
+    """,
 }
