@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import logging
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from pressloom.functions import text as X
 from pressloom.operators import answers, briefing, cluster, comparison, dedupe, framing, interests, normalize, reports, state, store, summarize, timestamps, topics
 from pressloom.schemas import fields
 from pressloom.search import question, ranking
-from pressloom.session import spool
+from pressloom.session import scratch, spool
 from pressloom.settings import Preferences, Settings
 from pressloom.sources import feeds, fetch, registry
 
@@ -24,6 +26,17 @@ STATE = fields("source_id string, last_fetch timestamp, last_success timestamp,
 TURNS = fields("session_id string, id long, role string, content string, batch string")
 
 
+def _tidied(step: Callable) -> Callable:
+    """A method whose spooled tables are deleted when it is done; its results are values."""
+
+    @wraps(step)
+    def run(self, *given, **named):
+        with scratch(self.spark):
+            return step(self, *given, **named)
+
+    return run
+
+
 @dataclass
 class Engine:
     """All state lies in ``folder``; ``now`` is always given, so a run can be repeated."""
@@ -55,6 +68,7 @@ class Engine:
         store.replaced(store.upserted_sources(self._table("sources", registry.SOURCES), new), self._path("sources"))
         return None
 
+    @_tidied
     def refresh(self, now: datetime, fetcher: fetch.Fetcher = fetch.over_http, only: list[str] | None = None) -> dict:
         """One run of ingest: fetch, parse, normalise, drop duplicates, upsert, cluster the last hours again, forget what is old. Returns the counters and their line.
 
@@ -117,12 +131,14 @@ class Engine:
         verdict = F.struct("lean", "lean_score", "confidence", "subjectivity", "is_opinion", "framing", "signals", F.lit("heuristic").alias("method"), "rationale", F.coalesce("source_lean", F.lit("unknown")).alias("source_lean"))
         return out.withColumn("bias", verdict).select("row", *ARTICLE).dropDuplicates(["row"])
 
+    @_tidied
     def reanalyse(self) -> None:
         """Topics of all stored articles by the present lexicon."""
         rows = self._table("articles")
         new = topics.with_topics(rows.drop("topics"), self.lexicon).select("id", "topics")
         store.replaced(spool(store.with_analysis(rows, new), "articles"), self._path("articles"))
 
+    @_tidied
     def ask(self, text: str, now: datetime, session: str | None = None) -> dict:
         """Answer a question from stored articles, with its sources; the turn is remembered in its session. A comparison of coverage looks at the whole story."""
         session, when = session or store.session_id(), F.lit(now).cast("timestamp")
@@ -160,11 +176,13 @@ class Engine:
         except Exception:  # noqa: BLE001
             log.exception("turn not stored")
 
+    @_tidied
     def forget(self, session: str) -> None:
         """Delete a session."""
         left = spool(store.without_sessions(self._turns().drop("batch"), self.spark.createDataFrame([(session,)], "session_id string")), "turns")
         left.write.mode("overwrite").parquet(self._path("turns"))
 
+    @_tidied
     def briefing(self, now: datetime) -> dict:
         """Make and store a briefing for the stored preferences; the newest ``briefings_kept`` stay."""
         when, s = F.lit(now).cast("timestamp"), self.settings

@@ -1,7 +1,7 @@
 """The SQL that the core queries are compared with: written for DuckDB, from the definitions and not from the plans."""
 
 from pressloom.functions.text import STOPWORDS
-from pressloom.operators.framing import LEFT, LEFT_ACTORS, LOADED, OPINION, RIGHT, RIGHT_ACTORS
+from pressloom.operators.framing import LEFT, LEFT_ACTORS, LOADED, OPINION, OPINION_TITLE, OPINION_URL, RIGHT, RIGHT_ACTORS, WEAK
 from pressloom.operators.topics import lexicon
 
 
@@ -259,5 +259,24 @@ ORACLES: dict[str, str] = {
         WITH l AS (SELECT id, len(regexp_extract_all(strip_accents(lower(concat_ws(' ', title, summary, content, array_to_string(entities, ' '), array_to_string(topics, ' ')))), '[\p{L}\p{N}]+')) AS n FROM articles WHERE id % 10 <> 0)
         SELECT count(*) AS n_rows, round(avg(n), 6) AS mean_length FROM l
     """,
+    "article_framing": f"""
+        WITH a AS (SELECT a.id, coalesce(title, '') AS title, coalesce(a.url, '') AS url, coalesce(topics, []) AS topics, coalesce(s.lean, 'unknown') AS prior, coalesce(s.confidence, 'low') AS conf, s.source_type AS st, {BLOB} AS blob FROM articles a LEFT JOIN sources s ON s.id = a.source_id),
+        w AS (SELECT *, {toks('blob')} AS w, {toks('title')} AS tw FROM a),
+        n AS (SELECT *, greatest(1, len(w)) AS n, {_hits(LOADED)} AS ld, {_hits(OPINION)} AS op, {_hits(LEFT)} AS l, {_hits(RIGHT)} AS r, {_hits(LEFT_ACTORS)} AS la, {_hits(RIGHT_ACTORS)} AS ra,
+            len(regexp_extract_all(blob, '{WEAK}')) AS wk, regexp_matches(url, '{OPINION_URL}') OR regexp_matches(title, '{OPINION_TITLE}') AS sec, len(list_filter({_list(LOADED)}, lambda t: list_contains(tw, t))) AS tl FROM w),
+        m AS (SELECT *, ld * 100.0 / n AS dens, sec OR op >= 4 AS o, l + r AS fr, la + ra AS ac, list_has_any(topics, ['us-politics', 'geopolitics', 'world', 'india', 'europe', 'asia']) OR la + ra > 0 AS pol,
+            CASE WHEN prior IN ('left', 'center-left', 'center', 'center-right', 'right') THEN CASE conf WHEN 'high' THEN 1.0::DOUBLE WHEN 'medium' THEN 0.65::DOUBLE ELSE 0.35::DOUBLE END * 0.55::DOUBLE ELSE 0 END AS pw,
+            CASE prior WHEN 'left' THEN -1.0 WHEN 'center-left' THEN -0.5 WHEN 'center-right' THEN 0.5 WHEN 'right' THEN 1.0 ELSE 0.0 END AS ps FROM n),
+        k AS (SELECT *, CASE WHEN ac >= 3 THEN abs(ra - la) / ac::DOUBLE ELSE 0 END AS im, CASE WHEN fr > 0 THEN (r - l) / fr::DOUBLE ELSE 0 END AS f FROM m),
+        e AS (SELECT *, least(0.8::DOUBLE, 0.25::DOUBLE * fr + 0.3::DOUBLE * im) AS ev FROM k),
+        c AS (SELECT *, CASE WHEN ev <= 0.01 AND pw <= 0.01 THEN 0 ELSE (ps * pw + f * ev) / greatest(0.01::DOUBLE, pw + ev) END AS sc FROM e)
+        SELECT id, CASE WHEN NOT pol THEN 'not-applicable' WHEN sc <= -0.66 THEN 'left' WHEN sc <= -0.2 THEN 'center-left' WHEN sc < 0.2 THEN 'center' WHEN sc < 0.66 THEN 'center-right' ELSE 'right' END AS lean,
+            CASE WHEN pol THEN round(sc, 3) ELSE 0.0 END AS lean_score,
+            CASE WHEN NOT pol THEN CASE WHEN len(topics) > 0 THEN 'medium' ELSE 'low' END WHEN pw + ev >= 1.0 AND fr >= 2 THEN 'high' WHEN pw + ev >= 0.5 THEN 'medium' ELSE 'low' END AS confidence,
+            round(least(1.0::DOUBLE, 0.3::DOUBLE * least(1.0::DOUBLE, dens::DOUBLE / 2) + 0.3::DOUBLE * least(1.0::DOUBLE, op / 6.0::DOUBLE) + CASE WHEN o THEN 0.3::DOUBLE ELSE 0 END + 0.1::DOUBLE * least(1.0::DOUBLE, wk / 3.0::DOUBLE)), 3) AS subjectivity, o AS is_opinion,
+            array_to_string(list_sort(list_filter([CASE WHEN sec THEN 'opinion' END, CASE WHEN NOT sec AND op >= 4 THEN 'commentary-style' END, CASE WHEN st = 'vendor' THEN 'first-party' END, CASE WHEN st = 'aggregator' THEN 'aggregator' END,
+                CASE WHEN prior = 'state-affiliated' THEN 'state-affiliated' END, CASE WHEN dens >= 1.2 THEN 'emotive-language' END, CASE WHEN tl > 0 THEN 'charged-headline' END, CASE WHEN rtrim(title) LIKE '%?' THEN 'question-headline' END,
+                CASE WHEN regexp_matches(title, '[“"''].+[”"'']') AND len(title) > 30 THEN 'quote-headline' END, CASE WHEN wk > 0 THEN 'anonymous-sourcing' END, CASE WHEN pol AND ac >= 3 AND im >= 0.6 THEN 'one-sided-attribution' END], lambda x: x IS NOT NULL)), ',') AS framing FROM c
+    """,
 }
 ORACLES["stream_feed_states"] = ORACLES["feed_states"]

@@ -301,7 +301,7 @@ def framing_measures(spark: SparkSession, d: str) -> DataFrame:
 
 def article_framing(spark: SparkSession, d: str) -> DataFrame:
     out = framing.assess(_with_sources(spark, d))
-    return out.select("id", "lean", "lean_score", "confidence", "subjectivity", "is_opinion", "framing")
+    return out.select("id", "lean", "lean_score", "confidence", "subjectivity", "is_opinion", F.array_join("framing", ",").alias("framing"))
 
 
 def lean_badges(spark: SparkSession, d: str) -> DataFrame:

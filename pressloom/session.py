@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,9 +60,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_SPOOLED: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that were spooled inside. A lazy result reads them, so it must be written or collected before."""
+    before = len(_SPOOLED)
+    try:
+        yield
+    finally:
+        for path in _SPOOLED[before:]:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        del _SPOOLED[before:]
+
+
 def spool(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage like :func:`cut`, and later scans prune columns."""
+    """Write ``df`` as a table in the shared folder and read it back: cuts lineage like :func:`cut`, and later scans prune columns. Inside :func:`scratch` it is deleted in the end."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _SPOOLED.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
