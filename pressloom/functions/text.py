@@ -7,6 +7,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -141,13 +142,32 @@ def containment(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.least(F.size(a), F.size(b)))
 
 
+def _vote(bits: int):
+    """Bit i is set when more than half of a row's codes have it."""
+
+    def vote(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        place = np.arange(bits, dtype=np.int64)
+        for rows in batches:
+            sizes = np.array([0 if r is None else len(r) for r in rows], dtype=np.int64)
+            some = np.flatnonzero(sizes)
+            out = np.zeros(len(rows), np.int64)
+            if len(some):
+                flat = np.concatenate([rows.iloc[k] for k in some]).astype(np.int64)
+                starts = np.cumsum(sizes[some]) - sizes[some]
+                ones = np.add.reduceat((flat[:, None] >> place) & 1, starts, axis=0)
+                out[some] = ((2 * ones > sizes[some][:, None]) << place).sum(axis=1)
+            yield pd.Series(out, index=rows.index)
+
+    return F.pandas_udf(vote, T.LongType())
+
+
 def simhash(words: Column, bits: int = 60) -> Column:
-    """SimHash of an array of tokens: bit i is set when more tokens have it than not, by the first ``bits`` bits of MD5. Empty gives 0."""
+    """SimHash of an array of tokens: bit i is set when more tokens have it than not, by the first ``bits`` bits of MD5. Empty and null give 0.
+
+    The hashes are taken in the JVM; the votes, sixty a token, in Arrow batches.
+    """
     codes = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, bits // 4), 16, 10).cast("long"))
-    positions = F.array(*[F.lit(i) for i in range(bits)])
-    ones = F.transform(positions, lambda i: F.aggregate(codes, F.lit(0), lambda n, c: n + F.getbit(c, i).cast("int")))
-    both = F.zip_with(positions, ones, lambda i, n: F.when(n * 2 > F.size(codes), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(both, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+    return _vote(bits)(codes)
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -328,8 +328,15 @@ def interest_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---- search and answers
+_PLANS: dict[str, question.Question] = {}
+
+
 def _asked(spark: SparkSession) -> question.Question:
-    return question.parse(spark, ASKED, lex=topics.lexicon())
+    """The plan of the question, made once in a session."""
+    key = spark.sparkContext.applicationId
+    if key not in _PLANS:
+        _PLANS[key] = question.parse(spark, ASKED, lex=topics.lexicon())
+    return _PLANS[key]
 
 
 _BUILT: dict[tuple[str, str], SearchIndex] = {}

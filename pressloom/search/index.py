@@ -10,8 +10,10 @@ its own folders.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,27 @@ LENGTHS = fields("id long, time timestamp, length int, batch int")
 GONE = fields("id long, upto int, batch int")
 
 
+INVERTED = fields("word string, id long, column string, places int[]")
+
+
+def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, id, column, places) of the rows (id, column, words)."""
+    for batch in batches:
+        words, ids, columns, places, ends = [], [], [], [], [0]
+        for i, column, found in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            at: dict[str, list[int]] = {}
+            for k, w in enumerate(found):
+                at.setdefault(w, []).append(k)
+            words += at
+            ids += [i] * len(at)
+            columns += [column] * len(at)
+            for p in at.values():
+                places += p
+                ends.append(len(places))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(ids, pa.int64()), pa.array(columns, pa.string()), lists], names=INVERTED.names)
+
+
 class SearchIndex:
     """An index in ``path`` over ``weights`` (column -> weight); ``buckets`` folders a batch."""
 
@@ -33,15 +56,19 @@ class SearchIndex:
 
     def add(self, df: DataFrame, batch: int, time: str, id_col: str = "id") -> SearchIndex:
         """Index the rows of ``df`` as ``batch`` (a number that grows). Rows that are there already from an earlier batch are replaced by the new ones."""
-        kinds = dict(df.dtypes)
+        kinds, first = dict(df.dtypes), not self._exists("postings")
         words = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), index_words(F.array_join(F.col(c), " ") if kinds[c].startswith("array") else F.col(c)).alias("w")) for c in self.weights]))
         rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(time).alias("time"), words.alias("c"))
-        placed = rows.select("id", "c.column", F.posexplode("c.w").alias("place", "word"))
-        lists = placed.groupBy("word", "id", "column").agg(F.array_sort(F.collect_list("place")).alias("places"))  # the places of a word in one field
+        lists = rows.select("id", "c.column", "c.w").mapInArrow(_inverted, INVERTED)  # a field is inverted where it is, without a shuffle
         bucket = F.pmod(F.xxhash64(F.substring("word", 1, PREFIX)), F.lit(self.buckets)).cast("int")
         lists.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("bucket", "word").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/batch={batch}")
         rows.groupBy("id", "time").agg(F.sum(F.size("c.w")).cast("int").alias("length")).write.mode("overwrite").parquet(f"{self.path}/lengths/batch={batch}")
-        return self.remove(df.select(F.col(id_col).alias("id")), batch)
+        replaced = df.select(F.col(id_col).alias("id"))
+        return self.remove(replaced.limit(0) if first else replaced, batch)
+
+    def _exists(self, name: str) -> bool:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
 
     def remove(self, ids: DataFrame, batch: int) -> SearchIndex:
         """Forget what batches before ``batch`` have of ``ids``."""
@@ -58,25 +85,34 @@ class SearchIndex:
         """(_rows, _avg): one row with the number of indexed rows and their mean length."""
         return self._live("lengths", LENGTHS).agg(F.count("*").alias("_rows"), F.avg("length").alias("_avg"))
 
-    def _of(self, word: str, prefix: bool, k: int) -> DataFrame:
-        """(id, column, places less ``k``) of one word or prefix; its bucket is the only one that is read."""
-        if prefix and len(word) < PREFIX:
+    def _rows(self, phrases: list[Phrase]) -> DataFrame:
+        """The postings of all words of ``phrases``, from the buckets of those words only; stored, for each phrase looks at them."""
+        words = sorted({(w, p.prefix and k == len(p.words) - 1) for p in phrases for k, w in enumerate(p.words)})
+        if any(prefix and len(w) < PREFIX for w, prefix in words):
             raise ValueError(f"a prefix needs {PREFIX} characters")
-        at = self.spark.range(1).select(F.pmod(F.xxhash64(F.lit(word[:PREFIX])), F.lit(self.buckets)).cast("int")).first()[0]
-        hit = F.col("word").startswith(word) if prefix else F.col("word") == word
-        rows = self._live("postings", POSTINGS, (F.col("bucket") == at) & hit)
-        return rows.groupBy("id", "column").agg(F.array_distinct(F.flatten(F.collect_list(F.transform("places", lambda p: p - k)))).alias("places"))
+        at = self.spark.range(1).select(*[F.pmod(F.xxhash64(F.lit(w[:PREFIX])), F.lit(self.buckets)).cast("int") for w, _ in words]).first()
+        hit = reduce(lambda a, b: a | b, [F.col("word").startswith(w) if prefix else F.col("word") == w for w, prefix in words])
+        return spool(self._live("postings", POSTINGS, F.col("bucket").isin(sorted(set(at))) & hit), "postings")
+
+    @staticmethod
+    def _of(rows: DataFrame, word: str, prefix: bool, k: int) -> DataFrame:
+        """(id, column, places less ``k``) of one word or prefix."""
+        found = rows.where(F.col("word").startswith(word) if prefix else F.col("word") == word)
+        shifted = F.transform("places", lambda p: p - k)
+        if not prefix:
+            return found.select("id", "column", shifted.alias("places"))
+        return found.groupBy("id", "column").agg(F.flatten(F.collect_list(shifted)).alias("places"))
 
     def matches(self, phrases: list[Phrase]) -> DataFrame:
         """(id, _time, _len, _tf_0...): the rows with one of ``phrases`` and the weighted occurrences of each, like a scan would count them."""
-        parts = []
+        parts, rows = [], self._rows(phrases)
+        weight = reduce(lambda a, c: F.when(F.col("column") == c, self.weights[c]).otherwise(a), self.weights, F.lit(0.0))
         for i, p in enumerate(phrases):
             found = None
             for k, w in enumerate(p.words):
-                now = self._of(w, p.prefix and k == len(p.words) - 1, k)
+                now = self._of(rows, w, p.prefix and k == len(p.words) - 1, k)
                 found = now if found is None else found.join(now.withColumnRenamed("places", "_p"), ["id", "column"]).select("id", "column", F.array_intersect("places", "_p").alias("places"))
-            weight = reduce(lambda a, c: F.when(F.col("column") == c, self.weights[c]).otherwise(a), self.weights, F.lit(0.0))
-            parts.append(found.groupBy("id").agg(F.sum(F.size("places") * weight).alias("tf")).where("tf > 0").select("id", F.lit(i).alias("i"), "tf"))
+            parts.append(found.select("id", F.lit(i).alias("i"), (F.size("places") * weight).alias("tf")).where("tf > 0"))
         every = reduce(lambda a, b: a.unionByName(b), parts)
         wide = every.groupBy("id").agg(*[F.coalesce(F.sum(F.when(F.col("i") == i, F.col("tf"))), F.lit(0.0)).alias(f"_tf_{i}") for i in range(len(phrases))])
         lengths = self._live("lengths", LENGTHS).select("id", F.col("time").alias("_time"), F.col("length").alias("_len"))

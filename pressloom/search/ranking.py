@@ -180,7 +180,8 @@ def retrieve(df: DataFrame, q: Question, now: Column, time: str, id_col: str = "
                     continue
                 best = top.agg(F.max("bm25").alias("_max"))
                 top = top.join(F.broadcast(best)).select(id_col, "bm25", F.least(F.lit(1.0), F.col("bm25") / F.col("_max")).alias("lexical"))  # one row
-                last = cut(blended(df.join(F.broadcast(top), id_col), q, now, F.col(time), id_col, interest))  # at most ``most`` rows
+                hits = cut(df.join(F.broadcast(top), id_col))  # at most ``most`` rows; stored, else the gates are pushed below the join and asked of every row
+                last = cut(blended(hits, q, now, F.col(time), id_col, interest))
                 if not last.isEmpty():
                     return last
     return last if last is not None else df.where(F.lit(False)).withColumns({"score": F.lit(0.0), "lexical": F.lit(0.0), "reasons": F.array().cast("array<string>")})
