@@ -149,7 +149,7 @@ ORACLES: dict[str, str] = {
         n AS (SELECT f.source_id, count(*) FILTER (good IS NULL OR {{'a': fetched_at, 'b': status}} > good) AS failures FROM f JOIN g USING (source_id) GROUP BY f.source_id)
         SELECT s.id, coalesce(n.failures, 0) AS failures FROM sources s LEFT JOIN n ON n.source_id = s.id WHERE s.enabled AND coalesce(n.failures, 0) < 2
     """,
-    "new_entries": f"SELECT DISTINCT key AS canonical_url FROM {keyed('raw_entries', 'link', 'entry_id', 'link IS NOT NULL')} k WHERE NOT EXISTS (SELECT 1 FROM articles a WHERE a.canonical_url = k.key)",
+    "new_entries": f"SELECT DISTINCT key AS canonical_url FROM {keyed('raw_entries', 'link', 'entry_id', 'link IS NOT NULL')} k WHERE NOT EXISTS (SELECT 1 FROM articles a, (SELECT (min(run_no) + max(run_no)) / 2 AS m FROM articles) WHERE run_no <= m AND a.canonical_url = k.key)",
     "known_entries": f"SELECT DISTINCT key AS canonical_url FROM {keyed('raw_entries', 'link', 'entry_id', 'link IS NOT NULL')} k WHERE EXISTS (SELECT 1 FROM articles a WHERE a.canonical_url = k.key)",
     "upserted_articles": """
         WITH m AS (SELECT (min(run_no) + max(run_no)) / 2 AS m FROM articles WHERE canonical_url IS NOT NULL),
