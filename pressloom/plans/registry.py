@@ -447,8 +447,8 @@ def briefing_sections(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- streaming
 def _replay(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """A table as a stream."""
-    return spark.readStream.schema(table(spark, d, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    """A table, one file or a folder of files, as a stream. The braces make the path a pattern: only as such may it name a file."""
+    return spark.readStream.schema(table(spark, d, name).schema).parquet(f"{d}/{{{name}}}.parquet")
 
 
 def _folder(spark: SparkSession, name: str) -> str:

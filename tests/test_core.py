@@ -228,6 +228,21 @@ def test_stream_batches_are_exactly_once(spark, tmp_path):
     assert sorted(r["key"] for r in spark.read.parquet(stored).collect()) == ["a", "b", "c"]
 
 
+@pytest.mark.parametrize("files", [1, 3])
+def test_streams_replay_tables_of_one_file_and_of_folders(spark, tmp_path, files):
+    from pressloom.plans.registry import QUERIES
+
+    rows = [("a", 1, "ok", "e1"), ("a", 3, "error", None), ("a", 2, "error", None), ("a", 2, "error", None), ("b", 1, "error", None), ("b", 2, "ok", "e2")]
+    f = spark.createDataFrame(rows, "source_id string, s int, status string, etag string").withColumn("fetched_at", F.timestamp_seconds("s"))
+    if files == 1:
+        f.coalesce(1).write.parquet(str(tmp_path / "w"))
+        next((tmp_path / "w").glob("part-*")).rename(tmp_path / "raw_feeds.parquet")
+    else:
+        f.repartition(files, "s").write.parquet(str(tmp_path / "raw_feeds.parquet"))
+    got = {r["source_id"]: (r["failures"], r["last_status"]) for r in QUERIES["stream_feed_states"](spark, str(tmp_path)).collect()}
+    assert got == {"a": (2, "error"), "b": (0, "ok")}
+
+
 def test_library_stands_without_the_llm_package(spark):
     import ast
     import pathlib
