@@ -12,7 +12,7 @@ reach its part.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressloom.llm.words import U64, flat_words, owners
+from pressloom.llm.words import U64, flat_words, mix, owners
 from pressloom.schemas import fields
 from pressloom.session import spool
 
@@ -38,13 +38,30 @@ def encoder(path: str):
     return tiktoken.Encoding("vocabulary", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
-def vectors(texts: list[str | None], weight: np.ndarray | None = None) -> np.ndarray:
-    """A unit vector of hashed word counts (damped, times ``weight``) for each text; zeros for one without words."""
+def bags(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed words of the texts: number of places of each text, then the places of all of them and how often each occurs."""
     flat, offsets = flat_words(texts)
-    out = np.zeros((len(texts), PLACES), np.float32)
-    np.add.at(out, (owners(offsets), (flat % U64(PLACES)).astype(np.int64)), 1)
-    out = np.log1p(out) * (1 if weight is None else weight)
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+    both, n = np.unique(owners(offsets).astype(np.int64) * PLACES + (flat % U64(PLACES)).astype(np.int64), return_counts=True)
+    return np.bincount(both // PLACES, minlength=len(texts)), (both % PLACES).astype(np.uint16), n.astype(np.uint32)
+
+
+def units(size: np.ndarray, places: np.ndarray, n: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The values at the places when each text is a unit vector of damped counts times ``weight``; zeros for one without weight."""
+    v, own = np.log1p(n) * weight[places], np.repeat(np.arange(len(size)), size)
+    norm = np.sqrt(np.bincount(own, v * v, len(size)))
+    return (v / np.maximum(norm, 1e-9)[own]).astype(np.float32)
+
+
+def cosines(size: np.ndarray, places: np.ndarray, v: np.ndarray, centres: np.ndarray, at_once: int = 256) -> np.ndarray:
+    """Texts x centres. A text's row is the same in any batch."""
+    out, end = np.zeros((len(size), len(centres)), np.float32), np.cumsum(size)
+    table, full = np.ascontiguousarray(centres.T), np.flatnonzero(size)
+    for k in range(0, len(full), at_once):
+        part = full[k : k + at_once]
+        low = end[part[0]] - size[part[0]]
+        at = slice(low, end[part[-1]])
+        out[part] = np.add.reduceat(table[places[at]] * v[at, None], end[part] - size[part] - low)
+    return out
 
 
 @dataclass(frozen=True)
@@ -55,50 +72,162 @@ class Topics:
     centres: dict
 
     def of(self, texts: list[str | None], langs: list[str]) -> list[str]:
-        """The nearest topic of its language for each text; ``other`` without words or for a language that was not in the sample."""
+        """The nearest topic of its language for each text; ``other`` without words that weigh something."""
         out = ["other"] * len(texts)
         for lang in set(langs) & set(self.centres):
             at = [i for i, x in enumerate(langs) if x == lang]
-            v = vectors([texts[i] for i in at], self.weight[lang])
-            best = (v @ self.centres[lang].T).argmax(axis=1)
-            for i, k, some in zip(at, best, v.any(axis=1)):
-                if some:
-                    out[i] = f"{lang}-{k}"
+            size, places, n = bags([texts[i] for i in at])
+            near = cosines(size, places, v := units(size, places, n, self.weight[lang]), self.centres[lang])
+            some = np.bincount(np.repeat(np.arange(len(at)), size), v, len(at)) > 0
+            for i, k in zip(np.array(at)[some], near[some].argmax(axis=1)):
+                out[i] = f"{lang}-{k}"
         return out
 
 
-def learn_topics(docs: DataFrame, most: int = 3000, each: int = 5, rounds: int = 8, starts: int = 4, seed: int = 5) -> Topics:
-    """Spherical k-means of ``each`` topics a language, the best of ``starts`` starts, fitted to at most ``most`` texts of (doc_id, lang, text), those of least hash.
+BAGS = fields("doc_id long, lang string, places binary, n binary")
+SUMS = fields("lang string, at int, sums binary")
+PICKS = fields("lang string, at int, far double, doc_id long, places binary, n binary")
+FINE = float(1 << 24)  # sums are of integers, so that no order of rows changes them
+
+
+def _bag_table(docs: DataFrame) -> DataFrame:
+    """The hashed words of (doc_id, lang, text), for texts that have any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, places, n = bags(batch.column(2).to_pylist())
+            end = np.cumsum(size)
+            cut = lambda x: pa.array([x[e - k : e].tobytes() for e, k in zip(end, size)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cut(places), cut(n)], names=BAGS.names).filter(pa.array(size > 0))
+
+    return docs.where("lang is not null and length(text) > 0").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), "lang", "text").mapInArrow(run, BAGS)
+
+
+def _by_lang(batches: Iterator[pa.RecordBatch], langs: Mapping) -> Iterator[tuple[str, pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """(language, its rows, size, places, n) of each batch of a bag table, for ``langs`` only."""
+    for batch in batches:
+        of = np.array(batch.column(1).to_pylist(), dtype=object)
+        for lang in sorted(set(of) & set(langs)):
+            rows = batch.filter(pa.array(of == lang))
+            places, n = (rows.column(i).to_pylist() for i in (2, 3))
+            yield lang, rows, np.array([len(x) // 2 for x in places], np.int64), np.frombuffer(b"".join(places), np.uint16), np.frombuffer(b"".join(n), np.uint32)
+
+
+def _summed(rows: DataFrame, part: Callable) -> dict[tuple[str, int], np.ndarray]:
+    """Sums by (language, at) of what ``part(batches)`` gives as (language, at, whole numbers): first in each task, then by key, so one row a key comes to the driver."""
 
-    A sample that is bounded and doesn't depend on the order of rows; all texts
-    are then given their topic. Words that half of a language's texts have weigh
-    nothing.
+    def add(sums: Iterator[tuple[str, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+        for lang, at, x in sums:
+            total[lang, at] = total[lang, at] + x if (lang, at) in total else x
+        for (lang, at), x in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([at], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=SUMS.names)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return add((r["lang"], r["at"], np.frombuffer(r["sums"], np.int64)) for batch in batches for r in batch.to_pylist())
+
+    out = rows.mapInArrow(lambda batches: add(part(batches)), SUMS).repartition("lang", "at").mapInArrow(again, SUMS)
+    return {(r["lang"], r["at"]): np.frombuffer(r["sums"], np.int64) for r in out.collect()}
+
+
+def _word_weights(rows: DataFrame) -> tuple[dict[str, np.ndarray], dict[str, int]]:
+    """By language the weight of each place and the number of texts. Places that half of the texts have weigh nothing."""
+    every = {r["lang"]: None for r in rows.select("lang").distinct().collect()}
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, np.ndarray]]:
+        for lang, _, size, places, _ in _by_lang(batches, every):
+            yield lang, 0, np.append(np.bincount(places, minlength=PLACES), len(size))
+
+    weight, texts = {}, {}
+    for (lang, _), x in _summed(rows, part).items():
+        seen, texts[lang] = x[:-1], int(x[-1])
+        weight[lang] = np.where(2 * seen >= texts[lang], 0, np.log((1 + texts[lang]) / (1 + seen))).astype(np.float32)
+    return weight, texts
+
+
+def _next_centres(rows: DataFrame, weight: dict, centres: dict, seed: int) -> dict[str, np.ndarray]:
+    """One more centre for each start: a text, drawn from all with chances by the squared distance to the centres so far.
+
+    The least of exponential numbers over the chances is such a draw; the
+    numbers come from the ids.
+    """
+    context = rows.sparkSession.sparkContext
+    model = context.broadcast((weight, centres))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight, centres = model.value
+        best: dict = {}
+        for lang, part, size, places, n in _by_lang(batches, centres):
+            v = units(size, places, n, weight[lang])
+            some = np.bincount(np.repeat(np.arange(len(size)), size), v, len(size)) > 0
+            starts, have, _ = centres[lang].shape
+            ids = part.column(0).to_numpy()
+            near = cosines(size, places, v, centres[lang].reshape(-1, PLACES)).reshape(len(size), starts, have)
+            for s in range(starts):
+                far = np.square(np.clip(1 - near[:, s].astype(float).max(axis=1), 0, None)) + 1e-12 if have else np.ones(len(size))
+                chance = (mix(mix(ids.astype(U64), seed), s * 1000 + have) >> U64(11)).astype(float) + 0.5
+                key = np.where(some, -np.log(chance / (1 << 53)) / far, np.inf)
+                k = int(np.lexsort((ids, key))[0])
+                if key[k] < np.inf and (key[k], int(ids[k])) < best.get((lang, s), (np.inf,))[:2]:
+                    best[lang, s] = (float(key[k]), int(ids[k]), part.column(2)[k].as_py(), part.column(3)[k].as_py())
+        if best:
+            yield pa.RecordBatch.from_pylist([dict(zip(PICKS.names, (*at, *x))) for at, x in best.items()], schema=pa.schema([("lang", pa.string()), ("at", pa.int32()), ("far", pa.float64()), ("doc_id", pa.int64()), ("places", pa.binary()), ("n", pa.binary())]))
+
+    least = rows.mapInArrow(run, PICKS).groupBy("lang", "at").agg(F.min(F.struct("far", "doc_id", "places", "n")).alias("r")).select("lang", "at", "r.*").collect()
+    model.destroy()
+    new: dict = {}
+    for r in sorted(least, key=lambda r: (r["lang"], r["at"])):
+        places, n = np.frombuffer(r["places"], np.uint16), np.frombuffer(r["n"], np.uint32)
+        c = np.zeros((1, PLACES), np.float32)
+        c[0, places] = units(np.array([len(places)]), places, n, weight[r["lang"]])
+        new.setdefault(r["lang"], []).append(c)
+    return {lang: np.concatenate([centres[lang], np.stack(c)], axis=1) for lang, c in new.items()}
+
+
+def _nearest_sums(rows: DataFrame, weight: dict, centres: dict) -> dict[tuple[str, int], tuple[np.ndarray, int]]:
+    """By language and start: the sums of the texts nearest to each centre, and the sum of their cosines."""
+    model = rows.sparkSession.sparkContext.broadcast((weight, centres))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, np.ndarray]]:
+        weight, centres = model.value
+        for lang, _, size, places, n in _by_lang(batches, centres):
+            v = units(size, places, n, weight[lang])
+            starts, each, _ = centres[lang].shape
+            near = cosines(size, places, v, centres[lang].reshape(-1, PLACES)).reshape(len(size), starts, each)
+            fine = np.rint(v * FINE)
+            for s in range(starts):
+                own = np.repeat(near[:, s].argmax(axis=1), size)
+                sums = np.bincount(own * PLACES + places, fine, each * PLACES)
+                yield lang, s, np.append(sums, np.rint(near[:, s].max(axis=1) * FINE).sum(dtype=float)).astype(np.int64)
+
+    out = {at: (x[:-1].reshape(-1, PLACES), int(x[-1])) for at, x in _summed(rows, part).items()}
+    model.destroy()
+    return out
+
+
+def learn_topics(docs: DataFrame, each: int = 5, rounds: int = 8, starts: int = 4, seed: int = 5) -> Topics:
+    """Spherical k-means of ``each`` topics a language, the best of ``starts`` starts, fitted to all texts of (doc_id, lang, text).
+
+    The texts are stored once as counts of hashed words; each step reads all of
+    them for all languages and starts together, and only sums come to the driver.
+    Nothing depends on the order of rows.
     """
-    fit = docs.where(F.length("text") > 0).withColumn("mark", F.xxhash64("doc_id"))
-    share = min(1.0, 1.5 * most / max(1, fit.count()) + 1e-6)  # cut by hash first, so that no task sends more than its part
-    low = min(-(1 << 63) + int(share * (1 << 64)), (1 << 63) - 1)
-    rows = fit.where(F.col("mark") <= low).orderBy("mark", "doc_id").limit(most).select("lang", "text").collect()
-    weight, centres = {}, {}
-    for lang in sorted({r["lang"] for r in rows}):
-        texts = [r["text"] for r in rows if r["lang"] == lang]
-        seen = (vectors(texts) > 0).mean(axis=0)
-        weight[lang] = np.where(seen >= 0.5, 0, np.log((1 + len(texts)) / (1 + seen * len(texts)))).astype(np.float32)
-        v = vectors(texts, weight[lang])
-        rng, best = np.random.default_rng(seed), (-1.0, None)
-        for _ in range(starts):
-            c = v[rng.integers(len(v))][None]
-            while len(c) < min(each, len(v)):  # far from the centres so far
-                far = np.square(np.clip(1 - (v @ c.T).max(axis=1), 0, None)) + 1e-12
-                c = np.append(c, v[rng.choice(len(v), p=far / far.sum())][None], axis=0)
-            for _ in range(rounds):
-                near = (v @ c.T).argmax(axis=1)
-                c = np.stack([v[near == k].sum(axis=0) if (near == k).any() else c[k] for k in range(len(c))])
-                c = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
-            fit_of = float((v @ c.T).max(axis=1).sum())
-            best = max(best, (fit_of, c), key=lambda x: x[0])
-        c = best[1]
-        centres[lang] = c.astype(np.float32)
-    return Topics(weight, centres)
+    rows = spool(_bag_table(docs), "bags")
+    weight, texts = _word_weights(rows)
+    centres = {lang: np.zeros((starts, 0, PLACES), np.float32) for lang in weight}
+    for k in range(min(each, max(texts.values(), default=0))):
+        centres |= _next_centres(rows, weight, {lang: c for lang, c in centres.items() if c.shape[1] == k < texts[lang]}, seed)
+    centres = {lang: c for lang, c in centres.items() if c.shape[1]}
+    for k in range(rounds + 1):
+        found = _nearest_sums(rows, weight, centres)
+        new = {lang: c.copy() for lang, c in centres.items()}
+        for (lang, s), (sums, _) in found.items():
+            some = sums.any(axis=1)
+            new[lang][s, some] = sums[some] / np.linalg.norm(sums[some].astype(float), axis=1, keepdims=True)
+        if k == rounds or all(np.array_equal(new[lang], centres[lang]) for lang in new):
+            break
+        centres = new
+    return Topics(weight, {lang: c[max(range(starts), key=lambda s: found[lang, s][1])] for lang, c in centres.items()})
 
 
 MEASURED = fields("doc_id long, source string, lang string, topic string, n_tokens long")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -441,3 +442,22 @@ def test_topics_are_learned(spark):
     model = mixture.learn_topics(spark.createDataFrame(rows, "doc_id long, lang string, text string"), each=3)
     got = model.of([t for _, _, t in rows], [x for _, x, _ in rows])
     assert got[-2:] == ["other", "other"] and all(len({got[i] for i in range(k, 300, 3)}) == 1 for k in range(3)) and len(set(got[:3])) == 3
+
+
+def test_topics_come_from_all_texts(spark):
+    rng = random.Random(17)
+    pools = [[f"{p}{k}" for k in range(30)] for p in ("ship", "bank", "song")]
+    rows = [(i, "en", " ".join(rng.choices(pools[i % 3], k=12))) for i in range(4000)] + [(9000, None, "ship1"), (9001, "pt", "navio"), (9002, "en", "?")]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model, again = (mixture.learn_topics(x, each=3) for x in (df, df.repartition(7, F.rand(3))))
+    size, places, n = mixture.bags([t for _, _, t in rows[:4000]])
+    seen = np.bincount(places, minlength=mixture.PLACES)
+    assert np.allclose(model.weight["en"], np.where(2 * seen >= 4000, 0, np.log(4001 / (1 + seen))))
+    v, flat = mixture.units(size, places, n, model.weight["en"]), np.zeros((4000, mixture.PLACES), np.float32)
+    flat[np.repeat(np.arange(4000), size), places] = v
+    assert np.allclose(mixture.cosines(size, places, v, model.centres["en"]), flat @ model.centres["en"].T, atol=1e-5)
+    near = (flat @ model.centres["en"].T).argmax(axis=1)
+    means = np.stack([flat[near == k].sum(axis=0) for k in range(3)])
+    assert np.allclose(model.centres["en"], means / np.linalg.norm(means, axis=1, keepdims=True), atol=1e-5)
+    assert np.array_equal(model.centres["en"], again.centres["en"])
+    assert model.of(["ship1", "navio", None], ["en", "pt", "en"])[1:] == ["other", "other"]
