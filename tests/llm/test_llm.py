@@ -198,6 +198,19 @@ def test_repeated_lines(spark):
     assert clean[21]["content"] is None and clean[24]["content"] == "" and "By Ann" not in clean[1]["content"] and len(clean) == len(rows)
 
 
+def test_clusters_are_built_only_where_they_count(spark, monkeypatch):
+    cities = ["ulm", "bonn", "kiel", "jena", "hof", "trier", "graz", "linz", "bern", "genf", "lyon", "nancy"]
+    rows = [(i, "s", f"own line {c}\n{c} desk of our paper holds all rights to this text and its pictures\nShare this story") for i, c in enumerate(cities)]
+    df, stored, real = spark.createDataFrame(rows, "id long, source string, content string"), {}, boilerplate.spool
+    monkeypatch.setattr(boilerplate, "spool", lambda x, name: stored.setdefault(name, real(x, name)))
+    lines = lambda **k: {(r["id"], r["line_no"]) for r in boilerplate.repeated_lines(df, "id", "source", "content", **k).collect()}
+    assert lines(exact=True) == {(i, 3) for i in range(12)} and set(stored) == {"lines"} and "bands" not in stored["lines"].columns
+    stored.clear()
+    assert lines() == {(i, k) for i in range(12) for k in (2, 3)} and set(stored) == {"lines", "classes", "alike"}
+    stored.clear()
+    assert lines(threshold=1.0) == {(i, 3) for i in range(12)}
+
+
 def test_formulaic_lines_of_a_large_source_stay(spark):
     rng = random.Random(14)
     names = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(400)]
